@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,14 @@ def _col(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A plain reference inside a lambda would be computed again for every array element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 
@@ -30,9 +40,9 @@ def l2_norm(vec: Column | str) -> Column:
 def l2_normalize(vec: Column | str) -> Column:
     """Unit length; an all-zero vector stays as it is."""
     vec = _col(vec)
-    norm = l2_norm(vec)
-    return F.when(norm == 0, vec.cast("array<double>")).otherwise(
-        F.transform(vec, lambda x: x.cast("double") / norm)
+    return bind(
+        l2_norm(vec),
+        lambda norm: F.transform(vec, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm)),
     )
 
 
@@ -61,7 +71,7 @@ def alpha_to_k(alpha: Column, dims: Column) -> Column:
 
 
 def top_k_weights(ranks: Column, k: Column) -> Column:
-    return F.transform(ranks, lambda r: (r <= k).cast("float"))
+    return bind(k, lambda most: F.transform(ranks, lambda r: (r <= most).cast("float")))
 
 
 def noise_threshold(vec: Column, importance: Column) -> Column:
@@ -71,5 +81,7 @@ def noise_threshold(vec: Column, importance: Column) -> Column:
 
 
 def threshold_weights(vec: Column, importance: Column) -> Column:
-    eps = noise_threshold(vec, importance)
-    return F.transform(importance, lambda u: (u > eps).cast("float"))
+    return bind(
+        noise_threshold(vec, importance),
+        lambda eps: F.transform(importance, lambda u: (u > eps).cast("float")),
+    )

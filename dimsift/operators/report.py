@@ -93,18 +93,26 @@ def performance(
     wide = cells.groupBy("model", "filter").pivot("cell", names).agg(
         F.first("mean").alias("mean"), F.first("best").alias("best")
     )
-    columns = [c for n in names for c in (wide[f"{n}_mean"].alias(n), wide[f"{n}_best"].alias(f"{n}:best"))]
+    columns = [
+        c for n in names for c in (F.col(f"`{n}_mean`").alias(n), F.col(f"`{n}_best`").alias(f"{n}:best"))
+    ]
     return wide.select("model", "filter", *columns)
 
 
+def _tag(label: str) -> str:
+    """An alpha label as part of a column name: without a dot, which would need quoting."""
+    return label.replace(".", "_")
+
+
 def _alpha_columns(keys: list[str], cells: DataFrame, labels: list[str]) -> DataFrame:
     """One column per alpha, and which of them is best in its row."""
     wide = cells.groupBy(*keys).pivot("alpha", labels).agg(F.first("mean"))
-    best = F.greatest(*[wide[a] for a in labels]) if len(labels) > 1 else wide[labels[0]]
+    value = {a: F.col(f"`{a}`") for a in labels}
+    best = F.greatest(*value.values()) if len(labels) > 1 else value[labels[0]]
     columns = [
         c
         for a in labels
-        for c in (wide[a].alias(f"alpha_{a}"), _is_best(wide[a], best).alias(f"best_{a}"))
+        for c in (value[a].alias(f"alpha_{_tag(a)}"), _is_best(value[a], best).alias(f"best_{_tag(a)}"))
     ]
     return wide.select(*keys, *columns, best.alias("best_value"))
 
@@ -149,7 +157,7 @@ def comparison(
         F.when(F.col("mean").isNotNull(), 1.0).alias("retained_frac"),
     )
     for a in labels:
-        base = base.withColumn(f"best_{a}", F.lit(False))
+        base = base.withColumn(f"best_{_tag(a)}", F.lit(False))
     return table.unionByName(base, allowMissingColumns=True)
 
 

@@ -41,8 +41,9 @@ class TopAlpha:
             F.struct(F.lit(alpha_label(a)).alias("alpha"), F.lit(float(a)).alias("alpha_value"))
             for a in alphas
         ])
-        ranked = importance.select(
-            "query_id", "vec", arrays.dim_ranks("importance").alias("ranks"), F.inline(settings)
+        # ranked once per query, before the settings multiply the rows
+        ranked = importance.withColumn("ranks", arrays.dim_ranks("importance")).select(
+            "query_id", "vec", "ranks", F.inline(settings)
         )
         k = arrays.alpha_to_k(F.col("alpha_value"), F.size("ranks"))
         return ranked.select(
