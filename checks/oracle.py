@@ -507,7 +507,7 @@ def oracle_sql() -> dict[str, str]:
     sql["results_file"] = sql["results_with_retained"]
     sql["vector_files"] = sql["query_encode"]
     sql["answers_file"] = sql["conversation_answers"]
-    sql["ce_scores_file"] = chain(qrels(d), final="SELECT query_id, doc_id, round(ce_score, 6) AS ce_score FROM ce")
+    sql["ce_scores_file"] = chain(qrels(d), final="SELECT query_id, doc_id, round(ce_score, 6) + 0.0 AS ce_score FROM ce")
     sql["eval_set_files"] = chain(SAMPLE, qrels(d), final=f"""SELECT query_id, doc_id, relevance FROM qrels
   SEMI JOIN ({SOURCES[d, 'queries']} AND conv_id || '-' || turn IN (SELECT query_id FROM sample)) s ON s.id = qrels.query_id""")
     sql["study_files"] = sql["best_trial"]

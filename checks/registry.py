@@ -452,7 +452,9 @@ def ce_scores_file(t):
     path = _new_path(t, "ce")
     rows = t.ce_scores(D).select("query_id", F.lit("0").alias("na"), "doc_id", "ce_score")
     rows.write.option("sep", "\t").csv(path)
-    return _rounded(feedback.read_ce_scores(t.spark, path), "ce_score")
+    return _rounded(feedback.read_ce_scores(t.spark, path), "ce_score").withColumn(
+        "ce_score", F.col("ce_score") + 0.0
+    )
 
 
 @query

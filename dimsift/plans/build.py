@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.encode import TEXT_BATCH, encode_text
 from ..operators.search import DEFAULT_K, search
 from ..sources import collections, runs, vectors
-from ..sources.files import exists
+from ..sources.files import finished
 
 
 def run_path(root: str, collection: str, model: str) -> str:
@@ -52,7 +52,7 @@ def search_collection(
 ) -> DataFrame:
     """The stored baseline run of a built collection, searched now if it is not there."""
     path = run_path(root, collection, model)
-    if overwrite or not exists(spark, path):
+    if overwrite or not finished(spark, path):
         docs = vectors.read_vectors(
             spark, vectors.corpus_path(root, model, catalog[collection].corpus_name)
         )
@@ -75,7 +75,7 @@ def build_eval_run(
 ) -> DataFrame:
     """Encode tuning queries into a split of their own and search the corpus with them."""
     path = f"{root}/tune/runs/{model}"
-    if overwrite or not exists(spark, path):
+    if overwrite or not finished(spark, path):
         queries = vectors.query_path(root, model, collection, split)
         vectors.write_vectors(encode_text(eval_queries, load_model), queries, model, overwrite)
         found = search(docs, vectors.read_vectors(spark, queries), k, model)

@@ -18,10 +18,10 @@ def load(spark: SparkSession, path: str, format: str, schema=None, **options) ->
         raise
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether anything readable lies at ``path``."""
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a job wrote ``path`` to its end."""
     try:
-        load(spark, path, "binaryFile")
+        load(spark, f"{path}/_SUCCESS", "binaryFile")
     except FileNotFoundError:
         return False
     return True

@@ -1,0 +1,112 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from dimsift.operators import evaluate as ev
+from dimsift.operators.search import search
+
+from .conftest import approx
+
+RUN = "query_id string, doc_id string, rank int, score double"
+QRELS = "query_id string, doc_id string, relevance int"
+
+
+def table(results):
+    return {(r["query_id"], r["measure"]): r["value"] for r in results.collect()}
+
+
+def test_micro(micro):
+    run = search(micro.docs, micro.queries, 10)
+    found = table(ev.evaluate(run, micro.qrels, ["nDCG@3", "AP", "R@3", "RR"]))
+    assert [found["q", m] for m in ("nDCG@3", "AP", "R@3", "RR")] == approx([0.840303, 0.916667, 0.666667, 1.0])
+
+
+def test_order_comes_from_score_then_larger_id(spark):
+    # the rank column is contradictory on purpose
+    run = spark.createDataFrame([("q", "a", 0, 1.0), ("q", "b", 1, 1.0), ("q", "c", 2, 2.0)], RUN)
+    qrels = spark.createDataFrame([("q", "a", 1)], QRELS)
+    assert table(ev.evaluate(run, qrels, ["RR"]))["q", "RR"] == approx(1 / 3)
+    qrels = spark.createDataFrame([("q", "b", 1)], QRELS)
+    assert table(ev.evaluate(run, qrels, ["RR"]))["q", "RR"] == approx(1 / 2)
+
+
+def test_population_is_the_judged_queries(spark):
+    run = spark.createDataFrame([("q", "a", 0, 1.0), ("unjudged", "a", 0, 1.0)], RUN)
+    qrels = spark.createDataFrame([("q", "a", 1), ("silent", "a", 1), ("none", "a", 0), ("neg", "a", -1)], QRELS)
+    found = table(ev.evaluate(run, qrels))
+    assert {q for q, _ in found} == {"q", "silent", "none", "neg"}
+    for m in ev.DEFAULT_MEASURES:
+        assert found["q", m] == 1.0
+        assert found["silent", m] == found["none", m] == found["neg", m] == 0.0
+
+
+def test_perfect_ranking_and_range(spark):
+    rows = [("q", f"d{i:03}", i, 100.0 - i) for i in range(100)]
+    run = spark.createDataFrame(rows, RUN)
+    qrels = spark.createDataFrame([("q", f"d{i:03}", 3 if i < 5 else 1) for i in range(30)], QRELS)
+    found = table(ev.evaluate(run, qrels, ["nDCG@10", "nDCG@100", "nDCG", "AP", "R@1000", "RR@10"]))
+    assert list(found.values()) == approx([1.0] * 6)
+    upside_down = run.withColumn("score", -F.col("score"))
+    worse = table(ev.evaluate(upside_down, qrels, ["nDCG@10", "AP", "R@50", "RR@10"]))
+    assert all(0 <= v < 1 for v in worse.values()) and worse["q", "RR@10"] == 0.0
+
+
+def test_ideal_counts_all_judged_documents(spark):
+    run = spark.createDataFrame([("q", "a", 0, 1.0)], RUN)
+    qrels = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "c", 1)], QRELS)
+    found = table(ev.evaluate(run, qrels, ["nDCG@2", "AP", "R@5"]))
+    assert found["q", "nDCG@2"] == approx(1 / (2 + 1 / math.log2(3)))
+    assert found["q", "AP"] == found["q", "R@5"] == approx(1 / 3)
+
+
+def test_relevance_threshold(spark):
+    run = spark.createDataFrame([("q", "a", 0, 3.0), ("q", "b", 1, 2.0), ("q", "c", 2, 1.0)], RUN)
+    qrels = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "c", 2)], QRELS)
+    found = table(ev.evaluate(run, qrels, ["AP", "AP(rel=2)", "AP(rel=2)@2", "RR(rel=2)", "R(rel=2)@2"]))
+    assert found["q", "AP"] == 1.0
+    assert found["q", "AP(rel=2)"] == approx((1 / 2 + 2 / 3) / 2)
+    assert found["q", "AP(rel=2)@2"] == approx(1 / 4)
+    assert found["q", "RR(rel=2)"] == found["q", "R(rel=2)@2"] == 0.5
+
+
+def test_deep_run_is_numbered_by_ranges(spark, monkeypatch):
+    rows = [(f"q{i % 3 if i % 2 else 0}", f"d{i}", 0, float(i * 31 % 17)) for i in range(500)]
+    run = spark.createDataFrame(rows, RUN)
+    qrels = spark.createDataFrame([(q, f"d{i}", i % 3) for q, i in {(r[0], int(r[1][1:])) for r in rows}], QRELS)
+    plain = table(ev.evaluate(run, qrels))
+    monkeypatch.setattr(ev, "ONE_TASK_ROWS", 10)
+    assert table(ev.evaluate(run, qrels)) == approx(plain, 1e-12)
+
+
+def test_settings(spark):
+    run = spark.createDataFrame([("x", "q", "a", 0, 1.0)], "alpha string, " + RUN)
+    qrels = spark.createDataFrame([("q", "a", 1)], QRELS)
+    found = ev.evaluate(run, qrels, ["AP"], ["alpha"], [{"alpha": "x"}, {"alpha": "y"}]).collect()
+    assert {(r["alpha"], r["value"]) for r in found} == {("x", 1.0), ("y", 0.0)}
+    read = ev.evaluate(run, qrels, ["AP"], ["alpha"]).collect()
+    assert [(r["alpha"], r["value"]) for r in read] == [("x", 1.0)]
+
+
+def test_measure_names():
+    parsed = ev.parse_measure("nDCG@10")
+    assert (parsed.kind, parsed.cutoff, parsed.relevance) == ("nDCG", 10, 1)
+    for wrong in ("nDCG@", "P@10", "R", "ap", ""):
+        with pytest.raises(ValueError):
+            ev.parse_measure(wrong)
+
+
+def test_summary_is_sorted(spark):
+    results = spark.createDataFrame([("q", "AP", 0.2), ("r", "AP", 0.4), ("q", "RR", 1.0)], "query_id string, measure string, value double")
+    assert [(r["measure"], round(r["mean"], 6)) for r in ev.summary(results).collect()] == [("RR", 1.0), ("AP", 0.3)]
+
+
+def test_run_sanity(spark):
+    runs = spark.createDataFrame(
+        [("c1", "m", "1"), ("c1", "m", "2"), ("c1", "m", "2"), ("c1", "m__prf-k2__rdime", "9"), ("c2", "m", "1")],
+        "collection string, model string, query_id string",
+    )
+    qrels = spark.createDataFrame([("c1", "1"), ("c1", "3"), ("c2", "1")], "collection string, query_id string")
+    found = {(r[0], r[1]): tuple(r[2:]) for r in ev.run_sanity(runs, qrels).collect()}
+    assert found == {("c1", "m"): (2, 2, 1, False), ("c2", "m"): (1, 1, 0, True)}
+    assert [tuple(r) for r in ev.unjudged_queries(runs, qrels).collect()] == [("c1", "2", "m")]
