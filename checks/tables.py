@@ -22,7 +22,7 @@ from dimsift.operators.evaluate import evaluate
 from dimsift.operators.search import search
 from dimsift.operators.tune import graded_qrels
 from dimsift.plans import retrieve
-from dimsift.storage import materialize, read_spread
+from dimsift.storage import materialize, spread
 
 MODEL = "hash64"
 DEPTH = 100  # of the baseline and masked runs
@@ -49,7 +49,7 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return read_spread(self.spark, f"{self.sf_dir}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     def _once(self, name: str, make) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)

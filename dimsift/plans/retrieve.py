@@ -28,6 +28,10 @@ class Sweep:
     metrics: DataFrame | None = None
     depth: int | None = None
 
+    def stored(self) -> Sweep:
+        """The same sweep with its run written, so that measuring and saving it search only once."""
+        return replace(self, run_table=materialize(self.run_table, "sweep"))
+
     def run(self, alpha: float | str) -> DataFrame:
         """The run of one setting; ``KeyError`` for a setting the sweep does not have."""
         return self.run_table.where(F.col("alpha") == self._known(alpha))

@@ -47,11 +47,10 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
-def read_spread(spark: SparkSession, path: str) -> DataFrame:
-    """Read Parquet; a file too small to be split is dealt out over the cores.
+def spread(stored: DataFrame) -> DataFrame:
+    """Deal a stored table out over the cores if it has fewer splits than there are cores.
 
-    Tables with at least as many splits as cores are left alone, so nothing big is shuffled.
+    Tables with enough splits are left alone, so nothing big is shuffled.
     """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    return stored if stored.rdd.getNumPartitions() >= cores else stored.repartition(cores)

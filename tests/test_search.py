@@ -7,7 +7,9 @@ from dimsift.operators.search import Limits, _RunningTopK, merge_top_k, search,
 
 from .conftest import approx
 
+# limits that force each of the three ways
 CELLS = Limits(broadcast_bytes=200, cell_bytes=600)
+PAST = Limits(state_bytes=1, small_state_bytes=0)
 
 
 def rows(run, *keys):
@@ -60,6 +62,15 @@ def test_equals_brute_force_with_ties_and_copies(spark, k):
     assert rows(search(d, q, k, limits=CELLS)) == expected
 
 
+@pytest.mark.parametrize("k", [1, 7, 100])
+def test_more_queries_than_documents(spark, capsys, k):
+    d, q, docs, queries = random_tables(spark, n_docs=30, n_queries=90)
+    found = search(d, q, k, limits=PAST)
+    assert rows(found) == brute_force(docs, queries, k) == rows(search(d, q, k))
+    found.explain()
+    assert "Window" not in capsys.readouterr().out
+
+
 def test_running_state_is_compacted(monkeypatch):
     import pyarrow as pa
 
