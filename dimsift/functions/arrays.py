@@ -51,13 +51,13 @@ def dim_ranks(importance: Column | str) -> Column:
 
     Two array sorts inside the row, so ranking needs no shuffle.
     """
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         F.transform(
             _col(importance),
             lambda u, i: F.named_struct(F.lit("key"), F.lit(0.0) - u, F.lit("dim"), i),
         )
     )
-    placed = F.array_sort(
+    placed = F.sort_array(
         F.transform(
             ordered, lambda s, pos: F.named_struct(F.lit("dim"), s["dim"], F.lit("rank"), pos + 1)
         )

@@ -52,39 +52,55 @@ def _gain(place: str) -> Column:
     return F.col("relevance") / F.log2(F.col(place) + 1)
 
 
+def _placed(
+    df: DataFrame, keys: list[str], order: list[Column], into: str, limit: int | None, rows: int | None = None
+) -> DataFrame:
+    """Number the rows of each key from 1, up to ``limit`` if there is one.
+
+    With a limit, Spark drops the rest of a group before the shuffle. Without one, groups larger
+    than ``ONE_TASK_ROWS`` are numbered by range partitions; ``rows`` is their size, if known.
+    """
+    numbered = df.withColumn(into, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if limit is not None:
+        return numbered.where(F.col(into) <= limit)
+    if rows is None:
+        rows = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return numbered if rows <= ONE_TASK_ROWS else places_in_group(df, keys, order, into)
+
+
+def _deepest(measures: Sequence[Measure]) -> int | None:
+    cutoffs = [m.cutoff for m in measures]
+    return None if None in cutoffs else max(cutoffs)
+
+
 def _ideal(qrels: DataFrame, measures: Sequence[Measure]) -> DataFrame:
     """Per judged query: relevant documents per threshold, and the best possible gain per cutoff."""
     levels = sorted({m.relevance for m in measures})
     counts = qrels.groupBy("query_id").agg(*[
         F.sum(F.when(F.col("relevance") >= level, 1).otherwise(0)).alias(f"n_rel_{level}") for level in levels
     ])
-    cutoffs = {m.cutoff for m in measures if m.kind == "nDCG"}
-    if not cutoffs:
+    graded = [m for m in measures if m.kind == "nDCG"]
+    if not graded:
         return counts
-    best_first = Window.partitionBy("query_id").orderBy(F.col("relevance").desc())
-    ranked = qrels.where("relevance > 0").select(
-        "query_id", "relevance", F.row_number().over(best_first).alias("ideal")
-    )
-    if None not in cutoffs:
-        ranked = ranked.where(F.col("ideal") <= max(cutoffs))
+    relevant = qrels.where("relevance > 0").select("query_id", "relevance")
+    ranked = _placed(relevant, ["query_id"], [F.col("relevance").desc()], "ideal", _deepest(graded))
     gains = ranked.groupBy("query_id").agg(*[
         F.sum(F.when(_within("ideal", c), _gain("ideal"))).alias(f"idcg_{c or 'all'}")
-        for c in sorted(cutoffs, key=str)
+        for c in sorted({m.cutoff for m in graded}, key=str)
     ])
     return counts.join(gains, "query_id", "left")
 
 
-def _ranked(run: DataFrame, keys: list[str], deepest: int | None, depth: int | None) -> DataFrame:
-    """Run rows with their place by score; the first ``deepest`` only when no measure needs more."""
-    order = [F.col("score").desc(), F.col("doc_id").desc()]
-    if deepest is None:
-        if depth is None:
-            depth = run.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if depth > ONE_TASK_ROWS:
-            return places_in_group(run, keys, order, "place")
-    places = Window.partitionBy(*keys).orderBy(*order)
-    ranked = run.withColumn("place", F.row_number().over(places))
-    return ranked if deepest is None else ranked.where(F.col("place") <= deepest)
+def _with_found(hits: DataFrame, keys: list[str], level: int, rows: int) -> DataFrame:
+    """The number of documents of at least ``level`` at or above each hit."""
+    column = f"found_{level}"
+    if rows <= ONE_TASK_ROWS:
+        in_order = Window.partitionBy(*keys).orderBy("place")
+        return hits.withColumn(column, F.sum((F.col("relevance") >= level).cast("int")).over(in_order))
+    counted = places_in_group(
+        hits.where(F.col("relevance") >= level).select(*keys, "doc_id", "place"), keys, [F.col("place")], column
+    )
+    return hits.join(counted.drop("place"), [*keys, "doc_id"], "left")
 
 
 def _score(m: Measure) -> Column:
@@ -133,15 +149,15 @@ def evaluate(
     """
     parsed = [parse_measure(m) for m in measures]
     by, keys = list(by), [*by, "query_id"]
-    cutoffs = [m.cutoff for m in parsed]
-    deepest = None if None in cutoffs else max(cutoffs)
     run = run.select(*keys, "doc_id", "score")
     relevant = qrels.where("relevance > 0").select("query_id", "doc_id", "relevance")
-    hits = _ranked(run, keys, deepest, depth).join(relevant, ["query_id", "doc_id"])
-    in_order = Window.partitionBy(*keys).orderBy("place")
+    order = [F.col("score").desc(), F.col("doc_id").desc()]
+    deepest = _deepest(parsed)
+    if deepest is None and depth is None:
+        depth = run.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    hits = _placed(run, keys, order, "place", deepest, depth).join(relevant, ["query_id", "doc_id"])
     for level in sorted({m.relevance for m in parsed if m.kind == "AP"}):
-        found = F.sum(F.when(F.col("relevance") >= level, 1).otherwise(0)).over(in_order)
-        hits = hits.withColumn(f"found_{level}", found)
+        hits = _with_found(hits, keys, level, deepest or depth)
     scores = hits.groupBy(*keys).agg(*[_score(m).alias(m.column) for m in parsed])
 
     population = _ideal(qrels, parsed)

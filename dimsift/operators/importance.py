@@ -147,7 +147,7 @@ def to_long(importance: DataFrame) -> DataFrame:
 
 def from_long(long: DataFrame, queries: DataFrame) -> DataFrame:
     """Back from ``query_id, dim, importance`` to one row per query."""
-    in_order = F.array_sort(F.collect_list(F.struct("dim", "importance")))
+    in_order = F.sort_array(F.collect_list(F.struct("dim", "importance")))
     rows = long.groupBy("query_id").agg(F.transform(in_order, lambda s: s["importance"]).alias("importance"))
     return queries.select("query_id", "vec").join(rows, "query_id")
 

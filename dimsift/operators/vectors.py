@@ -56,7 +56,7 @@ def mean_vectors(members: DataFrame, vectors: DataFrame, keys: list[str]) -> Dat
     """
     found = lookup(vectors.select("doc_id", "vec"), members.select(*keys, "doc_id"))
     by_dim = exploded(found, *keys).groupBy(*keys, "dim").agg(F.avg("value").alias("mean"))
-    in_order = F.array_sort(F.collect_list(F.struct("dim", "mean")))
+    in_order = F.sort_array(F.collect_list(F.struct("dim", "mean")))
     return by_dim.groupBy(*keys).agg(F.transform(in_order, lambda s: s["mean"]).alias("mean"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.vectors import shape
+from ..storage import spread
 from .files import load
 
 MANIFEST = (
@@ -69,7 +70,7 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     manifest = read_manifest(spark, path)
     if manifest["min_dims"] != manifest["max_dims"]:
         raise RuntimeError(f"vectors at {path} differ in length")
-    return load(spark, f"{path}/data", "parquet")
+    return spread(load(spark, f"{path}/data", "parquet"))
 
 
 def manifest_of(vectors: DataFrame, model: str) -> DataFrame:

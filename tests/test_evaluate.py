@@ -110,3 +110,12 @@ def test_run_sanity(spark):
     found = {(r[0], r[1]): tuple(r[2:]) for r in ev.run_sanity(runs, qrels).collect()}
     assert found == {("c1", "m"): (2, 2, 1, False), ("c2", "m"): (1, 1, 0, True)}
     assert [tuple(r) for r in ev.unjudged_queries(runs, qrels).collect()] == [("c1", "2", "m")]
+
+
+def test_deep_levels_equal_windowed_ones(spark, monkeypatch):
+    run = spark.createDataFrame([("q", f"d{i}", 0, float(i * 31 % 101)) for i in range(300)], RUN)
+    qrels = spark.createDataFrame([("q", f"d{i}", i % 4) for i in range(0, 300, 3)], QRELS)
+    measures = ["nDCG", "AP", "AP(rel=2)", "RR", "R@50"]
+    plain = table(ev.evaluate(run, qrels, measures))
+    monkeypatch.setattr(ev, "ONE_TASK_ROWS", 5)
+    assert table(ev.evaluate(run, qrels, measures)) == approx(plain, 1e-12)
