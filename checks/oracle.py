@@ -290,19 +290,12 @@ IMP_OUT = "SELECT query_id, dim::INT AS dim, round(u, 9) AS importance FROM imp"
 RUN_OUT = "SELECT query_id, doc_id, rank, round(score, 6) AS score FROM run"
 FOUND_OUT = "SELECT query_id, alpha, doc_id, rank, round(score, 6) AS score FROM found"
 WEIGHTS_OUT = "SELECT query_id, alpha, dim::INT AS dim, weight::DOUBLE AS weight FROM weights"
-TRIAL_ALPHAS = (0.2, 0.6, 1.0)
 
 
-def trials() -> list[dict]:
-    from .registry import TRIALS
-
-    return TRIALS
-
-
-def study_sql() -> str:
+def study_sql(trials: list[dict]) -> str:
     rows = ", ".join(
-        f"({t['trial_id']}, {t['k']}, {t['kneg']}, {t['lambda_pos']}::DOUBLE, {t['lambda_neg']}::DOUBLE, {t['alpha']}::DOUBLE)"
-        for t in trials()
+        f"({t['trial_id']}, {t['k']}, {t['kneg']}, {t['lambda_pos']!r}::DOUBLE, {t['lambda_neg']!r}::DOUBLE, {t['alpha']!r}::DOUBLE)"
+        for t in trials
     )
     return join_parts(
         run("passages"), qrels("passages"), DIMS, DOC_DIMS, BOTTOM,
@@ -404,10 +397,16 @@ FROM wide JOIN base USING (collection, model, measure)""",
 
 
 def oracle_sql() -> dict[str, str]:
+    from .registry import RANDOM_TRIALS, TRIALS
+
     p, d = "passages", "dialogue"
     prf_p = join_parts(run(p), prf())
     sql = {
         "text_normalize": f"SELECT doc_id::VARCHAR AS doc_id, {normalized(f'({DIRTY})')} AS text FROM documents",
+        "collection_corpus": f"SELECT doc_id::VARCHAR AS doc_id, {normalized('text')} AS text FROM documents",
+        "collection_queries": "SELECT item_id::VARCHAR AS query_id, text FROM benchmark",
+        "collection_qrels": """SELECT doc_id::VARCHAR AS query_id, doc_id::VARCHAR AS doc_id,
+  quality AS relevance FROM labels""",
         "doc_offsets": """SELECT doc_id::VARCHAR AS doc_id,
   row_number() OVER (ORDER BY doc_id::VARCHAR) - 1 AS "offset" FROM documents""",
         "hash_encode": chain(docs(p), final="""SELECT id AS doc_id, unnest(range(64))::INT AS dim,
@@ -472,8 +471,9 @@ def oracle_sql() -> dict[str, str]:
         "eval_sample": chain(SAMPLE, final="SELECT query_id FROM sample"),
         "eval_run": chain(docs(d), SAMPLE, encoded("q0", SOURCES[d, "queries"] + " AND conv_id || '-' || turn IN (SELECT query_id FROM sample)"),
                           "q AS (SELECT id AS query_id, vec FROM q0)", ranking("run", "q", "d0", "query_id", DEPTH), final=RUN_OUT),
-        "trial_grid": chain(study_sql(), final="SELECT * FROM study"),
-        "best_trial": chain(study_sql(), final="SELECT * FROM study ORDER BY value DESC, trial_id LIMIT 1"),
+        "trial_grid": chain(study_sql(TRIALS), final="SELECT * FROM study"),
+        "trial_random": chain(study_sql(RANDOM_TRIALS), final="SELECT * FROM study"),
+        "best_trial": chain(study_sql(TRIALS), final="SELECT * FROM study ORDER BY value DESC, trial_id LIMIT 1"),
         "baseline_means": chain(results_sql(), final="""SELECT collection, model, measure, round(avg(value), 6) AS mean
   FROM results WHERE filter = 'baseline' GROUP BY ALL"""),
         "sweep_means": chain(results_sql(), final="""SELECT collection, model, filter, selector, measure, alpha, round(avg(value), 6) AS mean

@@ -17,7 +17,8 @@ from dimsift.operators.encode import encode_text, hash_model
 from dimsift.operators.search import Limits, search, top_document
 from dimsift.plans import retrieve
 from dimsift.sources import feedback, results as result_files, runs, vectors as vector_files
-from dimsift.storage import materialize, shared_folder
+from dimsift.sources.collections import Catalog, Collection, Table
+from dimsift.storage import shared_folder
 
 from .oracle import MEASURE_QUERIES, SAMPLE_SEED, SAMPLE_SIZE
 from .tables import COLLECTIONS, DEPTH, FILTERS, MEASURES, MODEL, Tables
@@ -26,6 +27,7 @@ P, D = COLLECTIONS
 TRIALS = tune.grid_trials(
     k=(2, 5), kneg=(2, 5), lambda_pos=(1.0,), lambda_neg=(0.1, 0.5), alpha=(0.2, 0.6, 1.0)
 )
+RANDOM_TRIALS = tune.random_trials(["k", "kneg", "lambda_pos", "lambda_neg", "alpha"], 10)
 # Small enough that the passages queries do not fit, so search meets them in hashed cells.
 TIGHT = Limits(broadcast_bytes=8_000, cell_bytes=64_000)
 
@@ -73,6 +75,29 @@ def text_normalize(t):
     return t.doc_texts(P).select("doc_id", normalize(text).alias("text"))
 
 
+def _catalog(t: Tables) -> Catalog:
+    queries = Table(f"{t.sf_dir}/benchmark.parquet", {"query_id": "item_id"})
+    documents = Table(f"{t.sf_dir}/documents.parquet", {})
+    # the labels judge documents, not pairs, so every label stands as its own query here
+    qrels = Table(f"{t.sf_dir}/labels.parquet", {"query_id": "doc_id", "relevance": "quality"})
+    return Catalog(t.spark, Collection(P, "documents", documents, queries, qrels))
+
+
+@query
+def collection_corpus(t):
+    return _catalog(t).corpus(P)
+
+
+@query
+def collection_queries(t):
+    return _catalog(t).queries(P)
+
+
+@query
+def collection_qrels(t):
+    return _catalog(t).qrels(P)
+
+
 @query
 def doc_offsets(t):
     return numbering.dense_offsets(t.doc_texts(P).select("doc_id"), ["doc_id"])
@@ -325,8 +350,8 @@ def eval_run(t):
     return _scores(search(t.docs(D), queries, DEPTH, MODEL))
 
 
-def _study(t: Tables) -> DataFrame:
-    study = tune.run_trials(t.queries(P), TRIALS, t.run(P), t.docs(P), t.qrels(P))
+def _study(t: Tables, trials=TRIALS) -> DataFrame:
+    study = tune.run_trials(t.queries(P), trials, t.run(P), t.docs(P), t.qrels(P))
     return _rounded(study, "value")
 
 
@@ -335,6 +360,11 @@ def trial_grid(t):
     return _study(t)
 
 
+@query
+def trial_random(t):
+    return _study(t, RANDOM_TRIALS)
+
+
 @query
 def best_trial(t):
     return tune.best_trial(_study(t))

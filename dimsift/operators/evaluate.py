@@ -196,23 +196,32 @@ def run_sanity(runs: DataFrame, qrels: DataFrame) -> DataFrame:
     ``runs`` needs ``collection, model, query_id``, ``qrels`` ``collection, query_id``. Masked
     runs, whose name holds ``__``, are left out.
     """
-    run_ids = runs.where(~F.col("model").contains("__")).select("collection", "model", "query_id").distinct()
+    run_ids = _baseline_queries(runs)
     judged = qrels.select("collection", "query_id").distinct().withColumn("judged", F.lit(1))
-    per_run = (
+    counts = (
         run_ids.join(judged, ["collection", "query_id"], "left")
         .groupBy("collection", "model")
         .agg(F.count("*").alias("run_queries"), (F.count("*") - F.count("judged")).alias("missing"))
     )
-    per_collection = judged.groupBy("collection").agg(F.count("*").alias("qrel_queries"))
+    # the judged queries of a collection are one more row next to its models
+    both = counts.unionByName(
+        judged.groupBy("collection").agg(F.count("*").alias("judged_queries")), allowMissingColumns=True
+    )
+    of_collection = F.max("judged_queries").over(Window.partitionBy("collection"))
     return (
-        per_run.join(per_collection, "collection", "left")
-        .withColumn("qrel_queries", F.coalesce("qrel_queries", F.lit(0)))
+        both.withColumn("qrel_queries", F.coalesce(of_collection, F.lit(0)))
+        .where(F.col("model").isNotNull())
         .withColumn("ok", F.col("missing") == 0)
         .select("collection", "model", "run_queries", "qrel_queries", "missing", "ok")
     )
 
 
+def _baseline_queries(runs: DataFrame) -> DataFrame:
+    unmasked = runs.where(~F.col("model").contains("__"))
+    return unmasked.select("collection", "model", "query_id").distinct()
+
+
 def unjudged_queries(runs: DataFrame, qrels: DataFrame) -> DataFrame:
     """The run queries without a judgment, one row each."""
-    run_ids = runs.where(~F.col("model").contains("__")).select("collection", "model", "query_id").distinct()
-    return run_ids.join(qrels.select("collection", "query_id").distinct(), ["collection", "query_id"], "left_anti")
+    judged = qrels.select("collection", "query_id").distinct()
+    return _baseline_queries(runs).join(judged, ["collection", "query_id"], "left_anti")

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import broadcast_if_small, materialize
 
 # monotonically_increasing_id keeps the partition above bit 33 and the row number below it.
 ROW_BITS = 33
+KEY_BYTES = 64  # a generous size for one key column in a broadcast
 
 
 def dense_offsets(df: DataFrame, order: Sequence[Column | str] = (), into: str = "offset") -> DataFrame:
@@ -43,8 +44,9 @@ def places_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     """1-based place of each row within its key; one key may hold any share of the rows."""
     numbered = dense_offsets(df, [*map(F.col, keys), *order], "_offset")
     first = numbered.groupBy(*keys).agg(F.min("_offset").alias("_first"))
+    # a broadcast keeps the rows of a hot key where they are; with too many keys, they are joined
     return (
-        numbered.join(first, list(keys))
+        numbered.join(broadcast_if_small(first, KEY_BYTES * len(first.columns)), list(keys))
         .withColumn(into, (F.col("_offset") - F.col("_first") + 1).cast("int"))
         .drop("_offset", "_first")
     )
