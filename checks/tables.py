@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dimsift.operators.encode import encode_text, hash_model
+from dimsift.operators.evaluate import evaluate
 from dimsift.operators.importance import Answers, Judged, NegativeFeedback, PseudoRelevance
 from dimsift.operators.report import BASELINE
-from dimsift.operators.evaluate import evaluate
 from dimsift.operators.search import search
 from dimsift.operators.tune import graded_qrels
 from dimsift.plans import retrieve
+from dimsift.schemas import REPORT_INPUT
 from dimsift.storage import materialize, spread
 
 MODEL = "hash64"
@@ -144,27 +145,22 @@ class Tables:
         for collection in COLLECTIONS:
             qrels = self.qrels(collection)
             base = evaluate(self.run(collection), qrels, MEASURES, depth=DEPTH)
-            yield _labelled(base, collection, BASELINE, None)
-            for name in FILTERS:
-                for selector in ("top-alpha", "rdime"):
-                    found = self.sweep(collection, name, selector).evaluate(qrels, MEASURES)
-                    yield _labelled(found.results(), collection, name, selector)
+            yield _labelled(base, collection, filter=F.lit(BASELINE))
+            found = retrieve.compare(
+                self.queries(collection), self.docs(collection), [self.prf(collection), self.eclipse(collection)],
+                k=DEPTH, model=MODEL,
+            )
+            yield _labelled(found.results(qrels, MEASURES), collection)
 
 
 def _turn_id(turn) -> Column:
     return F.concat_ws("-", F.col("conv_id").cast("string"), (F.col(turn) if isinstance(turn, str) else turn).cast("string"))
 
 
-def _labelled(results: DataFrame, collection: str, name: str, selector: str | None) -> DataFrame:
-    missing = lambda column, kind: F.col(column) if column in results.columns else F.lit(None).cast(kind)
-    return results.select(
-        F.lit(collection).alias("collection"),
-        F.lit(MODEL).alias("model"),
-        F.lit(name).alias("filter"),
-        F.lit(selector).cast("string").alias("selector"),
-        missing("alpha", "string").alias("alpha"),
-        "query_id",
-        "measure",
-        "value",
-        missing("retained_frac", "double").alias("retained_frac"),
-    )
+def _labelled(results: DataFrame, collection: str, **given: Column) -> DataFrame:
+    """The report columns, with nulls for those a run does not have."""
+    given |= {"collection": F.lit(collection), "model": F.lit(MODEL)}
+    return results.select(*[
+        given.get(f.name, F.col(f.name) if f.name in results.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in REPORT_INPUT.fields
+    ])

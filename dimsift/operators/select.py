@@ -84,10 +84,10 @@ def weights_long(weighted: DataFrame) -> DataFrame:
     return weighted.select("query_id", "alpha", F.posexplode("weights").alias("dim", "weight"))
 
 
-def retained(weighted: DataFrame) -> DataFrame:
+def retained(weighted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of the dimensions kept, per query and setting."""
     return weighted.select(
-        "query_id", "alpha", (arrays.total(F.col("weights")) / F.size("weights")).alias("retained_frac")
+        *by, "query_id", "alpha", (arrays.total(F.col("weights")) / F.size("weights")).alias("retained_frac")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,3 +131,46 @@ def sweep(
     """From a filter to the runs of all its settings, tagged ``model__filter__selector``."""
     tag = f"{model}__{dim_filter.tag}__{selector_tag}"
     return masked_search(dim_filter(queries), vectors, selector_tag, alphas, k, tag)
+
+
+@dataclass(frozen=True)
+class Comparison:
+    """Runs of several filters and selectors, told apart by ``filter``, ``selector`` and ``alpha``."""
+
+    run_table: DataFrame
+    settings: tuple[dict, ...]
+    fractions: DataFrame
+    depth: int
+
+    def results(self, qrels: DataFrame, measures: Sequence[str] = DEFAULT_MEASURES) -> DataFrame:
+        """Per-query results of every setting, with the share of dimensions kept where it varies."""
+        by = ["filter", "selector", "alpha"]
+        measured = evaluate(self.run_table, qrels, measures, by, self.settings, self.depth)
+        return measured.join(self.fractions, [*by, "query_id"], "left")
+
+
+def compare(
+    queries: DataFrame,
+    vectors: DataFrame,
+    filters: Sequence[Filter],
+    selectors: Sequence[str] = ("top-alpha", "rdime"),
+    alphas: Sequence[float] = DEFAULT_ALPHAS,
+    k: int = DEFAULT_K,
+    model: str = "run",
+) -> Comparison:
+    """All settings of all filters and selectors, with the corpus read once for the lot."""
+    parts, settings = [], []
+    for dim_filter in filters:
+        importance = dim_filter(queries)
+        for tag in selectors:
+            weighted = selector(tag).weights(importance, alphas)
+            parts.append(weighted.withColumns({"filter": F.lit(dim_filter.tag), "selector": F.lit(tag)}))
+            labels = [tag] if tag == "rdime" else [alpha_label(a) for a in sorted(alphas)]
+            settings += [{"filter": dim_filter.tag, "selector": tag, "alpha": a} for a in labels]
+    # one row per query and setting: stored, because both the search and the shares read it
+    weighted = materialize(reduce(DataFrame.unionByName, parts), "weights")
+    by = ["filter", "selector", "alpha"]
+    found = search(vectors, apply_weights(weighted), k, model, [*by, "query_id"])
+    tagged = found.withColumn("run", F.concat_ws("__", F.lit(model), "filter", "selector"))
+    rdime = weighted.where(F.col("selector") == "rdime")
+    return Comparison(tagged, tuple(settings), retained(rdime, ("filter", "selector")), k)

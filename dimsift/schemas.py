@@ -28,6 +28,11 @@ RESULTS = T.StructType([
 SWEEP_RESULTS = T.StructType(
     RESULTS.fields + [T.StructField("alpha", STR), T.StructField("retained_frac", DBL)]
 )
+REPORT_INPUT = T.StructType(
+    [T.StructField(name, STR) for name in ("collection", "model", "filter", "selector", "alpha")]
+    + RESULTS.fields
+    + [T.StructField("retained_frac", DBL)]
+)
 CE_SCORES = T.StructType([
     T.StructField("query_id", STR),
     T.StructField("na", STR),

@@ -46,6 +46,13 @@ class Collection:
     qrels: Table
 
 
+def public_collection(name: str, corpus: Table, queries: Table, qrels: Table) -> Collection:
+    """One of the collections whose corpus is known; ``KeyError`` for any other."""
+    if name not in COLLECTION_CORPUS:
+        raise KeyError(f"unknown collection {name!r}; known: {sorted(COLLECTION_CORPUS)}")
+    return Collection(name, COLLECTION_CORPUS[name], corpus, queries, qrels)
+
+
 class Catalog:
     """The collections a session knows; asking for another raises ``KeyError``."""
 

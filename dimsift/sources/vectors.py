@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.vectors import shape
 from ..storage import spread
+from .collections import MODEL_DIMS
 from .files import load
 
 MANIFEST = (
@@ -57,6 +58,9 @@ def write_vectors(df: DataFrame, path: str, model: str, overwrite: bool = False)
     _write_manifest(spark, path, model=model, status="writing")
     df.write.mode("overwrite").parquet(f"{path}/data")
     size = shape(spark.read.parquet(f"{path}/data")).first().asDict()
+    expected = MODEL_DIMS.get(model)
+    if expected and size["n_items"] and {size["min_dims"], size["max_dims"]} != {expected}:
+        raise ValueError(f"{model} vectors have {expected} dimensions, got {size['min_dims']}..{size['max_dims']}")
     _write_manifest(
         spark, path, model=model, dims=size["max_dims"], dtype="float32", status="complete",
         seconds=time.time() - started,

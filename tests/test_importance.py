@@ -174,3 +174,24 @@ def test_threshold_search_reports_shares(micro, run):
     assert sweep.alphas == ("rdime",)
     results = sweep.evaluate(micro.qrels).results().collect()
     assert {r["retained_frac"] for r in results} == {0.75} and len(results) == 4
+
+
+def test_comparison_equals_single_sweeps(micro, run):
+    prf = imp.PseudoRelevance(run, micro.docs, 2)
+    eclipse = imp.NegativeFeedback(prf, run, micro.docs, 2)
+    found = retrieve.compare(micro.queries, micro.docs, [prf, eclipse], alphas=[0.5, 0.25], k=3, model="m")
+    columns = ["query_id", "doc_id", "rank", "score", "run", "alpha"]
+    results = found.results(micro.qrels)
+    assert len(found.settings) == 6 and results.count() == 6 * 4
+    for chosen in (prf, eclipse):
+        for tag in ("top-alpha", "rdime"):
+            single = retrieve.sweep(micro.queries, micro.docs, chosen, tag, [0.25, 0.5], 3, "m")
+            mine = (F.col("filter") == chosen.tag) & (F.col("selector") == tag)
+            assert sorted(found.run_table.where(mine).select(columns).collect()) == sorted(
+                single.run_table.select(columns).collect()
+            )
+            names = ["alpha", "query_id", "measure", "value"]
+            alone = single.evaluate(micro.qrels).results()
+            assert sorted(results.where(mine).select(names).collect()) == sorted(alone.select(names).collect())
+            shares = {r[0] for r in results.where(mine).select("retained_frac").collect()}
+            assert shares == ({0.75} if tag == "rdime" else {None})

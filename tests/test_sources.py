@@ -8,7 +8,7 @@ from dimsift.operators.importance import PseudoRelevance
 from dimsift.operators.search import search
 from dimsift.plans import build, retrieve
 from dimsift.sources import feedback, results, runs, vectors
-from dimsift.sources.collections import Catalog, Collection, Table
+from dimsift.sources.collections import Catalog, Collection, Table, public_collection
 from dimsift.storage import broadcast_if_small, materialize, shared_folder
 
 from .conftest import approx
@@ -106,6 +106,20 @@ def test_vectors_and_manifest(spark, micro, tmp_path):
         vectors.read_vectors(spark, path)
 
 
+def test_known_models_have_known_dimensions(spark, micro, tmp_path):
+    with pytest.raises(ValueError, match="768"):
+        vectors.write_vectors(micro.docs, f"{tmp_path}/v", "ance")
+    assert not vectors.is_complete(spark, f"{tmp_path}/v")
+
+
+def test_public_collections_share_a_corpus():
+    table = Table("x", {})
+    names = {public_collection(c, table, table, table).corpus_name for c in ("dl19", "dl20", "dlhard")}
+    assert len(names) == 1
+    with pytest.raises(KeyError):
+        public_collection("DL19", table, table, table)
+
+
 def test_mixed_lengths_are_refused(spark, tmp_path):
     mixed = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "doc_id string, vec array<float>")
     vectors.write_vectors(mixed, f"{tmp_path}/mixed", "m")
