@@ -116,6 +116,17 @@ def test_rows_without_a_vector_and_empty_sides(spark, micro):
     assert search(micro.docs.where("false"), micro.queries, 10, limits=Limits(broadcast_bytes=1)).count() == 0
 
 
+@pytest.mark.parametrize("limits", [Limits(), CELLS, PAST])
+def test_rows_that_are_not_finite_are_left_out(spark, micro, limits):
+    odd = [("n", [float("nan")] * 4), ("i", [float("inf")] * 4), ("0", [1.0, None, 1.0, 1.0])]
+    docs = micro.docs.unionByName(spark.createDataFrame(odd, micro.docs.schema))
+    queries = micro.queries.unionByName(
+        spark.createDataFrame([(f"bad{i}", [float("nan")] * 4) for i in range(9)], micro.queries.schema)
+    )
+    for k in (2, 10):
+        assert rows(search(docs, queries, k, limits=limits)) == rows(search(micro.docs, micro.queries, k))
+
+
 def test_dimension_mismatch_is_an_error(spark, micro):
     wide = spark.createDataFrame([("q", [1.0] * 5)], "query_id string, vec array<float>")
     with pytest.raises(Exception, match="dimensions"):
