@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
@@ -25,14 +25,18 @@ class Filter(Protocol):
     def __call__(self, queries: DataFrame) -> DataFrame: ...
 
 
-def interaction(queries: DataFrame, means: DataFrame, into: str = "importance") -> DataFrame:
+def interaction(mean: Column | str) -> Column:
     """``q_d * mean_d`` per dimension; zero where a query has no mean."""
-    zeros = F.transform("vec", lambda _: F.lit(0.0))
-    return (
-        queries.join(means, "query_id", "left")
-        .withColumn(into, F.coalesce(arrays.times("vec", "mean"), zeros))
-        .drop("mean")
-    )
+    return F.coalesce(arrays.times("vec", mean), F.transform("vec", lambda _: F.lit(0.0)))
+
+
+def _with_means(queries: DataFrame, means: DataFrame) -> DataFrame:
+    return queries.select("query_id", "vec").join(means, "query_id", "left")
+
+
+def _of(queries: DataFrame, members: DataFrame) -> DataFrame:
+    """Feedback of the given queries only."""
+    return members.select("query_id", "doc_id").join(queries.select("query_id"), "query_id", "left_semi")
 
 
 def top_feedback(run: DataFrame, k: int) -> DataFrame:
@@ -49,6 +53,11 @@ def bottom_feedback(run: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _from_members(queries: DataFrame, members: DataFrame, vectors: DataFrame) -> DataFrame:
+    means = mean_vectors(members, vectors, ["query_id"])
+    return _with_means(queries, means).withColumn("importance", interaction("mean")).drop("mean")
+
+
 @dataclass(frozen=True)
 class PseudoRelevance:
     """The best ``k`` documents of a first run stand in for relevant ones."""
@@ -61,10 +70,11 @@ class PseudoRelevance:
     def tag(self) -> str:
         return f"prf-k{self.k}"
 
+    def members(self, queries: DataFrame) -> DataFrame:
+        return _of(queries, top_feedback(self.run, self.k))
+
     def __call__(self, queries: DataFrame) -> DataFrame:
-        wanted = top_feedback(self.run, self.k).join(queries.select("query_id"), "query_id", "left_semi")
-        means = mean_vectors(wanted, self.vectors, ["query_id"])
-        return interaction(queries.select("query_id", "vec"), means)
+        return _from_members(queries, self.members(queries), self.vectors)
 
 
 @dataclass(frozen=True)
@@ -76,12 +86,11 @@ class Judged:
     threshold: int = 1
     tag: str = "oracular"
 
+    def members(self, queries: DataFrame) -> DataFrame:
+        return _of(queries, self.qrels.where(F.col("relevance") >= self.threshold))
+
     def __call__(self, queries: DataFrame) -> DataFrame:
-        relevant = self.qrels.where(F.col("relevance") >= self.threshold).join(
-            queries.select("query_id"), "query_id", "left_semi"
-        )
-        means = mean_vectors(relevant, self.vectors, ["query_id"])
-        return interaction(queries.select("query_id", "vec"), means)
+        return _from_members(queries, self.members(queries), self.vectors)
 
 
 @dataclass(frozen=True)
@@ -122,15 +131,22 @@ class NegativeFeedback:
         return f"{self.base.tag}-eclipse"
 
     def __call__(self, queries: DataFrame) -> DataFrame:
-        wanted = bottom_feedback(self.run, self.kneg).join(
-            queries.select("query_id"), "query_id", "left_semi"
-        )
-        means = mean_vectors(wanted, self.vectors, ["query_id"])
-        both = interaction(self.base(queries), means, into="negative")
-        return both.withColumn(
-            "importance",
-            combined(F.col("importance"), F.col("negative"), F.lit(self.lambda_pos), F.lit(self.lambda_neg)),
-        ).drop("negative")
+        worst = _of(queries, bottom_feedback(self.run, self.kneg))
+        weights = F.lit(self.lambda_pos), F.lit(self.lambda_neg)
+        if hasattr(self.base, "members") and self.base.vectors.sameSemantics(self.vectors):
+            # both means from one pass over the vectors
+            members = self.base.members(queries).withColumn("part", F.lit("positive")).unionByName(
+                worst.withColumn("part", F.lit("negative"))
+            )
+            means = mean_vectors(members, self.vectors, ["query_id", "part"])
+            means = means.groupBy("query_id").pivot("part", ["positive", "negative"]).agg(F.first("mean"))
+            both = _with_means(queries, means)
+            importance = combined(interaction("positive"), interaction("negative"), *weights)
+        else:
+            negative = mean_vectors(worst, self.vectors, ["query_id"]).withColumnRenamed("mean", "negative")
+            both = self.base(queries).join(negative, "query_id", "left")
+            importance = combined(F.col("importance"), interaction("negative"), *weights)
+        return both.select("query_id", "vec", importance.alias("importance"))
 
 
 def combined(positive, negative, lambda_pos, lambda_neg):

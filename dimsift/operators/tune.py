@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..storage import materialize
 from .evaluate import evaluate
-from .importance import combined
+from .importance import combined, interaction
 from .search import search
 from .vectors import mean_vectors
 
@@ -100,13 +102,19 @@ def _depths(trials: Sequence[Mapping], name: str) -> list[int]:
     return sorted({t[name] for t in trials if t.get(name) is not None})
 
 
-def _feedback_means(places: DataFrame, place: str, depths: list[int], name: str, vectors: DataFrame) -> DataFrame:
-    """``query_id, depth, mean`` for each depth, from one pass over the vectors."""
+def _feedback(places: DataFrame, place: str, depths: list[int], part: str) -> DataFrame:
+    """``query_id, part, depth, doc_id``: the first documents of every query, for each depth."""
     wanted = F.filter(F.array(*map(F.lit, depths)), lambda depth: F.col(place) < depth)
-    members = places.where(F.col(place) < max(depths)).select(
-        "query_id", "doc_id", F.explode(wanted).alias(name)
+    return places.where(F.col(place) < max(depths)).select(
+        "query_id", F.lit(part).alias("part"), F.explode(wanted).alias("depth"), "doc_id"
+    )
+
+
+def _means(stored: DataFrame, part: str, depth: str) -> DataFrame:
+    """The means of one part, ready to be joined on the trial's own depth."""
+    return stored.where(F.col("part") == part).select(
+        "query_id", F.col("depth").alias(depth), F.col("mean").alias(part)
     )
-    return mean_vectors(members, vectors, ["query_id", name])
 
 
 def trial_importance(
@@ -122,32 +130,30 @@ def trial_importance(
     ``kneg`` it subtracts negative feedback.
     """
     keyed = queries.select("query_id", "vec", F.inline(_settings(trials)))
-    zeros = F.transform("vec", lambda _: F.lit(0.0))
+    depths, worst_depths = _depths(trials, "k"), _depths(trials, "kneg")
+    members = []
     if base is None:
-        means = _feedback_means(run, "rank", _depths(trials, "k"), "k", vectors)
-        keyed = keyed.join(means, ["query_id", "k"], "left").withColumn(
-            "importance", F.coalesce(arrays.times("vec", "mean"), zeros)
-        ).drop("mean")
+        members.append(_feedback(run, "rank", depths, "positive"))
+    if worst_depths:
+        worst = Window.partitionBy("query_id").orderBy(F.col("rank").desc())
+        bottom = run.withColumn("place", F.row_number().over(worst)).where(F.col("place") <= max(worst_depths))
+        members.append(_feedback(bottom.withColumn("from_end", F.col("place") - 1), "from_end", worst_depths, "negative"))
+    if members:
+        # all depths of both kinds from one pass over the vectors; read once per kind below
+        every = reduce(DataFrame.unionByName, members)
+        means = materialize(mean_vectors(every, vectors, ["query_id", "part", "depth"]), "means")
+    if base is None:
+        keyed = keyed.join(_means(means, "positive", "k"), ["query_id", "k"], "left")
+        keyed = keyed.withColumn("importance", interaction("positive")).drop("positive")
     else:
         keyed = keyed.join(base.select("query_id", "importance"), "query_id")
-    depths = _depths(trials, "kneg")
-    if depths:
-        worst = Window.partitionBy("query_id").orderBy(F.col("rank").desc())
-        bottom = (
-            run.withColumn("place", F.row_number().over(worst))
-            .where(F.col("place") <= max(depths))
-            .withColumn("from_end", F.col("place") - 1)
-        )
-        means = _feedback_means(bottom, "from_end", depths, "kneg", vectors)
-        negative = F.coalesce(arrays.times("vec", "mean"), zeros)
-        both = combined(
-            F.col("importance"), negative, F.coalesce("lambda_pos", F.lit(1.0)), F.coalesce("lambda_neg", F.lit(0.5))
-        )
-        keyed = (
-            keyed.join(means, ["query_id", "kneg"], "left")
-            .withColumn("importance", F.when(F.col("kneg").isNull(), F.col("importance")).otherwise(both))
-            .drop("mean")
-        )
+    if worst_depths:
+        lambdas = F.coalesce("lambda_pos", F.lit(1.0)), F.coalesce("lambda_neg", F.lit(0.5))
+        both = combined(F.col("importance"), interaction("negative"), *lambdas)
+        keyed = keyed.join(_means(means, "negative", "kneg"), ["query_id", "kneg"], "left")
+        keyed = keyed.withColumn(
+            "importance", F.when(F.col("kneg").isNull(), F.col("importance")).otherwise(both)
+        ).drop("negative")
     return keyed
 
 

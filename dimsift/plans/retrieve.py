@@ -112,6 +112,9 @@ def masked_search(
     """Search with masked queries for every setting; the corpus is read once for all of them."""
     chosen = selector(selector_tag)
     weighted = chosen.weights(importance, alphas)
+    if selector_tag == "rdime":
+        # read twice, by the search and for the shares
+        weighted = materialize(weighted, "weights")
     labels = [chosen.tag] if selector_tag == "rdime" else [alpha_label(a) for a in sorted(alphas)]
     masked = apply_weights(weighted).select("query_id", "alpha", "vec")
     found = search(vectors, masked, k, run, ["query_id", "alpha"]).select(*SWEEP_RUN_COLUMNS)

@@ -51,6 +51,20 @@ def test_negative_feedback(micro, run):
     assert values(plain(micro.queries)) == values(base(micro.queries))
 
 
+def test_negative_feedback_over_any_base(micro, run):
+    base = imp.PseudoRelevance(run, micro.docs, 2)
+
+    class Plain:
+        tag = "plain"
+
+        def __call__(self, queries):
+            return base(queries)
+
+    fused = imp.NegativeFeedback(base, run, micro.docs, 2, 1.5, 0.25)(micro.queries)
+    apart = imp.NegativeFeedback(Plain(), run, micro.docs, 2, 1.5, 0.25)(micro.queries)
+    assert fused.collect() == apart.collect()
+
+
 def test_judged(micro):
     # relevant: 2, 3 and 5
     means = [0.5 / 3, -0.5 / 3, 2.0 / 3, -1.0 / 3]
