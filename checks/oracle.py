@@ -286,7 +286,7 @@ DIRTY = """replace(replace(text, '. ', chr(8230) || ' '), ', ', chr(8211))
 EMB = "emb AS (SELECT vec_id::VARCHAR AS doc_id, embedding AS vec FROM embeddings)"
 EMB_DIMS = "ed AS (SELECT doc_id, unnest(range(len(vec))) AS dim, unnest(vec)::DOUBLE AS value FROM emb)"
 WANTED = "wanted AS (SELECT doc_id::VARCHAR AS doc_id FROM labels)"
-IMP_OUT = "SELECT query_id, dim::INT AS dim, round(u, 9) AS importance FROM imp"
+IMP_OUT = "SELECT query_id, dim::INT AS dim, round(u, 9) + 0.0 AS importance FROM imp"
 RUN_OUT = "SELECT query_id, doc_id, rank, round(score, 6) AS score FROM run"
 FOUND_OUT = "SELECT query_id, alpha, doc_id, rank, round(score, 6) AS score FROM found"
 WEIGHTS_OUT = "SELECT query_id, alpha, dim::INT AS dim, weight::DOUBLE AS weight FROM weights"
@@ -413,13 +413,13 @@ def oracle_sql() -> dict[str, str]:
   unnest(vec) AS value FROM d0"""),
         "query_encode": chain(queries(d), final="""SELECT id AS query_id, unnest(range(64))::INT AS dim,
   unnest(vec) AS value FROM q0"""),
-        "vector_lookup": chain(EMB, EMB_DIMS, WANTED, final="""SELECT doc_id, dim::INT AS dim, round(value, 6) AS value
+        "vector_lookup": chain(EMB, EMB_DIMS, WANTED, final="""SELECT doc_id, dim::INT AS dim, round(value, 6) + 0.0 AS value
   FROM ed JOIN wanted USING (doc_id)"""),
         "missing_ids": chain(EMB, WANTED, final="SELECT DISTINCT doc_id FROM wanted ANTI JOIN emb USING (doc_id)"),
-        "centroid": chain(EMB, EMB_DIMS, final="SELECT dim::INT AS dim, round(avg(value), 6) AS value FROM ed GROUP BY 1"),
-        "l2_normalize": chain(EMB, EMB_DIMS, final="""SELECT doc_id, dim::INT AS dim, round(CASE WHEN n = 0 THEN value ELSE value / n END, 6) AS value
+        "centroid": chain(EMB, EMB_DIMS, final="SELECT dim::INT AS dim, round(avg(value), 6) + 0.0 AS value FROM ed GROUP BY 1"),
+        "l2_normalize": chain(EMB, EMB_DIMS, final="""SELECT doc_id, dim::INT AS dim, round(CASE WHEN n = 0 THEN value ELSE value / n END, 6) + 0.0 AS value
   FROM ed JOIN (SELECT doc_id, sqrt(sum(value * value)) AS n FROM ed GROUP BY 1) USING (doc_id)"""),
-        "l2_normalize_subset": chain(EMB, EMB_DIMS, WANTED, final="""SELECT doc_id, dim::INT AS dim, round(CASE WHEN n = 0 THEN value ELSE value / n END, 6) AS value
+        "l2_normalize_subset": chain(EMB, EMB_DIMS, WANTED, final="""SELECT doc_id, dim::INT AS dim, round(CASE WHEN n = 0 THEN value ELSE value / n END, 6) + 0.0 AS value
   FROM ed JOIN (SELECT doc_id, sqrt(sum(value * value)) AS n FROM ed GROUP BY 1) USING (doc_id) SEMI JOIN wanted USING (doc_id)"""),
         "vector_manifest": chain(EMB, final="""SELECT 'embeddings' AS model, count(*) AS n_items, min(len(vec))::INT AS min_dims,
   max(len(vec))::INT AS max_dims, CASE WHEN min(len(vec)) = max(len(vec)) THEN 'complete' ELSE 'incomplete' END AS status FROM emb"""),
@@ -431,7 +431,7 @@ def oracle_sql() -> dict[str, str]:
         "eclipse_importance": chain(run(p), eclipse(), final=IMP_OUT),
         "oracular_importance": chain(docs(p), queries(p), "q AS (SELECT id AS query_id, vec FROM q0)", qrels(p), oracular(), final=IMP_OUT),
         "answer_importance": chain(answer_importance(), final=IMP_OUT),
-        "importance_ranked": chain(prf_p, RANKED, final="SELECT query_id, dim::INT AS dim, round(u, 9) AS importance, drank FROM ranked"),
+        "importance_ranked": chain(prf_p, RANKED, final="SELECT query_id, dim::INT AS dim, round(u, 9) + 0.0 AS importance, drank FROM ranked"),
         "importance_subset": chain(prf_p, qrels(p), final=IMP_OUT + " SEMI JOIN (SELECT query_id FROM qrels WHERE relevance = 3) USING (query_id)"),
         "top_alpha_mask": chain(prf_p, top_alpha(), final=WEIGHTS_OUT),
         "top_k_mask": chain(prf_p, RANKED, final="""SELECT query_id, dim::INT AS dim,
