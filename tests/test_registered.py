@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from checks import oracle, registry
 
 from .conftest import DATA
 
 TABLES = "documents embeddings benchmark labels conversations".split()
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = registry.QUERIES, oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +31,7 @@ def canonical(rows, names):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
