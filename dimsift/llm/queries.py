@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import forced_split, line_crf, packing, token_cache
+from . import forced_split, line_crf, packing, quality_net, token_cache
 from .tokenizer_file import TokenizerFile, default_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op4_line_labelling(spark, sf_dir):
     return line_crf.judge(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op5_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_net.score(docs, quality_net.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op9_token_counts(spark, sf_dir):
     file = TokenizerFile(spark, default_path("word_bpe_49k.json"))
