@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import forced_split, line_crf, packing, quality_net, token_cache
+from . import forced_split, line_crf, packing, quality_net, token_cache, warc
 from .tokenizer_file import TokenizerFile, default_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,25 @@ def op2_forced_boundary_bpe(spark, sf_dir):
     return forced_split.round_trip(table(spark, sf_dir, "documents"), file)
 
 
+@query
+def op3_warc_zstd(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    back = warc.archive_pages(pages, payload=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op3_warc_zstd"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS best FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
+FROM d
+"""
+
+
 @query
 def op4_line_labelling(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
