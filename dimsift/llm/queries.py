@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import forced_split, line_crf, packing, quality_net, token_cache, warc
+from . import forced_split, hash_forest, line_crf, packing, quality_net, token_cache, warc
 from .tokenizer_file import TokenizerFile, default_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +60,12 @@ def op5_quality_classifier(spark, sf_dir):
     return quality_net.score(docs, quality_net.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op7_hash_prefix_forest(spark, sf_dir):
+    index, hashes = hash_forest.build(table(spark, sf_dir, "embeddings"))
+    return hash_forest.search(index, hashes, index.where(F.col("vec_id") % 50 == 0))
+
+
 @query
 def op9_token_counts(spark, sf_dir):
     file = TokenizerFile(spark, default_path("word_bpe_49k.json"))
