@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forced_split, hash_forest, line_crf, packing, quality_net, token_cache, warc
+from . import debruijn, forced_split, hash_forest, line_crf, packing, quality_net, token_cache, warc
 from .tokenizer_file import TokenizerFile, default_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_debruijn_dedup(spark, sf_dir):
+    kept = debruijn.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL["op1_debruijn_dedup"] = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS pos, w FROM w),
+e AS (SELECT doc_id, pos, array_to_string(w[pos:pos + 12], ' ') AS edge FROM windows),
+covered AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY edge) AS low FROM e) WHERE low < doc_id),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM w),
+gone AS (SELECT DISTINCT doc_id, pos + unnest(range(0, 13)) AS pos FROM covered),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op2_forced_boundary_bpe(spark, sf_dir):
     file = TokenizerFile(spark, default_path("byte_bpe_50k.json"))
