@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, forced_split, hash_forest, line_crf, packing, quality_net, token_cache, warc
+from . import debruijn, forced_split, hash_forest, line_crf, minhash_join, packing, quality_net, token_cache, warc
 from .tokenizer_file import TokenizerFile, default_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,28 @@ def op7_hash_prefix_forest(spark, sf_dir):
     return hash_forest.search(index, hashes, index.where(F.col("vec_id") % 50 == 0))
 
 
+@query
+def op8_minhash_join(spark, sf_dir):
+    return minhash_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+SQL["op8_minhash_join"] = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE
+  list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS grams FROM w WHERE len(w) > 0),
+sets AS (SELECT min(doc_id) AS node, count(*) AS n_copies, grams FROM s GROUP BY grams),
+g AS (SELECT node, len(grams) AS n, unnest(grams) AS gram FROM sets),
+pairs AS (SELECT a.node AS a, b.node AS b FROM g a JOIN g b ON a.gram = b.gram AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 10 * count(*) >= 8 * (a.n + b.n - count(*))),
+reach AS (SELECT node, node AS seen FROM sets UNION SELECT reach.node, pairs.b FROM reach JOIN pairs ON pairs.a = reach.seen),
+classes AS (SELECT node, min(seen) AS class_id FROM reach GROUP BY node),
+links AS (SELECT a AS node, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT s.doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, n_copies
+FROM s JOIN sets USING (grams) JOIN classes USING (node) LEFT JOIN links USING (node)
+UNION ALL SELECT doc_id, doc_id, 0, 1 FROM w WHERE len(w) = 0
+"""
+
+
 @query
 def op9_token_counts(spark, sf_dir):
     file = TokenizerFile(spark, default_path("word_bpe_49k.json"))
