@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHUNK_BYTES = 4 << 20  # of text that one numpy step works on; a longer text is a step of its own
 WORD_GAPS = (0x20, *range(0x09, 0x0E))
@@ -23,7 +24,7 @@ _is_gap[list(WORD_GAPS)] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``step`` over every Arrow batch, cut so that one call sees about ``CHUNK_BYTES`` of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

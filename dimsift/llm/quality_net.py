@@ -223,3 +223,14 @@ def score(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str =
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = arrow.map_batches(rows, step, f"doc_id {kind}, score double, predicted int")
     return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` (with a ``text``) that the classifier does not reject, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        m = shared.value
+        return batch.filter(pa.array(m.network.scores(pool(batch["text"], m.vectors)) >= threshold))
+
+    return arrow.map_batches(docs, step, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, forced_split, hash_forest, line_crf, minhash_join, packing, quality_net, token_cache, warc
+from . import debruijn, forced_split, hash_forest, line_crf, minhash_join, packing, patience, quality_net, token_cache, warc
 from .tokenizer_file import TokenizerFile, default_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,12 @@ def op5_quality_classifier(spark, sf_dir):
     return quality_net.score(docs, quality_net.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op6_patience_line_dedup(spark, sf_dir):
+    kept = patience.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op7_hash_prefix_forest(spark, sf_dir):
     index, hashes = hash_forest.build(table(spark, sf_dir, "embeddings"))
