@@ -9,6 +9,9 @@ least hash; a window can only repeat if its minimizer does, and neighbouring win
 theirs. Minimizers found in two or more documents are put into a sieve of fixed size, and only windows
 that pass it become edges.
 
+An edge that very many documents have is not shuffled either: such edges are few, their sources are
+summed up in the map tasks and sent to all.
+
 Covered edges of a document whose sources follow one another are one path: it ends where the graph
 branches, or where the source does. Paths are kept as spans with the coordinates of their source and a
 check sum of their edges, which the words must give again when the span is removed.
@@ -18,23 +21,23 @@ Edges are 64-bit hashes of words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
 from . import arrow
+from .sieve import Sieve
 
 WINDOW = 13
 MINIMIZER = 5
-SIEVE_BITS = 1 << 24  # of the sieves sent to tasks, 2 MB each; a full one lets more rows through and loses none
-HOT_SHARE = 1000  # a minimizer in more than one of so many documents is hot; so there are few
+HOT_SHARE = 1000  # what more than one of so many documents have is hot; so there is little of it
 HOT_LEAST = 1000
 CHECK = np.int64(0xFFFFFFFF)
+NO_ID = -(1 << 63)  # no id is smaller, so nothing covers it
 
 COVERED = "doc_id long, place int, source long, source_place int, sum long"
 SPANS = "doc_id long, start int, edges int, source long, source_start int, sum long"
@@ -52,21 +55,6 @@ def window_edges(words: arrow.Words, size: int) -> tuple[np.ndarray, ...]:
     return edges, least, words.text[at], at - words.first[words.text[at]]
 
 
-class Sieve:
-    """One bit per digest of a key."""
-
-    def __init__(self, keys: DataFrame):
-        slot = F.pmod("key", F.lit(SIEVE_BITS))
-        bits = keys.select(F.shiftright(slot, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(key, {SIEVE_BITS}) % 64 AS int))").alias("bit"))
-        self.bits = np.zeros(SIEVE_BITS // 64, np.uint64)
-        for batch in bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
-            self.bits[batch["at"].to_numpy()] = batch["bits"].to_numpy().view(np.uint64)
-
-    def passes(self, keys: np.ndarray) -> np.ndarray:
-        slot = keys.view(np.int64) % SIEVE_BITS
-        return (self.bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-
-
 def minimizers(docs: DataFrame, size: int) -> DataFrame:
     """``key, documents``: minimizers that more than one document has, and in how many rows they came."""
 
@@ -86,13 +74,28 @@ def minimizers(docs: DataFrame, size: int) -> DataFrame:
     return found.where("low < high").select("key", "documents")
 
 
-def edges(docs: DataFrame, sieve: Broadcast, hot: Broadcast, hot_ones: bool, size: int) -> DataFrame:
-    """``edge, doc_id, place`` of the windows that may repeat, of hot minimizers or of the others."""
+class HotEdges:
+    """Sources of the edges of very many documents, sorted by edge; few enough to be sent to every task."""
+
+    def __init__(self, table: pa.Table | None = None):
+        columns = [np.zeros(0, np.int64)] * 3 if table is None else [table[n].to_numpy().astype(np.int64) for n in ("edge", "source", "place")]
+        order = np.argsort(columns[0])
+        self.edge, self.source, self.place = (c[order] for c in columns)
+
+    def at(self, hashed: np.ndarray) -> np.ndarray:
+        """Where each edge stands in the table, or -1."""
+        if not len(self.edge):
+            return np.full(len(hashed), -1)
+        found = np.minimum(np.searchsorted(self.edge, hashed), len(self.edge) - 1)
+        return np.where(self.edge[found] == hashed, found, -1)
+
+
+def edges(docs: DataFrame, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> DataFrame:
+    """``edge, doc_id, place`` of the windows that ``chosen`` tells by their hashes and minimizers."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashed, least, text, place = window_edges(arrow.Words(batch["text"]), size)
-        some = np.flatnonzero(sieve.value.passes(least))
-        some = some[np.isin(least[some], hot.value) == hot_ones]
+        some = np.flatnonzero(chosen(hashed, least))
         owner = batch["doc_id"].to_numpy()[text[some]]
         return pa.RecordBatch.from_arrays(
             [pa.array(arrow.signed(hashed[some])), pa.array(owner), pa.array(place[some].astype(np.int32))], ["edge", "doc_id", "place"]
@@ -101,6 +104,24 @@ def edges(docs: DataFrame, sieve: Broadcast, hot: Broadcast, hot_ones: bool, siz
     return arrow.map_batches(docs, step, "edge long, doc_id long, place int")
 
 
+def hot_edges(docs: DataFrame, found: DataFrame, size: int) -> HotEdges:
+    """Edges that come more often than ``1 / HOT_SHARE`` of the number of documents.
+
+    There are at most ``HOT_SHARE`` times as many as a mean document has windows, whatever the corpus.
+    """
+    often = max(HOT_LEAST, docs.count() // HOT_SHARE)
+    keys = found.where(F.col("documents") > often).select("key").toArrow()["key"].to_numpy().view(np.uint64)
+    if not len(keys):
+        return HotEdges()
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(keys))
+    rows = edges(docs, lambda _, least: np.isin(least, sent.value), size)
+    counted = rows.groupBy("edge").agg(
+        F.min(F.struct("doc_id", "place")).alias("_source"), F.max("doc_id").alias("_high"), F.count("*").alias("_often")
+    )
+    hot = counted.where((F.col("_often") > often) & (F.col("_source.doc_id") < F.col("_high")))
+    return HotEdges(hot.select("edge", F.col("_source.doc_id").alias("source"), F.col("_source.place").alias("place")).toArrow())
+
+
 def covered_in_order(rows: DataFrame) -> DataFrame:
     """Covered edges by one pass over each partition in the order of edge, document and place.
 
@@ -128,22 +149,6 @@ def covered_in_order(rows: DataFrame) -> DataFrame:
     return rows.repartition("edge").sortWithinPartitions("edge", "doc_id", "place").mapInArrow(run, COVERED)
 
 
-def covered_by_join(rows: DataFrame) -> DataFrame:
-    """Covered edges of hot minimizers: sources are summed up in the map tasks, then joined.
-
-    An edge may be in a third of all documents; a join of a long side with a short one can be split.
-    """
-    sources = (
-        rows.groupBy("edge").agg(F.min(F.struct("doc_id", "place")).alias("_source"), F.max("doc_id").alias("_high"))
-        .where("_source.doc_id < _high").select("edge", "_source")
-    )
-    joined = rows.join(sources, "edge").where("doc_id > _source.doc_id")
-    return joined.select(
-        "doc_id", "place", F.col("_source.doc_id").alias("source"), F.col("_source.place").alias("source_place"),
-        F.col("edge").bitwiseAND(F.lit(int(CHECK))).alias("sum"),
-    )
-
-
 def paths(covered: DataFrame) -> DataFrame:
     """Spans of covered edges that follow one another, as do their sources."""
 
@@ -165,45 +170,54 @@ def paths(covered: DataFrame) -> DataFrame:
     return covered.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(run, SPANS)
 
 
-def repeated_spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int = WINDOW) -> tuple[DataFrame, HotEdges]:
     """``doc_id, start, edges, source, source_start, sum``, stored: spans of ``edges + size - 1`` words found earlier.
 
-    ``docs`` has ``doc_id`` (long) and ``text``. Rows without an id or a text take no part.
+    Edges of very many documents are not in the spans but in a table of their sources. ``docs`` has
+    ``doc_id`` (long) and ``text``; rows without an id or a text take no part.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     found = materialize(minimizers(docs, size), "minimizers")
-    sieve = spark.sparkContext.broadcast(Sieve(found))
-    often = max(HOT_LEAST, docs.count() // HOT_SHARE)
-    # at most HOT_SHARE times the minimizers of a mean document
-    hot_keys = found.where(F.col("documents") > often).select("key").toArrow()["key"].to_numpy().view(np.uint64)
-    hot = spark.sparkContext.broadcast(np.sort(hot_keys))
-    covered = covered_in_order(edges(docs, sieve, hot, False, size))
-    if len(hot_keys):
-        covered = covered.unionByName(covered_by_join(edges(docs, sieve, hot, True, size)))
-    return materialize(paths(covered), "spans")
+    sieve, hot = context.broadcast(Sieve(found)), hot_edges(docs, found, size)
+    sent = context.broadcast(hot)
+    rows = edges(docs, lambda hashed, least: sieve.value.passes(least) & (sent.value.at(arrow.signed(hashed)) < 0), size)
+    return materialize(paths(covered_in_order(rows)), "spans"), hot
 
 
-def remove(docs: DataFrame, spans: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``doc_id, n_words, n_removed, text``: the words outside the spans, joined by one space.
+def remove(docs: DataFrame, spans: DataFrame, hot: HotEdges, size: int = WINDOW, squeeze: bool = True) -> DataFrame:
+    """``docs`` with ``n_words, n_removed`` and as ``text`` the words outside spans and hot edges, joined by one space.
 
-    Only documents that may have spans are shuffled; a sieve of fixed size tells which. A span counts
-    for a row if the edges there have the span's sum, so rows that share an id keep apart.
+    Only documents that may have spans are shuffled, other columns with them; a sieve of fixed size tells
+    which. A span counts for a row if the edges there have the span's sum, so rows that share an id keep
+    apart. Without ``squeeze``, texts that lose nothing stay as they are.
     """
-    spark = docs.sparkSession
-    sieve = spark.sparkContext.broadcast(Sieve(spans.select(F.xxhash64("doc_id").alias("key"))))
-    kind = "doc_id long, n_words long, n_removed long, text string"
-    marked = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("_key"))
+    context = docs.sparkSession.sparkContext
+    sieve = context.broadcast(Sieve(spans.select(F.xxhash64("doc_id").alias("key"))))
+    sent = context.broadcast(hot)
+    inner = docs.schema.simpleString()[len("struct<") : -1]
+    kind = f"{inner},n_words:bigint,n_removed:bigint"
+    marked = docs.withColumn("_key", F.xxhash64("doc_id"))
+
+    def chosen(batch: pa.RecordBatch, yes: bool) -> pa.RecordBatch:
+        return batch.filter(pa.array(sieve.value.passes(batch["_key"].to_numpy()) == yes)).drop_columns(["_key"])
 
     def answer(batch: pa.RecordBatch, spans_of: list | None) -> pa.RecordBatch:
         words = arrow.Words(batch["text"])
         keep = np.ones(len(words.starts), bool)
-        if spans_of is not None:
+        if spans_of is not None or len(sent.value.edge):
             hashed, at = words.windows(size)
-            sums = np.concatenate(([0], np.cumsum(hashed.view(np.int64) & CHECK)))
+            hashed = arrow.signed(hashed)
+            sums = np.concatenate(([0], np.cumsum(hashed & CHECK)))
             edge_at = np.searchsorted(at, np.arange(len(words.starts) + 1))
             cover = np.zeros(len(words.starts) + 1, np.int64)
-            for i, some in enumerate(spans_of):
+            hit = sent.value.at(hashed)
+            some = np.flatnonzero(hit >= 0)
+            owner = batch["doc_id"].take(pa.array(words.text[at[some]])).fill_null(NO_ID).to_numpy()
+            some = some[owner > sent.value.source[hit[some]]]
+            cover[at[some]] += 1  # a word begins one window
+            np.subtract.at(cover, at[some] + size, 1)
+            for i, some in enumerate(spans_of or ()):
                 lo, hi = words.first[i], words.first[i + 1]
                 for s in some or ():
                     begin, end = lo + s["start"], lo + s["start"] + s["edges"] + size - 1
@@ -213,29 +227,31 @@ def remove(docs: DataFrame, spans: DataFrame, size: int = WINDOW) -> DataFrame:
             keep = np.cumsum(cover)[:-1] == 0
         kept = np.concatenate(([0], np.cumsum(keep)))
         left = kept[words.first[1:]] - kept[words.first[:-1]]
-        texts = [words.joined(i, keep).decode() for i in range(batch.num_rows)]
-        return pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(words.counts.astype(np.int64)), pa.array((words.counts - left).astype(np.int64)), pa.array(texts, pa.string())],
-            ["doc_id", "n_words", "n_removed", "text"],
-        )
+        gone = words.counts - left
+        if squeeze or gone.any():
+            old = None if squeeze else batch["text"].to_pylist()
+            texts = [words.joined(i, keep).decode() if squeeze or gone[i] else old[i] for i in range(batch.num_rows)]
+            batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+        return batch.append_column("n_words", pa.array(words.counts.astype(np.int64))).append_column("n_removed", pa.array(gone.astype(np.int64)))
 
-    def untouched(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return answer(batch.filter(pa.array(~sieve.value.passes(batch["_key"].to_numpy()))), None)
+    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "edges", "sum")).alias("_spans"))
+    some = arrow.map_batches(marked, lambda batch: chosen(batch, True), docs.schema)
+    some = some.join(by_doc.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_spans")
+    cut = arrow.map_batches(some, lambda batch: answer(batch.drop_columns(["_spans"]), batch["_spans"].to_pylist()), kind)
+    return arrow.map_batches(marked, lambda batch: answer(chosen(batch, False), None), kind).unionByName(cut)
 
-    def touched(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(sieve.value.passes(batch["_key"].to_numpy()))).select(["doc_id", "text"])
 
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "edges", "sum")).alias("spans"))
-    some = arrow.map_batches(marked, touched, "doc_id long, text string").join(by_doc.hint("shuffle_hash"), "doc_id", "left")
-    cut = arrow.map_batches(some, lambda batch: answer(batch, batch["spans"].to_pylist()), kind)
-    return arrow.map_batches(marked, untouched, kind).unionByName(cut)
-
-
-def dedup(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_removed, text``: every row without the words that a smaller document's windows cover.
+def dedup(
+    df: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text", squeeze: bool = True, carry: list[str] | None = None
+) -> DataFrame:
+    """``doc_id, text, n_words, n_removed``: every row without the words that a smaller document's windows cover.
 
     A null text has no words; a row without an id keeps all of its words and covers none. Rows that
-    repeat an id do not cover each other. An empty table gives no rows. Texts are taken whole.
+    repeat an id do not cover each other. An empty table gives no rows. Texts are taken whole. Columns
+    named in ``carry`` come along.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return remove(rows, repeated_spans(rows, size), size)
+    docs = df.select(
+        F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *(carry or [])
+    )
+    spans, hot = repeated_spans(docs.select("doc_id", "text"), size)
+    return remove(docs, spans, hot, size, squeeze)
