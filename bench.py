@@ -21,7 +21,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = (
     "text_normalize", "doc_offsets", "hash_encode", "centroid", "l2_normalize", "vector_lookup",
-    "baseline_topk", "baseline_topk_cells", "dialogue_topk",
+    "baseline_topk", "baseline_topk_blocks", "dialogue_topk",
     "prf_importance", "eclipse_importance", "oracular_importance", "answer_importance",
     "top_alpha_mask", "rdime_mask", "masked_search", "alpha_sweep", "rdime_search", "eclipse_sweep",
     "dialogue_answer_sweep", "eval_all", "sweep_eval", "sweep_summary_table", "results_with_retained",

@@ -6,8 +6,6 @@ Each statement is a chain of common table expressions, built from the definition
 
 from __future__ import annotations
 
-from dimsift.functions import text as text_rules
-
 from .tables import DEPTH, FILTERS, K, KNEG, MODEL, POOL, SCORE_SCALE, SCORE_SHIFT
 
 ALPHAS = [round(0.1 * i, 1) for i in range(1, 11)]
@@ -226,10 +224,16 @@ def long_measures(name: str = "per", by: str = "", only=("nDCG@10", "AP", "R@100
 
 
 def swept(collection: str, name: str, selector: str, alphas=ALPHAS) -> str:
-    weights = RDIME if selector == "rdime" else top_alpha(alphas)
+    weights = {"rdime": RDIME, "soft": SOFT}.get(selector) or top_alpha(alphas)
     return join_parts(run(collection), FILTER_SQL[name](), weights, masked_run())
 
 
+# importance scaled to [0, 1] per query, on a grid of sixteenths, so that sums stay exact
+SOFT = """weights AS (
+  SELECT query_id, 'soft' AS alpha, dim, x, floor(CASE WHEN high > low THEN (u - low) / (high - low) ELSE 1.0 END * 16) / 16 AS weight
+  FROM (SELECT *, min(u) OVER (PARTITION BY query_id) AS low, max(u) OVER (PARTITION BY query_id) AS high FROM imp))"""
+
+
 def swept_results(collection: str, name: str, selector: str, alphas=ALPHAS) -> str:
     return join_parts(
         swept(collection, name, selector, alphas), qrels(collection),
@@ -267,21 +271,35 @@ def results_sql() -> str:
     return f"results AS MATERIALIZED ({union})"
 
 
-def _literal(text: str) -> str:
-    """Characters as an SQL expression, control characters by code."""
-    return "concat(" + ", ".join(f"chr({ord(c)})" for c in text) + ")"
+# Code points that text normalisation unifies, and into what.
+UNIFIED = {
+    " ": (0x0B, 0x0C, 0x85),
+    "-": (0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2015, 0x2043, 0x207B, 0x2212, 0xFF0D),
+    '"': (0x201C, 0x201D, 0x201E, 0x201F),
+    "'": (0x60, 0xB4, 0x55A, 0x2018, 0x2019, 0x201A, 0x201B, 0x2032, 0x2035, 0xA78B, 0xA78C, 0xFF07),
+    "/": (0x2044, 0x2215),
+    "''": (0x2033, 0x2036),
+    "'''": (0x2034, 0x2037),
+    "''''": (0x2057,),
+    "...": (0x2026,),
+    "": (*range(0x01, 0x09), 0x0E, 0x0F, *range(0x11, 0x1C), 0xAD),
+}
+# neighbours of those, which stay
+KEPT = (0x09, 0x10, 0x1C, 0xAB, 0x2016, 0x2017, 0x2027, 0x2042, 0x2045, 0x223C)
+INJECTED = [c for codes in UNIFIED.values() for c in codes] + list(KEPT)
 
 
 def normalized(column: str) -> str:
-    sources, targets = text_rules.translate_pairs()
-    out = f"translate({column}, {_literal(sources)}, {_literal(targets)})"
-    for char, replacement in text_rules.TO_SEVERAL.items():
-        out = f"replace({out}, chr({ord(char)}), {_literal(replacement)})"
-    return f"replace({out}, '{text_rules.SPACED_DOTS[0]}', '{text_rules.SPACED_DOTS[1]}')"
+    out = column
+    for target, codes in UNIFIED.items():
+        into = "concat('', " + ", ".join(f"chr({ord(c)})" for c in target) + ")" if target else "''"
+        for code in codes:
+            out = f"replace({out}, chr({code}), {into})"
+    return f"replace({out}, ' . . . ', ' ... ')"
 
 
-DIRTY = """replace(replace(text, '. ', chr(8230) || ' '), ', ', chr(8211))
-  || chr(173) || chr(8216) || chr(8243) || chr(8260) || chr(1) || ' . . . '"""
+# every character between letters, so that none goes missing unseen
+DIRTY = "text || concat(" + ", ".join(f"'a', chr({c}), 'b'" for c in INJECTED) + ") || ' . . . '"
 
 EMB = "emb AS (SELECT vec_id::VARCHAR AS doc_id, embedding AS vec FROM embeddings)"
 EMB_DIMS = "ed AS (SELECT doc_id, unnest(range(len(vec))) AS dim, unnest(vec)::DOUBLE AS value FROM emb)"
@@ -424,8 +442,21 @@ def oracle_sql() -> dict[str, str]:
         "vector_manifest": chain(EMB, final="""SELECT 'embeddings' AS model, count(*) AS n_items, min(len(vec))::INT AS min_dims,
   max(len(vec))::INT AS max_dims, CASE WHEN min(len(vec)) = max(len(vec)) THEN 'complete' ELSE 'incomplete' END AS status FROM emb"""),
         "baseline_topk": chain(run(p), final=RUN_OUT),
-        "baseline_topk_cells": chain(run(p), final=RUN_OUT),
+        "baseline_topk_blocks": chain(run(p), final=RUN_OUT),
         "dialogue_topk": chain(run(d), final=RUN_OUT),
+        "alpha_sweep_blocks": chain(swept(p, "prf-k2", "top-alpha"), final=FOUND_OUT),
+        "embeddings_topk": chain(EMB, """q AS (SELECT vec_id::VARCHAR AS query_id, list_transform(embedding, lambda v: v::DOUBLE) AS vec
+  FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels))""",
+            "d0 AS (SELECT doc_id AS id, list_transform(vec, lambda v: v::DOUBLE) AS vec FROM emb)",
+            ranking("run", "q", "d0", "query_id", DEPTH), final="SELECT query_id, doc_id, rank, round(score, 5) + 0.0 AS score FROM run"),
+        "eval_deep_run": chain(
+            docs(p), queries(p), "q AS (SELECT id AS query_id, vec FROM q0)", ranking("run", "q", "d0", "query_id", 1000), qrels(p),
+            """hits AS (SELECT r.query_id, count(*) AS n FROM run r JOIN qrels q
+  ON q.query_id = r.query_id AND q.doc_id = r.doc_id WHERE q.relevance > 0 GROUP BY 1)""",
+            final="""SELECT j.query_id, 'R@1000' AS measure, round(coalesce(n / nullif(n_rel, 0), 0), 6)::DOUBLE AS value
+  FROM (SELECT query_id, count(*) FILTER (relevance > 0) AS n_rel FROM qrels GROUP BY 1) j LEFT JOIN hits USING (query_id)"""),
+        "query_offsets": """SELECT item_id::VARCHAR AS query_id, row_number() OVER (ORDER BY item_id) - 1 AS "offset" FROM benchmark""",
+        "soft_weight_search": chain(swept(p, "prf-k2", "soft"), final=FOUND_OUT),
         "top1": chain(run(p), final="SELECT query_id, doc_id, round(score, 6) AS score FROM run WHERE rank = 0"),
         "prf_importance": chain(prf_p, final=IMP_OUT),
         "eclipse_importance": chain(run(p), eclipse(), final=IMP_OUT),
@@ -501,7 +532,14 @@ def oracle_sql() -> dict[str, str]:
     sql["eval_all"] = every
     sql["eval_summary"] = chain(run(p), qrels(p), measured("run"), long_measures(),
                                 final="SELECT measure, round(avg(value), 6) AS mean FROM per_long GROUP BY 1")
+    # documents listed or judged twice count once
+    sql["eval_repeated_docs"] = every
+    sql["sweep_per_query"] = chain(swept_results(p, "prf-k2", "top-alpha", [0.5]),
+                                   final="SELECT query_id, measure, round(value, 6) AS value FROM per_long")
+    sql["sweep_mean"] = chain(swept_results(p, "prf-k2", "top-alpha", [0.5]),
+                              final="SELECT measure, round(avg(value), 6) AS mean FROM per_long GROUP BY 1")
     # what is written and read back is what was computed
+    sql["build_and_search"] = sql["baseline_topk"]
     sql["run_file"] = sql["baseline_topk"]
     sql["sweep_files"] = sql["alpha_sweep"]
     sql["results_file"] = sql["results_with_retained"]

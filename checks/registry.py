@@ -15,12 +15,12 @@ from dimsift.operators import numbering, report, select, tune
 from dimsift.operators import vectors as vec
 from dimsift.operators.encode import encode_text, hash_model
 from dimsift.operators.search import Limits, search, top_document
-from dimsift.plans import retrieve
+from dimsift.plans import build, retrieve
 from dimsift.sources import feedback, results as result_files, runs, vectors as vector_files
 from dimsift.sources.collections import Catalog, Collection, Table
-from dimsift.storage import shared_folder
+from dimsift.storage import shared_folder, spread
 
-from .oracle import MEASURE_QUERIES, SAMPLE_SEED, SAMPLE_SIZE
+from .oracle import INJECTED, MEASURE_QUERIES, SAMPLE_SEED, SAMPLE_SIZE
 from .tables import COLLECTIONS, DEPTH, FILTERS, MEASURES, MODEL, Tables
 
 P, D = COLLECTIONS
@@ -28,8 +28,8 @@ TRIALS = tune.grid_trials(
     k=(2, 5), kneg=(2, 5), lambda_pos=(1.0,), lambda_neg=(0.1, 0.5), alpha=(0.2, 0.6, 1.0)
 )
 RANDOM_TRIALS = tune.random_trials(["k", "kneg", "lambda_pos", "lambda_neg", "alpha"], 10)
-# Small enough that the passages queries do not fit, so search meets them in hashed cells.
-TIGHT = Limits(broadcast_bytes=8_000, cell_bytes=64_000)
+# Small enough that queries are searched in several blocks.
+TIGHT = Limits(broadcast_bytes=8_000)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -68,11 +68,9 @@ def _prf(t: Tables, collection: str = P) -> DataFrame:
 
 @query
 def text_normalize(t):
-    # the given texts hold none of the characters in question, so some are put in first
-    text = F.replace(F.col("text"), F.lit(". "), F.lit("… "))
-    text = F.replace(text, F.lit(", "), F.lit("–"))
-    text = F.concat(text, F.lit("­‘″⁄\u0001 . . . "))
-    return t.doc_texts(P).select("doc_id", normalize(text).alias("text"))
+    # the given texts hold none of the characters in question, so all are put in first
+    dirty = "".join(f"a{chr(c)}b" for c in INJECTED)
+    return t.doc_texts(P).select("doc_id", normalize(F.concat("text", F.lit(dirty), F.lit(" . . . "))).alias("text"))
 
 
 def _catalog(t: Tables) -> Catalog:
@@ -103,14 +101,20 @@ def doc_offsets(t):
     return numbering.dense_offsets(t.doc_texts(P).select("doc_id"), ["doc_id"])
 
 
+@query
+def query_offsets(t):
+    queries = t.query_texts(P).select("query_id")
+    return numbering.dense_offsets(queries, [F.col("query_id").cast("long")])
+
+
 @query
 def hash_encode(t):
-    return vec.exploded(encode_text(t.doc_texts(P), hash_model()), "doc_id")
+    return vec.exploded(encode_text(spread(t.doc_texts(P)), hash_model()), "doc_id")
 
 
 @query
 def query_encode(t):
-    return vec.exploded(encode_text(t.query_texts(D), hash_model()), "query_id")
+    return vec.exploded(encode_text(spread(t.query_texts(D)), hash_model()), "query_id")
 
 
 def _wanted(t: Tables) -> DataFrame:
@@ -156,10 +160,19 @@ def baseline_topk(t):
 
 
 @query
-def baseline_topk_cells(t):
+def baseline_topk_blocks(t):
     return _scores(search(t.docs(P), t.queries(P), DEPTH, MODEL, limits=TIGHT))
 
 
+@query
+def embeddings_topk(t):
+    # the given vectors, whose sums are not exact in any order: compared to five places
+    queries = t.embeddings().join(_wanted(t).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+    return search(t.embeddings(), queries, DEPTH, MODEL).select(
+        "query_id", "doc_id", "rank", (F.round("score", 5) + 0.0).alias("score")
+    )
+
+
 @query
 def dialogue_topk(t):
     return _scores(search(t.docs(D), t.queries(D), DEPTH, MODEL))
@@ -242,6 +255,33 @@ def alpha_sweep(t):
     return _scores(t.sweep(P).run_table, "alpha")
 
 
+@query
+def alpha_sweep_blocks(t):
+    masked = select.apply_weights(select.TopAlpha().weights(_prf(t))).select("query_id", "alpha", "vec")
+    found = search(t.docs(P), masked, DEPTH, MODEL, ["query_id", "alpha"], Limits(broadcast_bytes=64_000))
+    return _scores(found, "alpha")
+
+
+class SoftWeights:
+    """Importance scaled to [0, 1] per query, on a grid of sixteenths."""
+
+    tag = "soft"
+
+    def weights(self, importance, alphas=None):
+        low, high = F.array_min("importance"), F.array_max("importance")
+        scaled = F.transform(
+            "importance", lambda u: F.floor(F.when(high > low, (u - low) / (high - low)).otherwise(1.0) * 16) / 16
+        )
+        return importance.select(
+            "query_id", F.lit(self.tag).alias("alpha"), F.lit(None).cast("double").alias("alpha_value"), "vec", scaled.alias("weights")
+        )
+
+
+@query
+def soft_weight_search(t):
+    return _scores(t.sweep(P, selector=SoftWeights()).run_table, "alpha")
+
+
 @query
 def rdime_search(t):
     return _scores(t.sweep(P, selector="rdime").run_table, "alpha")
@@ -312,6 +352,35 @@ def results_with_retained(t):
     return _rounded(t.sweep(D, selector="rdime").evaluate(t.qrels(D), MEASURES).results(), "value")
 
 
+@query
+def eval_repeated_docs(t):
+    # every document listed and judged a second time, lower
+    run = t.run(P).select("query_id", "doc_id", "score")
+    qrels = t.qrels(P)
+    again = run.withColumn("score", F.col("score") - 0.125)
+    judged = qrels.unionByName(qrels.withColumn("relevance", F.greatest(F.col("relevance") - 1, F.lit(0))))
+    return _rounded(ev.evaluate(run.unionByName(again), judged, MEASURES), "value")
+
+
+@query
+def eval_deep_run(t):
+    """The depth and the recall measure that are used unless told otherwise."""
+    run = retrieve.baseline(t.docs(P), t.queries(P), model=MODEL)
+    return _rounded(ev.evaluate(run, t.qrels(P), ["R@1000"]), "value")
+
+
+@query
+def sweep_per_query(t):
+    return _rounded(t.sweep(P, alphas=[0.5]).evaluate(t.qrels(P), MEASURES).per_query(0.5), "value")
+
+
+@query
+def sweep_mean(t):
+    measured = t.sweep(P, alphas=[0.5]).evaluate(t.qrels(P), MEASURES)
+    rows = [(m, round(measured.mean(0.5, m), 6)) for m in MEASURES]
+    return t.spark.createDataFrame(rows, "measure string, mean double")
+
+
 def _sanity_input(t: Tables):
     masked = t.run(P).withColumn("model", F.lit(f"{MODEL}__prf-k2__rdime"))
     every = t.run(P).withColumn("model", F.lit(MODEL)).unionByName(masked)
@@ -428,6 +497,17 @@ def delta_pct(t):
 # written and read back
 
 
+@query
+def build_and_search(t):
+    """Encode, skip what is there, encode again on demand, search, and take the stored run the second time."""
+    root = _new_path(t, "build")
+    catalog = _catalog(t)
+    for overwrite in (False, False, True):
+        build.build(t.spark, catalog, P, MODEL, hash_model(), root, overwrite)
+    build.search_collection(t.spark, catalog, P, MODEL, root, DEPTH)
+    return _scores(build.search_collection(t.spark, catalog, P, MODEL, root, DEPTH))
+
+
 @query
 def run_file(t):
     path = _new_path(t, "run")
@@ -469,11 +549,10 @@ def conversation_answers(t):
 
 @query
 def answers_file(t):
-    # one file whose order is the order of turns; every conversation repeats its id
     path = _new_path(t, "answers")
     turns = t.raw("conversations").where(F.col("role") == "assistant")
     rows = turns.orderBy("conv_id", "turn").select(F.col("conv_id").cast("string").alias("query_id"), "text")
-    rows.write.option("header", True).option("escape", '"').csv(path)
+    feedback.write_answers(rows, path)
     return feedback.read_answers(t.spark, path)
 
 

@@ -50,7 +50,7 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _once(self, name: str, make) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
@@ -81,7 +81,7 @@ class Tables:
     def docs(self, collection: str, salt: int = 0) -> DataFrame:
         return self._once(
             f"{collection}-docs-{salt}",
-            lambda: encode_text(self.doc_texts(collection), hash_model(salt=salt)),
+            lambda: encode_text(spread(self.doc_texts(collection)), hash_model(salt=salt)),
         )
 
     def queries(self, collection: str, salt: int = 0) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Every judged query counts, with 0 where the run has nothing for it. The ranking is taken from
 ``score`` (ties: larger ``doc_id`` first), not from the ``rank`` column; unjudged documents are
-not relevant. Several runs are measured in one job by naming their setting columns in ``by``.
+not relevant. A document listed or judged several times counts once, with its best score or grade, so
+no measure exceeds 1. Several runs are measured in one job by naming their setting columns in ``by``.
 """
 
 from __future__ import annotations
@@ -19,9 +20,8 @@ from .numbering import places_in_group
 # What is measured unless told otherwise.
 DEFAULT_MEASURES = ("nDCG@10", "AP", "R@1000", "RR@10")
 
-# A query with more run rows than this is numbered by range partitions, not by one task.
+# A query with more run rows than this is numbered by range partitions, not by one task; to the same numbers.
 ONE_TASK_ROWS = 2_000_000
-MAX_SETTINGS = 10_000
 
 
 @dataclass(frozen=True)
@@ -125,12 +125,17 @@ def _value(m: Measure) -> Column:
     return F.coalesce(score, F.lit(0.0)).alias(m.name)
 
 
-def settings_of(run: DataFrame, by: Sequence[str]) -> list[dict]:
-    """The distinct settings in a stored run: a handful of labels, whatever its size."""
-    rows = run.select(*by).distinct().limit(MAX_SETTINGS + 1).collect()
-    if len(rows) > MAX_SETTINGS:
-        raise ValueError(f"more than {MAX_SETTINGS} distinct {list(by)}")
-    return [row.asDict() for row in rows]
+def _with_settings(population: DataFrame, run: DataFrame, by: list[str], settings: Sequence[dict] | None) -> DataFrame:
+    """Every judged query once per setting; settings that are not given are those of the run."""
+    if settings is not None:
+        rows = [F.struct(*[F.lit(s[c]).alias(c) for c in by]) for s in settings]
+        return population.select("*", F.inline(F.array(*rows)))
+    # one row that holds the distinct settings, met on a key that is 0 everywhere
+    listed = run.groupBy(*by).agg(F.count("*").alias("_rows")).agg(
+        F.collect_list(F.struct(*by)).alias("_settings"), F.coalesce(F.sum("_rows") * 0, F.lit(0)).alias("_all")
+    )
+    keyed = population.withColumn("_all", F.pmod(F.xxhash64("query_id"), F.lit(1)))
+    return keyed.join(listed, "_all").drop("_all").select("*", F.inline("_settings")).drop("_settings")
 
 
 def evaluate(
@@ -143,14 +148,16 @@ def evaluate(
 ) -> DataFrame:
     """``by, query_id, measure, value`` for all measures in one pass.
 
-    ``settings`` lists the values of the ``by`` columns (read from the run if not given), so that
+    ``settings`` lists the values of the ``by`` columns (those of the run if not given), so that
     every setting reports every judged query. ``depth`` is the largest number of rows per query,
-    if the caller knows it.
+    if the caller knows it; if a measure without cutoff needs it, it is counted here. ``run`` should be
+    a stored table, whose size Spark knows.
     """
     parsed = [parse_measure(m) for m in measures]
     by, keys = list(by), [*by, "query_id"]
-    run = run.select(*keys, "doc_id", "score")
-    relevant = qrels.where("relevance > 0").select("query_id", "doc_id", "relevance")
+    run = run.groupBy(*keys, "doc_id").agg(F.max("score").alias("score"))
+    qrels = qrels.groupBy("query_id", "doc_id").agg(F.max("relevance").alias("relevance"))
+    relevant = qrels.where("relevance > 0")
     order = [F.col("score").desc(), F.col("doc_id").desc()]
     deepest = _deepest(parsed)
     if deepest is None and depth is None:
@@ -162,10 +169,7 @@ def evaluate(
 
     population = _ideal(qrels, parsed)
     if by:
-        if settings is None:
-            settings = settings_of(run, by)
-        rows = [F.struct(*[F.lit(s[c]).alias(c) for c in by]) for s in settings]
-        population = population.select("*", F.inline(F.array(*rows)))
+        population = _with_settings(population, run, by, settings)
     wide = population.join(scores, keys, "left").select(*keys, *[_value(m) for m in parsed])
     return wide.unpivot(keys, [m.name for m in parsed], "measure", "value")
 

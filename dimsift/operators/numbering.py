@@ -11,18 +11,20 @@ from ..storage import broadcast_if_small, materialize
 
 # monotonically_increasing_id keeps the partition above bit 33 and the row number below it.
 ROW_BITS = 33
-KEY_BYTES = 64  # a generous size for one key column in a broadcast
 
 
-def dense_offsets(df: DataFrame, order: Sequence[Column | str] = (), into: str = "offset") -> DataFrame:
-    """Number the rows 0..N-1 in ``order``, or in input order when none is given.
+def dense_offsets(df: DataFrame, order: Sequence[Column | str], into: str = "offset") -> DataFrame:
+    """Number the rows 0..N-1 in ``order``.
+
+    The order has to be given: rows that are read from several files come in no order of their own.
 
     A range partitioning sorts the table in parallel. The rows are stored with their place in
     their partition, so that later stages see the same places; only the partition sizes, one row
     per partition, meet in one task.
     """
-    if order:
-        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    if not order:
+        raise ValueError("name the columns that give the order")
+    df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = materialize(df.withColumn("_at", F.monotonically_increasing_id()), "offsets")
     placed = placed.withColumn("_part", F.shiftrightunsigned("_at", ROW_BITS))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -43,10 +45,10 @@ def dense_offsets(df: DataFrame, order: Sequence[Column | str] = (), into: str =
 def places_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], into: str) -> DataFrame:
     """1-based place of each row within its key; one key may hold any share of the rows."""
     numbered = dense_offsets(df, [*map(F.col, keys), *order], "_offset")
-    first = numbered.groupBy(*keys).agg(F.min("_offset").alias("_first"))
+    first = materialize(numbered.groupBy(*keys).agg(F.min("_offset").alias("_first")), "firsts")
     # a broadcast keeps the rows of a hot key where they are; with too many keys, they are joined
     return (
-        numbered.join(broadcast_if_small(first, KEY_BYTES * len(first.columns)), list(keys))
+        numbered.join(broadcast_if_small(first), list(keys))
         .withColumn(into, (F.col("_offset") - F.col("_first") + 1).cast("int"))
         .drop("_offset", "_first")
     )

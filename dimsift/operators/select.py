@@ -2,13 +2,15 @@
 
 A weight frame has one row per query and setting: ``query_id, alpha, alpha_value, vec, weights``.
 ``alpha`` is a label (``"0.1"`` .. ``"1.0"`` or ``"rdime"``), ``alpha_value`` its number or null.
-Every step works inside the row. A selector is any object with a ``tag`` and a ``weights`` method.
+Every step works inside the row. A selector is any object with a ``tag`` and a method ``weights`` from
+an importance frame (and the fractions asked for) to a weight frame; weights may be hard or soft.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,12 +69,27 @@ class NoiseThreshold:
         )
 
 
-def selector(tag: str):
-    """The selector of that name."""
+class Selector(Protocol):
+    tag: str
+
+    def weights(self, importance: DataFrame, alphas: Sequence[float] | None = None) -> DataFrame: ...
+
+
+def selector(chosen: str | Selector) -> Selector:
+    """The selector of that name, or the object itself."""
+    if not isinstance(chosen, str):
+        return chosen
     known = {s.tag: s for s in (TopAlpha(), NoiseThreshold())}
-    if tag not in known:
-        raise ValueError(f"unknown selector {tag!r}; known: {sorted(known)}")
-    return known[tag]
+    if chosen not in known:
+        raise ValueError(f"unknown selector {chosen!r}; known: {sorted(known)}")
+    return known[chosen]
+
+
+def labels(chosen: Selector, alphas: Sequence[float]) -> list[str] | None:
+    """The settings a selector makes, where its kind tells; else they are in its weights."""
+    if isinstance(chosen, TopAlpha):
+        return [alpha_label(a) for a in sorted(alphas)]
+    return [chosen.tag] if isinstance(chosen, NoiseThreshold) else None
 
 
 def apply_weights(weighted: DataFrame) -> DataFrame:

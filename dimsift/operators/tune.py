@@ -19,6 +19,7 @@ from ..storage import materialize
 from .evaluate import evaluate
 from .importance import combined, interaction
 from .search import search
+from .select import Selector, TopAlpha, apply_weights, selector
 from .vectors import mean_vectors
 
 # Fixed values of a study.
@@ -163,21 +164,29 @@ def run_trials(
     run: DataFrame,
     vectors: DataFrame,
     qrels: DataFrame,
-    selector: str = "top-alpha",
+    chosen: str | Selector = "top-alpha",
     base: DataFrame | None = None,
     depth: int = DEPTH,
     measure: str = MEASURE,
 ) -> DataFrame:
     """``trial_id``, its parameters and ``value``, the mean of ``measure`` over the judged queries."""
+    chosen = selector(chosen)
     keyed = trial_importance(queries, trials, run, vectors, base)
-    if selector == "rdime":
-        weights = arrays.threshold_weights(F.col("vec"), F.col("importance"))
-    else:
+    if isinstance(chosen, TopAlpha):  # the fraction is the trial's own
         k = arrays.alpha_to_k(F.col("alpha"), F.size("importance"))
         weights = arrays.top_k_weights(arrays.dim_ranks("importance"), k)
-    masked = keyed.select("trial_id", "query_id", arrays.times(F.col("vec"), weights).alias("vec"))
+        weighted = keyed.select("trial_id", "query_id", "vec", weights.alias("weights"))
+    else:
+        # a selector knows queries, not trials: to it, every pair of both is a query
+        pair = F.to_json(F.struct("trial_id", "query_id"))
+        parts = F.from_json("query_id", "trial_id int, query_id string")
+        weighted = chosen.weights(keyed.select(pair.alias("query_id"), "vec", "importance"))
+        weighted = weighted.withColumn("_pair", parts).select(
+            F.col("_pair.trial_id").alias("trial_id"), F.col("_pair.query_id").alias("query_id"), "vec", "weights"
+        )
+    masked = apply_weights(weighted)
     keys = ["trial_id", "query_id"]
-    found = search(vectors, masked, depth, "trial", keys)
+    found = materialize(search(vectors, masked, depth, "trial", keys), "trials")
     settings = [{"trial_id": t["trial_id"]} for t in trials]
     results = evaluate(found, qrels, [measure], ["trial_id"], settings, depth)
     means = results.groupBy("trial_id").agg(F.avg("value").alias("value"))

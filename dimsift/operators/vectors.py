@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..storage import broadcast_if_small
-
-ID_BYTES = 64  # a generous size for one id in a broadcast
+from ..storage import broadcast_if_small, materialize
 
 
 def missing_ids(vectors: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -16,17 +16,24 @@ def missing_ids(vectors: DataFrame, ids: DataFrame, key: str = "doc_id") -> Data
     return ids.select(key).distinct().join(vectors.select(key), key, "left_anti")
 
 
+def require(vectors: DataFrame, ids: DataFrame, key: str = "doc_id") -> None:
+    """Raise ``KeyError`` naming up to five ids without a vector, if there are any."""
+    absent = [row[0] for row in missing_ids(vectors, ids, key).limit(5).collect()]
+    if absent:
+        raise KeyError(f"no vector for {absent}")
+
+
 def lookup(vectors: DataFrame, ids: DataFrame, key: str = "doc_id", strict: bool = False) -> DataFrame:
     """The vector of every row of ``ids``; other columns of ``ids`` come along.
 
-    The id side is broadcast when it is small, so the vector table is scanned but not moved.
-    ``strict`` raises ``KeyError`` naming up to five ids without a vector.
+    The distinct ids are stored, and broadcast if their files are small, so the vector table is scanned
+    but not moved; only vectors that are wanted meet the other columns. ``strict`` raises ``KeyError``
+    for ids without a vector.
     """
+    wanted = materialize(ids.select(key).distinct(), "wanted")
     if strict:
-        absent = [row[0] for row in missing_ids(vectors, ids, key).limit(5).collect()]
-        if absent:
-            raise KeyError(f"no vector for {absent}")
-    return vectors.join(broadcast_if_small(ids, ID_BYTES * len(ids.columns)), key)
+        require(vectors, wanted, key)
+    return vectors.join(broadcast_if_small(wanted), key, "left_semi").join(ids, key)
 
 
 def exploded(vectors: DataFrame, *keys: str, column: str = "vec") -> DataFrame:
@@ -37,8 +44,11 @@ def exploded(vectors: DataFrame, *keys: str, column: str = "vec") -> DataFrame:
 
 
 def centroid(vectors: DataFrame) -> DataFrame:
-    """Mean of all vectors as ``dim, value``; summed in the map tasks, so D rows per task move."""
-    return exploded(vectors).groupBy("dim").agg(F.avg("value").alias("value"))
+    """Mean of all vectors as ``dim, value``; every task sends one vector."""
+    mean = vectors.where(F.col("vec").isNotNull()).agg(
+        F.count("*").alias("n"), Summarizer.mean(array_to_vector(F.col("vec").cast("array<double>"))).alias("mean")
+    )
+    return mean.where("n > 0").select(F.posexplode(vector_to_array("mean")).alias("dim", "value"))
 
 
 def normalized(vectors: DataFrame, ids: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
@@ -49,12 +59,12 @@ def normalized(vectors: DataFrame, ids: DataFrame | None = None, key: str = "doc
 
 
 def mean_vectors(members: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, mean``: the mean vector of the documents listed per key.
+    """``keys, mean``: the mean vector of the documents listed per key; each has to have a vector.
 
     Sums per (key, dimension) form in the map tasks, so a key with very many members costs no
     more to shuffle than any other.
     """
-    found = lookup(vectors.select("doc_id", "vec"), members.select(*keys, "doc_id"))
+    found = lookup(vectors.select("doc_id", "vec"), members.select(*keys, "doc_id"), strict=True)
     by_dim = exploded(found, *keys).groupBy(*keys, "dim").agg(F.avg("value").alias("mean"))
     in_order = F.sort_array(F.collect_list(F.struct("dim", "mean")))
     return by_dim.groupBy(*keys).agg(F.transform(in_order, lambda s: s["mean"]).alias("mean"))

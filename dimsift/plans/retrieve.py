@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.evaluate import DEFAULT_MEASURES, evaluate, summary, summary_table, with_retained
 from ..operators.importance import Filter
 from ..operators.search import DEFAULT_K, search
-from ..operators.select import DEFAULT_ALPHAS, alpha_label, apply_weights, retained, selector
+from ..operators.select import DEFAULT_ALPHAS, Selector, TopAlpha, alpha_label, apply_weights, labels, retained, selector
 from ..schemas import RESULT_COLUMNS, SWEEP_RUN_COLUMNS
 from ..sources import results as result_files
 from ..sources import runs as run_files
@@ -21,7 +21,7 @@ from ..storage import materialize
 
 @dataclass(frozen=True)
 class Sweep:
-    """Runs of one filter and selector for several settings, and what was measured on them."""
+    """Runs of one filter and selector for several settings, stored, and what was measured on them."""
 
     run_table: DataFrame
     alphas: tuple[str, ...]
@@ -29,10 +29,6 @@ class Sweep:
     metrics: DataFrame | None = None
     depth: int | None = None
 
-    def stored(self) -> Sweep:
-        """The same sweep with its run written, so that measuring and saving it search only once."""
-        return replace(self, run_table=materialize(self.run_table, "sweep"))
-
     def run(self, alpha: float | str) -> DataFrame:
         """The run of one setting; ``KeyError`` for a setting the sweep does not have."""
         return self.run_table.where(F.col("alpha") == self._known(alpha))
@@ -101,39 +97,50 @@ def baseline(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, model:
     return materialize(search(vectors, queries.select("query_id", "vec"), k, model), "run")
 
 
+def _stored_weights(chosen: Selector, importance: DataFrame, alphas: Sequence[float]) -> tuple[DataFrame, list[str]]:
+    """Weights of all settings, stored where they are read more than once, and the settings."""
+    weighted, known = chosen.weights(importance, alphas), labels(chosen, alphas)
+    if not isinstance(chosen, TopAlpha):
+        weighted = materialize(weighted, "weights")
+    if known is None:
+        known = sorted(r[0] for r in weighted.select("alpha").distinct().collect())
+    return weighted, known
+
+
 def masked_search(
     importance: DataFrame,
     vectors: DataFrame,
-    selector_tag: str = "top-alpha",
+    chosen: str | Selector = "top-alpha",
     alphas: Sequence[float] = DEFAULT_ALPHAS,
     k: int = DEFAULT_K,
     run: str = "run",
 ) -> Sweep:
-    """Search with masked queries for every setting; the corpus is read once for all of them."""
-    chosen = selector(selector_tag)
-    weighted = chosen.weights(importance, alphas)
-    if selector_tag == "rdime":
-        # read twice, by the search and for the shares
-        weighted = materialize(weighted, "weights")
-    labels = [chosen.tag] if selector_tag == "rdime" else [alpha_label(a) for a in sorted(alphas)]
+    """Search with masked queries for every setting; the corpus is read once for all of them.
+
+    ``chosen`` is a selector or the name of a built-in one. The runs are stored: measuring, saving
+    and looking at them does not search again.
+    """
+    chosen = selector(chosen)
+    weighted, known = _stored_weights(chosen, importance, alphas)
     masked = apply_weights(weighted).select("query_id", "alpha", "vec")
     found = search(vectors, masked, k, run, ["query_id", "alpha"]).select(*SWEEP_RUN_COLUMNS)
-    fractions = retained(weighted) if selector_tag == "rdime" else None
-    return Sweep(found, tuple(labels), fractions, depth=k)
+    fractions = None if isinstance(chosen, TopAlpha) else retained(weighted)
+    return Sweep(materialize(found, "sweep"), tuple(known), fractions, depth=k)
 
 
 def sweep(
     queries: DataFrame,
     vectors: DataFrame,
     dim_filter: Filter,
-    selector_tag: str = "top-alpha",
+    chosen: str | Selector = "top-alpha",
     alphas: Sequence[float] = DEFAULT_ALPHAS,
     k: int = DEFAULT_K,
     model: str = "run",
 ) -> Sweep:
     """From a filter to the runs of all its settings, tagged ``model__filter__selector``."""
-    tag = f"{model}__{dim_filter.tag}__{selector_tag}"
-    return masked_search(dim_filter(queries), vectors, selector_tag, alphas, k, tag)
+    chosen = selector(chosen)
+    tag = f"{model}__{dim_filter.tag}__{chosen.tag}"
+    return masked_search(dim_filter(queries), vectors, chosen, alphas, k, tag)
 
 
 @dataclass(frozen=True)
@@ -156,7 +163,7 @@ def compare(
     queries: DataFrame,
     vectors: DataFrame,
     filters: Sequence[Filter],
-    selectors: Sequence[str] = ("top-alpha", "rdime"),
+    selectors: Sequence[str | Selector] = ("top-alpha", "rdime"),
     alphas: Sequence[float] = DEFAULT_ALPHAS,
     k: int = DEFAULT_K,
     model: str = "run",
@@ -165,15 +172,16 @@ def compare(
     parts, settings = [], []
     for dim_filter in filters:
         importance = dim_filter(queries)
-        for tag in selectors:
-            weighted = selector(tag).weights(importance, alphas)
-            parts.append(weighted.withColumns({"filter": F.lit(dim_filter.tag), "selector": F.lit(tag)}))
-            labels = [tag] if tag == "rdime" else [alpha_label(a) for a in sorted(alphas)]
-            settings += [{"filter": dim_filter.tag, "selector": tag, "alpha": a} for a in labels]
+        for chosen in map(selector, selectors):
+            weighted, known = _stored_weights(chosen, importance, alphas)
+            same = isinstance(chosen, TopAlpha)  # keeps as much for every query
+            named = {"filter": F.lit(dim_filter.tag), "selector": F.lit(chosen.tag), "same": F.lit(same)}
+            parts.append(weighted.select("query_id", "alpha", "vec", "weights").withColumns(named))
+            settings += [{"filter": dim_filter.tag, "selector": chosen.tag, "alpha": a} for a in known]
     # one row per query and setting: stored, because both the search and the shares read it
     weighted = materialize(reduce(DataFrame.unionByName, parts), "weights")
     by = ["filter", "selector", "alpha"]
     found = search(vectors, apply_weights(weighted), k, model, [*by, "query_id"])
     tagged = found.withColumn("run", F.concat_ws("__", F.lit(model), "filter", "selector"))
-    rdime = weighted.where(F.col("selector") == "rdime")
-    return Comparison(tagged, tuple(settings), retained(rdime, ("filter", "selector")), k)
+    fractions = retained(weighted.where(~F.col("same")), ("filter", "selector"))
+    return Comparison(materialize(tagged, "comparison"), tuple(settings), fractions, k)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.evaluate import settings_of
 from ..schemas import RUN, RUN_COLUMNS, SWEEP_RUN, SWEEP_RUN_COLUMNS
 from .files import load
 
@@ -40,7 +39,7 @@ def read_sweep(spark: SparkSession, path: str, alpha: str | None = None) -> Data
 
 def alphas_of(run: DataFrame) -> list[str]:
     """The settings present, numbers in order before labels; a handful of values."""
-    labels = [setting["alpha"] for setting in settings_of(run, ["alpha"])]
+    labels = [r[0] for r in run.select("alpha").distinct().collect()]
 
     def place(label: str):
         try:

@@ -56,7 +56,7 @@ def write_vectors(df: DataFrame, path: str, model: str, overwrite: bool = False)
         return read_manifest(spark, path)
     started = time.time()
     _write_manifest(spark, path, model=model, status="writing")
-    df.write.mode("overwrite").parquet(f"{path}/data")
+    df.withColumn("vec", F.col("vec").cast("array<float>")).write.mode("overwrite").parquet(f"{path}/data")
     size = shape(spark.read.parquet(f"{path}/data")).first().asDict()
     expected = MODEL_DIMS.get(model)
     if expected and size["n_items"] and {size["min_dims"], size["max_dims"]} != {expected}:

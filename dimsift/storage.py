@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 256 * 1024 * 1024
+SPREAD_BYTES = 64 * 1024 * 1024
+
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +30,25 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used; it goes when the session's process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_forget)
+    _made.append((spark, path))
+    return path
+
+
+def _forget() -> None:
+    """Delete the intermediate tables of this process, as far as a session is left to do it with."""
+    for spark, path in _made:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session is gone, and with it the way to the folder
+            return
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
@@ -33,24 +56,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     file statistics, none of which a cached plan in executor memory would.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast when the counted size is within ``limit``; else leave an ordinary join.
+def bytes_of(df: DataFrame) -> int:
+    """Size that Catalyst expects of ``df``; for a stored table, the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_if_small(stored: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the files of a stored table are within ``limit``; else leave an ordinary join.
 
-    ``df`` should be a stored table or a cheap projection of one: it is counted here.
+    A quarter of the limit is allowed on disk, since values unfold in memory.
     """
-    rows = df.count()
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+    return F.broadcast(stored) if bytes_of(stored) * 4 <= limit else stored
 
 
 def spread(stored: DataFrame) -> DataFrame:
-    """Deal a stored table out over the cores if it has fewer splits than there are cores.
+    """Deal a small stored table with fewer splits than cores out over the cores, in no order.
 
-    Tables with enough splits are left alone, so nothing big is shuffled.
+    Tables above ``SPREAD_BYTES`` have splits enough, or row groups that should be smaller; they are
+    read where they are.
     """
     cores = stored.sparkSession.sparkContext.defaultParallelism
-    return stored if stored.rdd.getNumPartitions() >= cores else stored.repartition(cores)
+    if bytes_of(stored) > SPREAD_BYTES or stored.rdd.getNumPartitions() >= cores:
+        return stored
+    return stored.repartition(cores)

@@ -119,3 +119,27 @@ def test_deep_levels_equal_windowed_ones(spark, monkeypatch):
     plain = table(ev.evaluate(run, qrels, measures))
     monkeypatch.setattr(ev, "ONE_TASK_ROWS", 5)
     assert table(ev.evaluate(run, qrels, measures)) == approx(plain, 1e-12)
+
+
+@pytest.mark.parametrize("one_task_rows", [2_000_000, 0])
+def test_repeated_documents_count_once(spark, monkeypatch, one_task_rows):
+    """The best score and the best grade count, however rows are numbered."""
+    monkeypatch.setattr(ev, "ONE_TASK_ROWS", one_task_rows)
+    once = [("q", "a", 3.0), ("q", "b", 2.0), ("q", "c", 1.0)]
+    judged = [("q", "b", 2), ("q", "c", 1)]
+    run = lambda rows: spark.createDataFrame(rows, "query_id string, doc_id string, score double")
+    qrels = lambda rows: spark.createDataFrame(rows, "query_id string, doc_id string, relevance int")
+    measures = ["AP", "R@10", "nDCG@3", "RR"]
+    plain = ev.evaluate(run(once), qrels(judged), measures).collect()
+    twice = ev.evaluate(
+        run([*once, ("q", "b", 0.5), ("q", "b", 2.0), ("q", "c", -1.0)]), qrels([*judged, ("q", "b", 1), ("q", "c", 1)]), measures
+    ).collect()
+    assert sorted(plain) == sorted(twice) and all(0 <= r["value"] <= 1 for r in twice)
+
+
+def test_settings_are_those_of_the_run(spark):
+    run = spark.createDataFrame([("x", "q1", "a", 1.0), ("y", "q2", "a", 1.0)], "alpha string, query_id string, doc_id string, score double")
+    qrels = spark.createDataFrame([("q1", "a", 1), ("q2", "a", 1)], "query_id string, doc_id string, relevance int")
+    found = sorted((r["alpha"], r["query_id"], r["value"]) for r in ev.evaluate(run, qrels, ["R@5"], ["alpha"]).collect())
+    assert found == [("x", "q1", 1.0), ("x", "q2", 0.0), ("y", "q1", 0.0), ("y", "q2", 1.0)]
+    assert ev.evaluate(run.where("false"), qrels, ["R@5"], ["alpha"]).collect() == []

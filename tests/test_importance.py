@@ -209,3 +209,17 @@ def test_comparison_equals_single_sweeps(micro, run):
             assert sorted(results.where(mine).select(names).collect()) == sorted(alone.select(names).collect())
             shares = {r[0] for r in results.where(mine).select("retained_frac").collect()}
             assert shares == ({0.75} if tag == "rdime" else {None})
+
+
+def test_feedback_without_a_vector_is_an_error(spark, micro):
+    run = spark.createDataFrame(
+        [("q", "1", 0, 2.0), ("q", "gone", 1, 1.0)], "query_id string, doc_id string, rank int, score double"
+    )
+    qrels = spark.createDataFrame([("q", "1", 1), ("q", "gone", 1)], "query_id string, doc_id string, relevance int")
+    whole = run.where("doc_id <> 'gone'")
+    for made in (
+        imp.PseudoRelevance(run, micro.docs, 2), imp.Judged(qrels, micro.docs),
+        imp.NegativeFeedback(imp.PseudoRelevance(whole, micro.docs, 1), run, micro.docs, 1),
+    ):
+        with pytest.raises(KeyError, match="gone"):
+            made(micro.queries).collect()

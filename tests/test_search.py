@@ -7,9 +7,9 @@ from dimsift.operators.search import Limits, _RunningTopK, merge_top_k, search,
 
 from .conftest import approx
 
-# limits that force each of the three ways
-CELLS = Limits(broadcast_bytes=200, cell_bytes=600)
-PAST = Limits(state_bytes=1, small_state_bytes=0)
+# limits that make several blocks of queries
+BLOCKS = Limits(broadcast_bytes=400)
+NARROW = Limits(state_bytes=600_000)
 
 
 def rows(run, *keys):
@@ -59,16 +59,37 @@ def test_equals_brute_force_with_ties_and_copies(spark, k):
     d, q, docs, queries = random_tables(spark)
     expected = brute_force(docs, queries, k)
     assert rows(search(d, q, k)) == expected
-    assert rows(search(d, q, k, limits=CELLS)) == expected
+    assert rows(search(d, q, k, limits=BLOCKS)) == expected
+    assert rows(search(d, q, k, limits=NARROW)) == expected
 
 
 @pytest.mark.parametrize("k", [1, 7, 100])
-def test_more_queries_than_documents(spark, capsys, k):
+def test_more_queries_than_documents(spark, k):
     d, q, docs, queries = random_tables(spark, n_docs=30, n_queries=90)
-    found = search(d, q, k, limits=PAST)
-    assert rows(found) == brute_force(docs, queries, k) == rows(search(d, q, k))
-    found.explain()
-    assert "Window" not in capsys.readouterr().out
+    assert rows(search(d, q, k, limits=BLOCKS)) == brute_force(docs, queries, k) == rows(search(d, q, k))
+
+
+@pytest.mark.parametrize("limits", [Limits(), BLOCKS])
+def test_repeated_keys_are_an_error(spark, limits):
+    d, q, _, _ = random_tables(spark)
+    with pytest.raises(ValueError, match="different"):
+        search(d, q.unionByName(q.limit(1)), 2, limits=limits)
+
+
+@pytest.mark.parametrize("limits", [Limits(), BLOCKS])
+def test_corpus_without_finite_vectors(spark, micro, limits):
+    odd = spark.createDataFrame([(f"n{i}", [float("nan")] * 4) for i in range(3)], micro.docs.schema)
+    assert search(odd, micro.queries, 2, limits=limits).count() == 0
+
+
+def test_first_look_changes_no_row(spark, monkeypatch):
+    """A floor from few documents, from all, and from none."""
+    d, q, docs, queries = random_tables(spark, n_docs=200)
+    for first in (1, 20, 1000):
+        monkeypatch.setattr(search_module, "FLOOR_DOCS", first)
+        assert rows(search(d, q, 4)) == brute_force(docs, queries, 4)
+    monkeypatch.setattr(search_module, "_floors", lambda *_: None)
+    assert rows(search(d, q, 4)) == brute_force(docs, queries, 4)
 
 
 def test_running_state_is_compacted(monkeypatch):
@@ -95,8 +116,8 @@ def test_salted_merge_equals_plain(spark):
         [(f"q{i % 5}", f"d{i}", float(i * 37 % 101)) for i in range(2000)],
         "query_id string, doc_id string, score double",
     )
-    plain = merge_top_k(partial, ["query_id"], 7, salts=1)
-    salted = merge_top_k(partial, ["query_id"], 7, salts=6)
+    plain = merge_top_k(partial, ["query_id"], 7)
+    salted = merge_top_k(partial, ["query_id"], 7, tasks=1000)
     assert sorted(plain.collect()) == sorted(salted.collect())
 
 
@@ -116,7 +137,7 @@ def test_rows_without_a_vector_and_empty_sides(spark, micro):
     assert search(micro.docs.where("false"), micro.queries, 10, limits=Limits(broadcast_bytes=1)).count() == 0
 
 
-@pytest.mark.parametrize("limits", [Limits(), CELLS, PAST])
+@pytest.mark.parametrize("limits", [Limits(), BLOCKS, NARROW])
 def test_rows_that_are_not_finite_are_left_out(spark, micro, limits):
     odd = [("n", [float("nan")] * 4), ("i", [float("inf")] * 4), ("0", [1.0, None, 1.0, 1.0])]
     docs = micro.docs.unionByName(spark.createDataFrame(odd, micro.docs.schema))
@@ -139,10 +160,12 @@ def test_top_document_is_rank_zero(spark):
     assert sorted(top_document(d, q).collect()) == sorted(first.collect())
 
 
-def test_plan_has_no_cross_join(spark, capsys):
+def test_the_corpus_does_not_move(spark, capsys, tmp_path):
     d, q, _, _ = random_tables(spark)
-    for limits in (Limits(), CELLS):
-        search(d, q, 3, limits=limits).explain()
-        plan = capsys.readouterr().out
-        assert "NestedLoop" not in plan and "Cartesian" not in plan
-        assert "WindowGroupLimit" in plan
+    d.write.parquet(str(tmp_path / "d"))
+    search(spark.read.parquet(str(tmp_path / "d")), q, 3).explain()
+    plan = capsys.readouterr().out
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join" not in plan
+    assert "WindowGroupLimit" in plan
+    below = plan[plan.index("MapInArrow"):]
+    assert "Exchange" not in below

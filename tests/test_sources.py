@@ -228,3 +228,39 @@ def test_hot_id_in_answers(spark):
     )
     found = feedback.first_per_query(rows, "id")
     assert found.where("query_id = 'hot'").first()["text"] == "t0" and found.count() == 667
+
+
+def test_texts_with_line_ends_are_one_line_each(spark, tmp_path):
+    texts = ["plain", "two\nlines", "cr\rlf\r\n", "back\\slash \\n \\s \\\\n", '"quoted", tab\t', ""]
+    rows = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(texts)], "query_id string, text string")
+    feedback.write_answers(rows.coalesce(1), str(tmp_path / "a"))
+    lines = spark.read.text(str(tmp_path / "a")).count()
+    assert lines == len(texts) + 1
+    found = {r["query_id"]: r["text"] or "" for r in feedback.read_answers(spark, str(tmp_path / "a")).collect()}
+    assert found == {f"q{i}": t for i, t in enumerate(texts)}
+    feedback.write_eval_queries(rows, str(tmp_path / "q"))
+    assert {r["query_id"]: r["text"] or "" for r in feedback.read_eval_queries(spark, str(tmp_path / "q")).collect()} == found
+
+
+def test_files_from_elsewhere_may_hold_line_ends(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('query_id,text\nq1,"one\ntwo \\n"\nq2,x\n')
+    found = {r["query_id"]: r["text"] for r in feedback.read_answers(spark, str(tmp_path / "a.csv"), multi_line=True).collect()}
+    assert found == {"q1": "one\ntwo \\n", "q2": "x"}
+
+
+def test_a_wide_side_table_is_not_broadcast(spark, tmp_path, capsys):
+    """Only the ids are, which are counted by their files."""
+    vectors = spark.createDataFrame([(str(i), [float(i)]) for i in range(50)], "doc_id string, vec array<float>")
+    wide = spark.range(40).selectExpr("cast(id AS string) AS doc_id", "repeat('x', 20000) AS text")
+    wide.write.parquet(str(tmp_path / "w"))
+    found = vec.lookup(vectors, spark.read.parquet(str(tmp_path / "w")))
+    assert found.count() == 40 and sorted(found.columns) == ["doc_id", "text", "vec"]
+    found.explain("extended")
+    plan = capsys.readouterr().out
+    hints = plan[plan.index("Analyzed"):plan.index("Optimized")]
+    assert hints.count("ResolvedHint") == 1
+
+
+def test_offsets_need_an_order(spark):
+    with pytest.raises(ValueError):
+        numbering.dense_offsets(spark.range(3), [])

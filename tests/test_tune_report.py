@@ -161,3 +161,41 @@ def test_delta(spark):
     assert [r[0] for r in df.select(report.delta_pct(F.col("a"), F.col("b"))).collect()] == [50.0, None, None, None]
 
 
+
+
+class Halves:
+    """Soft weights; a selector of its own kind."""
+
+    tag = "halves"
+
+    def weights(self, importance, alphas=None):
+        half = F.transform("importance", lambda _: F.lit(0.5))
+        return importance.select("query_id", F.lit(self.tag).alias("alpha"), F.lit(None).cast("double").alias("alpha_value"), "vec", half.alias("weights"))
+
+
+def test_selector_objects(spark, micro):
+    run = retrieve.baseline(micro.docs, micro.queries, 5)
+    prf = PseudoRelevance(run, micro.docs, 2)
+    sweep = retrieve.sweep(micro.queries, micro.docs, prf, Halves(), k=5)
+    assert sweep.alphas == ("halves",)
+    plain = {r["doc_id"]: r["score"] for r in run.collect()}
+    assert {r["doc_id"]: r["score"] for r in sweep.run("halves").collect()} == {d: s / 2 for d, s in plain.items()}
+    results = sweep.evaluate(micro.qrels, ["AP"]).results().collect()
+    assert [r["retained_frac"] for r in results] == [0.5]
+    compared = retrieve.compare(micro.queries, micro.docs, [prf], ["rdime", Halves()], k=5).results(micro.qrels, ["AP"])
+    assert sorted(r["selector"] for r in compared.collect()) == ["halves", "rdime"]
+    trials = tune.grid_trials(k=(1, 2), alpha=(0.5,))
+    study = tune.run_trials(micro.queries, trials, run, micro.docs, micro.qrels, Halves(), measure="AP").collect()
+    assert {round(r["value"], 6) for r in study} == {round(results[0]["value"], 6)} and len(study) == 2
+
+
+def test_unknown_selectors_are_an_error(spark, micro):
+    run = retrieve.baseline(micro.docs, micro.queries, 5)
+    prf = PseudoRelevance(run, micro.docs, 2)
+    for call in (
+        lambda: retrieve.sweep(micro.queries, micro.docs, prf, "no-such"),
+        lambda: retrieve.compare(micro.queries, micro.docs, [prf], ["no-such"]),
+        lambda: tune.run_trials(micro.queries, tune.grid_trials(k=(1,), alpha=(1.0,)), run, micro.docs, micro.qrels, "no-such"),
+    ):
+        with pytest.raises(ValueError, match="no-such"):
+            call()
