@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..schemas import CE_SCORES, QRELS, QUERY_TEXT
 from .files import load
 
-QUOTED = {"header": True, "escape": '"'}
+QUOTED = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 # characters that would end a line, and the escape itself, as two characters: a row is a line and files can be split
 ESCAPES = (("\\", "\\s"), ("\n", "\\n"), ("\r", "\\r"))
 

@@ -69,7 +69,7 @@ def test_results_are_read_by_name(spark, tmp_path):
 def test_first_answer_wins(spark, tmp_path):
     path = tmp_path / "answers.csv"
     path.write_text('query_id,text\n1,"first, with comma"\n2,"two ""quoted""\nlines"\n1,second\n')
-    found = {r["query_id"]: r["text"] for r in feedback.read_answers(spark, str(path)).collect()}
+    found = {r["query_id"]: r["text"] for r in feedback.read_answers(spark, str(path), multi_line=True).collect()}
     assert found == {"1": "first, with comma", "2": 'two "quoted"\nlines'}
 
 
@@ -144,7 +144,7 @@ def test_lookup_centroid_and_missing(spark, micro):
 def test_mean_vectors_with_and_without_broadcast(micro, monkeypatch):
     members = micro.qrels.where("relevance > 0")
     hinted = vec.mean_vectors(members, micro.docs, ["query_id"]).collect()
-    monkeypatch.setattr(vec, "broadcast_if_small", lambda df, size: broadcast_if_small(df, size, 0))
+    monkeypatch.setattr(vec, "broadcast_if_small", lambda df: broadcast_if_small(df, 0))
     assert vec.mean_vectors(members, micro.docs, ["query_id"]).collect() == hinted
 
 
@@ -162,8 +162,8 @@ def test_dense_offsets(spark):
     df = spark.createDataFrame([(i,) for i in ids], "doc_id string").repartition(5)
     found = {r["doc_id"]: r["offset"] for r in numbering.dense_offsets(df, ["doc_id"]).collect()}
     assert found == {d: n for n, d in enumerate(sorted(ids))}
-    queries = spark.createDataFrame([(i,) for i in ids], "query_id string")
-    found = numbering.dense_offsets(queries).collect()
+    queries = spark.createDataFrame(list(enumerate(ids)), "line long, query_id string").repartition(3)
+    found = numbering.dense_offsets(queries, ["line"]).collect()
     assert {r["query_id"]: r["offset"] for r in found} == {d: n for n, d in enumerate(ids)}
 
 
