@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-CHUNK_BYTES = 4 << 20  # of text that one numpy step works on; a longer text is a step of its own
+CHUNK_BYTES = 1 << 20  # of text that one numpy step works on; a longer text is a step of its own
 WORD_GAPS = (0x20, *range(0x09, 0x0E))
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -126,7 +126,7 @@ def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd multiplier and of its inverse modulo 2^64."""
     have = _powers.get(seed)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         m = MULTIPLIERS[seed]
         inverse = np.uint64(pow(int(m), -1, 1 << 64))
         have = tuple(np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, x)))) for x in (m, inverse))

@@ -26,8 +26,8 @@ WORDS = 5  # of an n-gram
 THRESHOLD = 0.8
 RECALL = 0.999  # of pairs at the threshold
 MAX_HASHES = 256
-BLOCK_DOCS, BLOCK_GRAMS = 2000, 1_000_000  # of one side of a comparison, about
-COLUMNS = 4096  # n-grams compared at a time
+BLOCK_DOCS, BLOCK_GRAMS = 1000, 500_000  # of one side of a comparison, about
+COLUMNS = 2048  # n-grams compared at a time
 SEED = 3
 
 
