@@ -13,7 +13,7 @@ from dimsift.operators import evaluate as ev
 from dimsift.operators import importance as imp
 from dimsift.operators import numbering, report, select, tune
 from dimsift.operators import vectors as vec
-from dimsift.operators.encode import encode_text, hash_model
+from dimsift.operators.encode import encode_text, hash_model, hash_vectors
 from dimsift.operators.search import Limits, search, top_document
 from dimsift.plans import build, retrieve
 from dimsift.sources import feedback, results as result_files, runs, vectors as vector_files
@@ -109,7 +109,7 @@ def query_offsets(t):
 
 @query
 def hash_encode(t):
-    return vec.exploded(encode_text(spread(t.doc_texts(P)), hash_model()), "doc_id")
+    return vec.exploded(hash_vectors(spread(t.doc_texts(P)), "doc_id"), "doc_id")
 
 
 @query

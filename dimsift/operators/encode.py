@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..schemas import VECTOR
 
@@ -30,6 +31,27 @@ def encode_text(
     return df.withColumn(into, predict(df[text])).drop(text)
 
 
+def hash_vectors(df: DataFrame, key: str, dims: int = 64, salt: int = 0, text: str = "text") -> DataFrame:
+    """``key, vec``: what ``hash_model`` gives, by native functions; every key is one text.
+
+    Tokens are counted per dimension in the map tasks, so a row per text and dimension is shuffled.
+    """
+    token = F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1)))
+    digits = F.substring(F.md5(F.col("_token").cast("binary")), 8 * salt + 1, 8)
+    dim = (F.conv(digits, 16, 10).cast("long") % dims).cast("int")
+    counts = df.select(key, token.alias("_token")).groupBy(key, dim.alias("_dim")).agg(F.count("_token").alias("_n"))
+    found = F.collect_list(F.when(F.col("_dim").isNotNull(), F.struct("_dim", F.col("_n").cast("double"))))
+    rows = counts.groupBy(key).agg(
+        F.map_from_entries(found).alias("_found"), F.sqrt(F.sum(F.col("_n") * F.col("_n")).cast("double")).alias("_norm")
+    )
+    norm = F.when(F.col("_norm") == 0, 1.0).otherwise(F.col("_norm"))
+    unit = F.transform(
+        F.sequence(F.lit(0), F.lit(dims - 1)),
+        lambda d: (F.floor(F.coalesce(F.try_element_at("_found", d), F.lit(0.0)) / norm * 2.0**20 + 0.5) / 2.0**20).cast("float"),
+    )
+    return rows.select(key, unit.alias("vec"))
+
+
 def hash_model(dims: int = 64, salt: int = 0) -> Callable[[], Callable]:
     """A model without weights: every ``[a-z]+`` token adds one to a hashed dimension, then unit length.
 

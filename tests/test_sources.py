@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from dimsift.operators import numbering
 from dimsift.operators import vectors as vec
-from dimsift.operators.encode import encode_text, hash_model
+from dimsift.operators.encode import encode_text, hash_model, hash_vectors
 from dimsift.operators.importance import PseudoRelevance
 from dimsift.operators.search import search
 from dimsift.plans import build, retrieve
@@ -157,6 +157,14 @@ def test_hash_model(spark):
     assert len(other) == 16
 
 
+def test_native_hash_vectors(spark):
+    texts = spark.createDataFrame(
+        [("a", "Fox fox 123 FOX den"), ("b", ""), ("c", None), ("d", "\u212a\u0130 x" * 50)], "doc_id string, text string"
+    )
+    for salt in (0, 2):
+        assert same(hash_vectors(texts, "doc_id", 16, salt), encode_text(texts, hash_model(16, salt)))
+
+
 def test_dense_offsets(spark):
     ids = [str(i * 7919 % 1000) for i in range(1000)]
     df = spark.createDataFrame([(i,) for i in ids], "doc_id string").repartition(5)
