@@ -21,22 +21,15 @@ from pyspark.sql import DataFrame
 
 from . import arrow
 from .tokenizer_file import TokenizerFile, special_strings
+from .word_bpe import byte_letters, plain_classes, spelled
 
 CACHE_FRAGMENTS = 400_000  # fragments remembered by a task; a full cache starts afresh
-CALL_FRAGMENTS = 512  # new fragments in one call of the library
 CACHED_BYTES = 64  # longer fragments are encoded without being remembered
 # first bytes of multi-byte characters that may be white space: U+0085, U+00A0; then U+1680, U+20xx, U+3000
 SPACE_LEAD_2, SPACE_LEAD_3 = 0xC2, (0xE19A, 0xE280, 0xE281, 0xE380)
 APOSTROPHE = 0x27
 
 
-def byte_of_letter() -> dict[str, int]:
-    """The byte that each letter of a byte-level vocabulary stands for: printable bytes stand for themselves."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = sorted(set(range(256)) - set(plain))
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class ForcedSplitCoder:
     """Encoder and decoder of one byte-level BPE file; equal to the library on every text."""
 
@@ -45,7 +38,7 @@ class ForcedSplitCoder:
         if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("not a plain byte-level tokenizer")
         self.special = special_strings(spec)
-        letter = byte_of_letter()
+        letter = {c: b for b, c in enumerate(byte_letters())}
         self.bytes_of = {i: bytes(letter[c] for c in token) for token, i in spec["model"]["vocab"].items()}
         self.may_join = np.zeros(65536, bool)
         for token in self.bytes_of.values():
@@ -54,6 +47,8 @@ class ForcedSplitCoder:
         self.bytes_of |= {i: content.encode() for content, i in self.special.items()}
         self.tokenizer = file.open()
         self.cache: dict[bytes, list[int]] = {}
+        letters, numbers = plain_classes()
+        self.one_word = re.compile(f" ?(?:[{letters}]+|[{numbers}]+)")
         self.split_special = re.compile(b"(" + b"|".join(re.escape(s.encode()) for s in self.special) + b")")
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
@@ -86,31 +81,27 @@ class ForcedSplitCoder:
 
     def ids_of(self, fragments: list[bytes]) -> list[list[int]]:
         cache = self.cache
-        found = [cache.get(f) for f in fragments]
+        found = list(map(cache.get, fragments))
+        if None not in found:
+            return found
         new = {f for f, ids in zip(fragments, found) if ids is None}
-        if new:
-            fresh = self.encode_new(list(new))
-            if len(cache) + len(fresh) > CACHE_FRAGMENTS:
-                cache.clear()
-            cache.update((f, ids) for f, ids in fresh.items() if len(f) <= CACHED_BYTES and len(cache) < CACHE_FRAGMENTS)
-            found = [fresh[f] if ids is None else ids for f, ids in zip(fragments, found)]
-        return found
+        fresh = self.encode_new(list(new))
+        if len(cache) + len(fresh) > CACHE_FRAGMENTS:
+            cache.clear()
+        cache.update((f, ids) for f, ids in fresh.items() if len(f) <= CACHED_BYTES and len(cache) < CACHE_FRAGMENTS)
+        return [fresh[f] if ids is None else ids for f, ids in zip(fragments, found)]
 
     def encode_new(self, fragments: list[bytes]) -> dict[bytes, list[int]]:
-        """Ids of fragments by the library; many per call, between special tokens, which it splits off first."""
-        if not self.special:
-            done = self.tokenizer.encode_batch_fast([f.decode() for f in fragments], add_special_tokens=False)
-            return {f: e.ids for f, e in zip(fragments, done)}
-        glue, stop = next(iter(self.special.items()))
-        out: dict[bytes, list[int]] = {}
-        for i in range(0, len(fragments), CALL_FRAGMENTS):
-            some = fragments[i : i + CALL_FRAGMENTS]
-            ids = self.tokenizer.encode_batch_fast([glue.join([f.decode() for f in some]) + glue], add_special_tokens=False)[0].ids
-            at = 0
-            for f in some:
-                end = ids.index(stop, at)
-                out[f] = ids[at:end]
-                at = end + 1
+        """Ids of fragments by the library; one that is a single word goes straight to the merges."""
+        merge, space, out, others = self.tokenizer.model.tokenize, spelled(" "), {}, []
+        for f in fragments:
+            text = f.decode()
+            if self.one_word.fullmatch(text):
+                out[f] = [t.id for t in merge(text.replace(" ", space) if text.isascii() else spelled(text))]
+            else:
+                others.append(f)
+        done = self.tokenizer.encode_batch_fast([f.decode() for f in others], add_special_tokens=False)
+        out.update((f, e.ids) for f, e in zip(others, done))
         return out
 
     def decode_ids(self, ids: list[int]) -> bytes:

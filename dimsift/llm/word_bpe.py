@@ -1,20 +1,21 @@
-"""Ids of a lower-casing word tokenizer, with every distinct word encoded once per task.
+"""Ids of a lower-casing word tokenizer, with every distinct run between white space encoded once per task.
 
-The file's split pattern makes words; a word's ids do not depend on its neighbours. Texts of plain
-Latin letters are lowered and split here, where that is known to equal the library's work; any other
-text (combining marks, other scripts, unusual white space, special strings) goes through the library whole.
+The file's split pattern makes words that never hold white space; a word's ids do not depend on its
+neighbours. Texts of plain Latin letters are lowered and split here, where that is known to equal the
+library's work; any other text (combining marks, other scripts, unusual white space, special strings)
+goes through the library whole.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 
 from .tokenizer_file import TokenizerFile, special_strings
 
-CACHE_WORDS = 400_000  # words remembered by a task; a full cache starts afresh
+CACHE_PARTS = 400_000  # runs remembered by a task; a full cache starts afresh
 CACHED_CHARS = 64
-CALL_WORDS = 512
 PLAIN_END = 0x180  # below: no combining marks, nothing that NFC changes, lower case letter by letter
 # fixed values: the settings of the file that the short cut is written for
 NORMALIZERS = ("NFC", "Replace", "Lowercase")
@@ -57,36 +58,42 @@ class WordCoder:
             return b""
         if self.unusual.search(text):
             return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words = self.words.findall(text.lower())
+        parts = text.lower().split()
         cache = self.cache
-        found = [cache.get(w) for w in words]
+        found = list(map(cache.get, parts))
         if None in found:
-            fresh = self.encode_new(list({w for w, ids in zip(words, found) if ids is None}))
-            if len(cache) + len(fresh) > CACHE_WORDS:
+            fresh = self.encode_new({w for w, ids in zip(parts, found) if ids is None})
+            if len(cache) + len(fresh) > CACHE_PARTS:
                 cache.clear()
-            cache.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_CHARS and len(cache) < CACHE_WORDS)
-            found = [fresh[w] if ids is None else ids for w, ids in zip(words, found)]
+            cache.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_CHARS and len(cache) < CACHE_PARTS)
+            found = [fresh[w] if ids is None else ids for w, ids in zip(parts, found)]
         return b"".join(found)
 
-    def encode_new(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words by the library; many per call, between special tokens, which it splits off first."""
-        if not self.special:
-            return {w: pack(e.ids) for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False))}
-        glue, stop = next(iter(self.special.items()))
-        out: dict[str, bytes] = {}
-        for i in range(0, len(words), CALL_WORDS):
-            some = words[i : i + CALL_WORDS]
-            ids = self.tokenizer.encode_batch_fast([glue.join(some) + glue], add_special_tokens=False)[0].ids
-            at = 0
-            for w in some:
-                end = ids.index(stop, at)
-                out[w] = pack(ids[at:end])
-                at = end + 1
+    def encode_new(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of parts by the library's merges, which see a word as one letter for each of its bytes."""
+        merge, words, out = self.tokenizer.model.tokenize, self.words.findall, {}
+        for part in parts:
+            ids = [t.id for w in words(part) for t in merge(w if w.isascii() and w.isprintable() else spelled(w))]
+            out[part] = pack(ids)
         return out
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable bytes stand for themselves."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+_letters = byte_letters()
+
+
+def spelled(text: str) -> str:
+    return "".join([_letters[b] for b in text.encode()])
+
+
 def pack(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _coders: dict[str, WordCoder] = {}
