@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_folder
+from ..storage import materialize, shared_folder
 from . import arrow
 from .tokenizer_file import TokenizerFile, special_strings
 from .word_bpe import word_coder
@@ -82,7 +82,8 @@ def count_tokens(
     """
     spark = df.sparkSession
     rows = arrow.text_only(df, key, text)
-    digests = with_digest(rows, file)
+    # stored: read for the misses and again for the answer, a few bytes per row
+    digests = materialize(with_digest(rows, file), "digests")
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == file.version)
     misses = (
         digests.groupBy("digest")
