@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 CHUNK_BYTES = 1 << 20  # of text that one numpy step works on; a longer text is a step of its own
+TEXT_KINDS = (pa.types.is_string, pa.types.is_binary, pa.types.is_large_string, pa.types.is_large_binary)
 WORD_GAPS = (0x20, *range(0x09, 0x0E))
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -41,7 +42,7 @@ def text_chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of a batch by the bytes of its string columns; an empty batch gives none."""
     size = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
-        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        if any(is_kind(column.type) for is_kind in TEXT_KINDS):
             size += np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     at = 0
     total = np.cumsum(size)
@@ -54,6 +55,8 @@ def text_chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts end to end as bytes, and the ``n + 1`` places where they begin; null counts as empty."""
+    if pa.types.is_large_string(column.type):  # if the session asks Arrow for 64-bit offsets
+        column = column.cast(pa.string())
     column = pc.fill_null(column, "")
     _, offsets, data = column.buffers()
     bounds = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)

@@ -73,13 +73,13 @@ class Hashes:
 class Forest:
     """Sorted arrays of the strings of one block."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, strings: np.ndarray, bits: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, strings: np.ndarray, bits: int, share: float, least: int):
         self.ids, self.bits = ids, bits
         self.unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
         self.vectors = vectors
         self.order = np.argsort(strings, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(strings.T, self.order, axis=1)
-        self.wanted = min(len(ids), max(MIN_CANDIDATES, int(np.ceil(CANDIDATE_SHARE * len(ids)))))
+        self.wanted = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
 
     def ranges(self, strings: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Where the rows that share ``depth`` bits with each query begin and end, ``[trees, queries]``."""
@@ -172,9 +172,14 @@ def build(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tupl
     return materialize(same.mapInArrow(run, "vec_id long, vec array<double>, strings array<long>"), "forest"), hashes
 
 
-def search(index: DataFrame, hashes: Hashes | None, queries: DataFrame, k: int = 5) -> DataFrame:
+def search(
+    index: DataFrame, hashes: Hashes | None, queries: DataFrame, k: int = 5,
+    share: float = CANDIDATE_SHARE, least: int = MIN_CANDIDATES,
+) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest by cosine of every row of ``queries`` (``vec_id, vec, strings``).
 
+    The trees of a block ascend until ``share`` of it, or ``least`` rows if that is more, are found.
+
     Rows with the query's own id are no candidates; of rows that repeat an id the nearest counts, and a
     repeated query is asked once. Equal scores go by the smaller id. Without usable vectors there are no rows.
     """
@@ -198,7 +203,7 @@ def search(index: DataFrame, hashes: Hashes | None, queries: DataFrame, k: int =
                 rows = pa.Table.from_batches(block).combine_chunks()
                 vectors = matrix(rows["vec"].chunk(0), hashes.dims)
                 own = np.asarray(rows["strings"].chunk(0).flatten()).reshape(len(vectors), -1)
-                forest = Forest(rows["vec_id"].to_numpy(), vectors, own, hashes.bits)
+                forest = Forest(rows["vec_id"].to_numpy(), vectors, own, hashes.bits, share, least)
                 q, v, s = zip(*forest.nearest(*sent.value, k)) if len(vectors) else ((), (), ())
                 return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 

@@ -102,14 +102,22 @@ def test_spans_are_paths_of_one_source(frame):
 def test_a_full_sieve_loses_nothing(frame, made, monkeypatch):
     from dimsift.llm import sieve
 
-    monkeypatch.setattr(sieve.Sieve, "passes", lambda self, keys: np.ones(len(keys), bool))
+    monkeypatch.setattr(sieve.Sieve, "__init__", lambda self, keys: setattr(self, "bits", np.full(sieve.BITS // 64, ~np.uint64(0))))
     found = debruijn.dedup(frame(made))
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in found.collect()), key=str) == brute_substring(made)
 
 
-def test_unsqueezed_texts_stay(frame):
+def test_unsqueezed_texts_stay(spark, frame, made):
     rows = [(1, "a  b\n\tc"), (2, None)]
     assert sorted((r["doc_id"], r["text"]) for r in debruijn.dedup(frame(rows), squeeze=False).collect()) == [(1, "a  b\n\tc"), (2, "")]
+    # batches with and without a change, in one task
+    given = sorted(((i, t or "") for i, t in made), key=str)
+    expected = sorted([(i, text) for i, _, gone, text in brute_substring(made) if gone], key=str)
+    for rows_of_a_batch in (3, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_of_a_batch)
+        found = debruijn.dedup(frame(made).coalesce(1), squeeze=False).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in found if r["n_removed"]), key=str) == expected
+        assert all((r["doc_id"], r["text"]) in given for r in found if not r["n_removed"])
 
 
 def brute_lines(rows):
@@ -270,6 +278,8 @@ def test_words_of_arrow_batches():
     w = arrow.Words(pa.array(["skipped", *texts]).slice(1))
     assert [w.joined(i).decode() for i in range(len(texts))] == [" ".join(words(t)) for t in texts]
     assert w.counts.tolist() == [len(words(t)) for t in texts]
+    wide = arrow.Words(pa.array(texts, pa.large_string()))
+    assert wide.counts.tolist() == w.counts.tolist() and (wide.hashes() == w.hashes()).all()
     same = arrow.Words(pa.array(["a b a", "b a"]))
     h = same.hashes()
     assert h[0] == h[2] == h[4] and h[1] == h[3] != h[0]

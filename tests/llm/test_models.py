@@ -166,17 +166,20 @@ def brute_nearest(ids, vectors, queries, k=5):
     return out
 
 
-@pytest.mark.parametrize("share", [(0.2, 2000), (0.3, 40)])
-def test_recall(spark, monkeypatch, share):
+@pytest.mark.parametrize("part", [{}, {"share": 0.4, "least": 40}])
+def test_recall(spark, part):
     """Given vectors point anywhere; the second case compares a part of the rows only."""
-    monkeypatch.setattr(hash_forest, "CANDIDATE_SHARE", share[0])
-    monkeypatch.setattr(hash_forest, "MIN_CANDIDATES", share[1])
     path = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{path}/embeddings.parquet").toArrow()
     ids, vectors = rows["vec_id"].to_numpy(), np.array(rows["embedding"].to_pylist(), np.float64)
     wanted = brute_nearest(ids, vectors, ids[ids % 50 == 0])
     found = {}
-    for r in QUERIES["op7_hash_prefix_forest"](spark, path).orderBy("query_id", "rank").collect():
+    if part:
+        index, hashes = hash_forest.build(spark.read.parquet(f"{path}/embeddings.parquet"))
+        answer = hash_forest.search(index, hashes, index.where("vec_id % 50 = 0"), **part)
+    else:
+        answer = QUERIES["op7_hash_prefix_forest"](spark, path)
+    for r in answer.orderBy("query_id", "rank").collect():
         assert r["rank"] == len(found.setdefault(r["query_id"], [])) + 1
         found[r["query_id"]].append((r["vec_id"], r["score"]))
     assert set(found) == set(wanted) and all(len(x) == 5 for x in found.values())
