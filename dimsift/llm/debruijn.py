@@ -228,10 +228,12 @@ def remove(docs: DataFrame, spans: DataFrame, hot: HotEdges, size: int = WINDOW,
         kept = np.concatenate(([0], np.cumsum(keep)))
         left = kept[words.first[1:]] - kept[words.first[:-1]]
         gone = words.counts - left
+        texts = batch["text"]
         if squeeze or gone.any():
-            old = None if squeeze else batch["text"].to_pylist()
-            texts = [words.joined(i, keep).decode() if squeeze or gone[i] else old[i] for i in range(batch.num_rows)]
-            batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+            old = None if squeeze else texts.to_pylist()
+            texts = pa.array([words.joined(i, keep).decode() if squeeze or gone[i] else old[i] for i in range(batch.num_rows)], pa.string())
+        # replaced in any case: all batches of a task need the same schema, down to what may be null
+        batch = batch.set_column(batch.schema.get_field_index("text"), "text", texts)
         return batch.append_column("n_words", pa.array(words.counts.astype(np.int64))).append_column("n_removed", pa.array(gone.astype(np.int64)))
 
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "edges", "sum")).alias("_spans"))
