@@ -29,7 +29,7 @@ TRIALS = tune.grid_trials(
 )
 RANDOM_TRIALS = tune.random_trials(["k", "kneg", "lambda_pos", "lambda_neg", "alpha"], 10)
 # Small enough that queries are searched in several blocks.
-TIGHT = Limits(broadcast_bytes=8_000)
+TIGHT = Limits(broadcast_bytes=16_000)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
