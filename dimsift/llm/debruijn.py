@@ -9,7 +9,7 @@ least hash; a window can only repeat if its minimizer does, and neighbouring win
 theirs. Minimizers found in two or more documents are put into a sieve of fixed size, and only windows
 that pass it become edges.
 
-An edge that very many documents have is not shuffled either: such edges are few, their sources are
+An edge that comes very often is not shuffled either: such edges are few, their sources are
 summed up in the map tasks and sent to all.
 
 Covered edges of a document whose sources follow one another are one path: it ends where the graph
@@ -34,7 +34,7 @@ from .sieve import Sieve
 
 WINDOW = 13
 MINIMIZER = 5
-HOT_SHARE = 1000  # what more than one of so many documents have is hot; so there is little of it
+HOT_SHARE = 1000  # what comes more often than documents / HOT_SHARE is hot; so there is little of it
 HOT_LEAST = 1000
 CHECK = np.int64(0xFFFFFFFF)
 NO_ID = -(1 << 63)  # no id is smaller, so nothing covers it
@@ -56,22 +56,26 @@ def window_edges(words: arrow.Words, size: int) -> tuple[np.ndarray, ...]:
 
 
 def minimizers(docs: DataFrame, size: int) -> DataFrame:
-    """``key, documents``: minimizers that more than one document has, and in how many rows they came."""
+    """``key, windows``: minimizers that more than one document has, and how many windows have them."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, least, text, _ = window_edges(arrow.Words(batch["text"]), size)
         change = np.ones(len(least), bool)
         change[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
-        key, owner = least[change], batch["doc_id"].to_numpy()[text[change]]
+        at = np.flatnonzero(change)
+        key, owner, windows = least[at], batch["doc_id"].to_numpy()[text[at]], np.diff(np.append(at, len(least)))
         order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
         first = np.ones(len(key), bool)
         first[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(arrow.signed(key[first])), pa.array(owner[first])], ["key", "doc_id"])
+        windows = np.add.reduceat(windows[order], np.flatnonzero(first)) if len(key) else windows
+        return pa.RecordBatch.from_arrays(
+            [pa.array(arrow.signed(key[first])), pa.array(owner[first]), pa.array(windows.astype(np.int32))], ["key", "doc_id", "windows"]
+        )
 
-    rows = arrow.map_batches(docs, step, "key long, doc_id long")
-    found = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("documents"))
-    return found.where("low < high").select("key", "documents")
+    rows = arrow.map_batches(docs, step, "key long, doc_id long, windows int")
+    found = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("windows").alias("windows"))
+    return found.where("low < high").select("key", "windows")
 
 
 class HotEdges:
@@ -110,7 +114,7 @@ def hot_edges(docs: DataFrame, found: DataFrame, size: int) -> HotEdges:
     There are at most ``HOT_SHARE`` times as many as a mean document has windows, whatever the corpus.
     """
     often = max(HOT_LEAST, docs.count() // HOT_SHARE)
-    keys = found.where(F.col("documents") > often).select("key").toArrow()["key"].to_numpy().view(np.uint64)
+    keys = found.where(F.col("windows") > often).select("key").toArrow()["key"].to_numpy().view(np.uint64)
     if not len(keys):
         return HotEdges()
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(keys))
