@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 
 from . import arrow
 from .tokenizer_file import TokenizerFile, special_strings
-from .word_bpe import byte_letters, plain_classes, spelled
+from .word_bpe import Lately, byte_letters, plain_classes, spelled
 
-CACHE_FRAGMENTS = 400_000  # fragments remembered by a task; a full cache starts afresh
+CACHE_FRAGMENTS = 300_000  # fragments in each of the two tables that a task remembers
 CACHED_BYTES = 64  # longer fragments are encoded without being remembered
 # first bytes of multi-byte characters that may be white space: U+0085, U+00A0; then U+1680, U+20xx, U+3000
 SPACE_LEAD_2, SPACE_LEAD_3 = 0xC2, (0xE19A, 0xE280, 0xE281, 0xE380)
@@ -46,7 +46,7 @@ class ForcedSplitCoder:
                 self.may_join[a << 8 | b] = True
         self.bytes_of |= {i: content.encode() for content, i in self.special.items()}
         self.tokenizer = file.open()
-        self.cache: dict[bytes, list[int]] = {}
+        self.cache = Lately(CACHE_FRAGMENTS)
         letters, numbers = plain_classes()
         self.one_word = re.compile(f" ?(?:[{letters}]+|[{numbers}]+)")
         self.split_special = re.compile(b"(" + b"|".join(re.escape(s.encode()) for s in self.special) + b")")
@@ -80,16 +80,14 @@ class ForcedSplitCoder:
         return out
 
     def ids_of(self, fragments: list[bytes]) -> list[list[int]]:
-        cache = self.cache
-        found = list(map(cache.get, fragments))
+        found = list(map(self.cache.new.get, fragments))
         if None not in found:
             return found
-        new = {f for f, ids in zip(fragments, found) if ids is None}
-        fresh = self.encode_new(list(new))
-        if len(cache) + len(fresh) > CACHE_FRAGMENTS:
-            cache.clear()
-        cache.update((f, ids) for f, ids in fresh.items() if len(f) <= CACHED_BYTES and len(cache) < CACHE_FRAGMENTS)
-        return [fresh[f] if ids is None else ids for f, ids in zip(fragments, found)]
+        fresh = self.encode_new(self.cache.unknown({f for f, ids in zip(fragments, found) if ids is None}))
+        known = self.cache.new
+        found = [(fresh[f] if f in fresh else known[f]) if ids is None else ids for f, ids in zip(fragments, found)]
+        self.cache.add(fresh, CACHED_BYTES)
+        return found
 
     def encode_new(self, fragments: list[bytes]) -> dict[bytes, list[int]]:
         """Ids of fragments by the library; one that is a single word goes straight to the merges."""

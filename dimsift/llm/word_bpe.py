@@ -14,7 +14,7 @@ import unicodedata
 
 from .tokenizer_file import TokenizerFile, special_strings
 
-CACHE_PARTS = 400_000  # runs remembered by a task; a full cache starts afresh
+CACHE_PARTS = 300_000  # runs in each of the two tables that a task remembers
 CACHED_CHARS = 64
 PLAIN_END = 0x180  # below: no combining marks, nothing that NFC changes, lower case letter by letter
 # fixed values: the settings of the file that the short cut is written for
@@ -37,6 +37,29 @@ def plain_classes() -> tuple[str, str]:
     return ranges("L"), ranges("N")
 
 
+class Lately:
+    """What was met lately, in two tables: when the newer is full it becomes the older, which is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def unknown(self, keys: set) -> list:
+        """Keys that neither table has; what the older has is moved to the newer."""
+        out = []
+        for key in keys:
+            value = self.old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                self.new[key] = value
+        return out
+
+    def add(self, found: dict, longest: int) -> None:
+        if len(self.new) + len(found) > self.size:
+            self.old, self.new = self.new, {}
+        self.new.update((k, v) for k, v in found.items() if len(k) <= longest)
+
+
 class WordCoder:
     def __init__(self, file: TokenizerFile):
         spec = file.spec()
@@ -50,7 +73,7 @@ class WordCoder:
         odd = f"[^\\x00-\\x1b\\x20-\\x84\\x86-\\x9f\\xa1-\\u012f\\u0131-\\u{PLAIN_END - 1:04x}]"
         self.unusual = re.compile("|".join([odd, *map(re.escape, self.special)]) if known else "")
         self.words = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
-        self.cache: dict[str, bytes] = {}
+        self.cache = Lately(CACHE_PARTS)
 
     def encode(self, text: str) -> bytes:
         """Ids end to end, each as four bytes, lowest first."""
@@ -59,17 +82,15 @@ class WordCoder:
         if self.unusual.search(text):
             return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         parts = text.lower().split()
-        cache = self.cache
-        found = list(map(cache.get, parts))
+        found = list(map(self.cache.new.get, parts))
         if None in found:
-            fresh = self.encode_new({w for w, ids in zip(parts, found) if ids is None})
-            if len(cache) + len(fresh) > CACHE_PARTS:
-                cache.clear()
-            cache.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_CHARS and len(cache) < CACHE_PARTS)
-            found = [fresh[w] if ids is None else ids for w, ids in zip(parts, found)]
+            fresh = self.encode_new(self.cache.unknown({w for w, ids in zip(parts, found) if ids is None}))
+            known = self.cache.new
+            found = [(fresh[w] if w in fresh else known[w]) if ids is None else ids for w, ids in zip(parts, found)]
+            self.cache.add(fresh, CACHED_CHARS)
         return b"".join(found)
 
-    def encode_new(self, parts: set[str]) -> dict[str, bytes]:
+    def encode_new(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of parts by the library's merges, which see a word as one letter for each of its bytes."""
         merge, words, out = self.tokenizer.model.tokenize, self.words.findall, {}
         for part in parts:
