@@ -1,17 +1,23 @@
-"""Line dedup by pairwise alignment of documents that share rare lines.
+"""Line dedup by pairwise alignment of documents that share a run of lines.
 
-A line is known by the hash of its words. Documents that share a rare line are partners, every two of
-them. A line of many documents would make too many pairs; for it, every document is a partner of the
-first that has the line, so such a line is never left out either. Partners are aligned with patience
-diff: lines that are unique on both sides are matched in their longest common order, then the gaps
-between matches in the same way. Aligned lines that follow one another on both sides are a block; blocks
-of enough words are deleted from the later document, which is the one with the larger id.
+A line is known by the hash of its words. Documents that share a run of consecutive lines with enough
+words to be deleted are partners; every document counts as aligned with all its smaller partners. Partners
+are aligned with patience diff: lines that are unique on both sides are matched in their longest common
+order, then the gaps between matches in the same way. Aligned lines that follow one another on both sides
+are a block; blocks of enough words are deleted from the later document, which is the one with the larger id.
+
+A run of many documents would make too many pairs. Each of its holders is aligned with one earlier holder
+first; only where that leaves some of the run undeleted, the others count, too. Of those that have the lines
+of the document in the same order, with or without other lines between, one stands for all, since the
+alignment is the same. What goes is the same as if every two partners had been aligned, since a block is
+made of such runs.
 
 Pairs carry hashes of lines only. All pairs are judged on the documents as given.
 """
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left
 from collections import Counter
 
@@ -25,8 +31,9 @@ from ..storage import materialize
 from . import arrow
 from .sieve import Sieve
 
-RARE = 4  # documents that a rare line is in, at most
-LINE_WORDS = 5  # words of a line that makes partners
+RARE = sys.maxsize  # holders of a line that are held against each other, at most: no bound
+LINE_WORDS = 1  # words of a line that counts: any line with a word
+FEW = 4  # holders of a run that are all paired at once; changes the order of work, not what is deleted
 BLOCK_WORDS = 8  # words of a block that is deleted
 
 
@@ -64,30 +71,145 @@ def line_table(docs: DataFrame) -> DataFrame:
     return arrow.map_batches(docs, step, "doc_id long, keys binary, words binary")
 
 
-def holders(table: DataFrame) -> DataFrame:
-    """``key, doc_id``: which documents have a line of enough words."""
+def runs_of(batch: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, first line and end of runs of lines with words, of rows of ``line_table``.
+
+    For every line the shortest run of ``least`` words that begins with it, and the shortest that ends
+    with it; and two neighbours that both have so many. Every longer run, with the empty lines in it, is
+    made of these, and documents that share a longer one share these.
+    """
+    data, bounds = arrow.text_bytes(batch["keys"])
+    keys, bounds = np.frombuffer(data.tobytes(), np.uint64), bounds // 8
+    words = np.frombuffer(arrow.text_bytes(batch["words"])[0].tobytes(), np.int32)
+    full = np.flatnonzero(keys)
+    row = np.searchsorted(bounds, full, side="right") - 1
+    total = np.concatenate(([0], np.cumsum(words[full], dtype=np.int64)))
+    begin, end = np.searchsorted(row, row, side="left"), np.searchsorted(row, row, side="right")
+    at = np.arange(len(full))
+    onward = np.searchsorted(total, total[:-1] + least)
+    back = np.searchsorted(total, total[1:] - least, side="right") - 1
+    long = words[full] >= least
+    two = np.flatnonzero(long[:-1] & long[1:] & (row[:-1] == row[1:]))
+    lo = np.concatenate((at[onward <= end], back[back >= begin], two))
+    hi = np.concatenate((onward[onward <= end], at[back >= begin] + 1, two + 2))
+    lo, hi = np.unique(np.stack((lo, hi)), axis=1) if len(lo) else (lo, hi)
+    return arrow.sequence_hashes(keys[full], lo, hi), row[lo], full[lo] - bounds[row[lo]], full[hi - 1] + 1 - bounds[row[lo]]
+
+
+def holders(table: DataFrame, least: int) -> DataFrame:
+    """``key, doc_id, once``: which documents have a run of lines, and if it is there once."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, row, _, _ = runs_of(batch, least)
+        order = np.lexsort((keys, row))
+        keys, row = keys[order], row[order]
+        first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])))[: len(keys)])
+        once = np.diff(np.append(first, len(keys))) == 1
+        return pa.RecordBatch.from_arrays([pa.array(arrow.signed(keys[first])), batch["doc_id"].take(pa.array(row[first])), pa.array(once)], ["key", "doc_id", "once"])
+
+    return arrow.map_batches(table, step, "key long, doc_id long, once boolean")
+
+
+def shared_runs(table: DataFrame, least: int) -> DataFrame:
+    """``key, doc_id, holders, earlier``: runs that an earlier document has, too, one that has it once if there is one."""
+    rows = holders(table, least)
+    shared = rows.groupBy("key").agg(
+        F.count("*").alias("holders"), F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.min(F.when(F.col("once"), F.col("doc_id"))).alias("_once")
+    )
+    found = rows.drop("once").join(shared.where("_first < _last"), "key")
+    earlier = F.when(F.col("_once") < F.col("doc_id"), F.col("_once")).when(F.col("_first") < F.col("doc_id"), F.col("_first"))
+    return found.select("key", "doc_id", "holders", earlier.alias("earlier"))
+
+
+def partners(found: DataFrame) -> DataFrame:
+    """``later, earlier``: pairs of documents to align at first, each once."""
+    one = found.where("earlier IS NOT NULL").select(F.col("doc_id").alias("later"), "earlier")
+    few = found.where(F.col("holders") <= FEW)
+    among = few.alias("a").join(few.alias("b"), "key").where("a.doc_id > b.doc_id")
+    return one.unionByName(among.select(F.col("a.doc_id").alias("later"), F.col("b.doc_id").alias("earlier"))).distinct()
+
+
+def left_runs(table: DataFrame, found: DataFrame, gone: DataFrame, least: int) -> DataFrame:
+    """``key, later``: runs of many holders that are still in a document after the blocks ``gone``."""
+    many = found.where((F.col("holders") > FEW) & F.col("earlier").isNotNull())
+    keys = many.groupBy("doc_id").agg(F.collect_list("key").alias("_keys"))
+    by_doc = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "lines", "sum")).alias("_blocks"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, docs = [], []
-        for doc, k, w in zip(batch["doc_id"].to_pylist(), batch["keys"], batch["words"]):
-            mine = np.unique(np.frombuffer(k.as_buffer(), np.int64)[np.frombuffer(w.as_buffer(), np.int32) >= LINE_WORDS])
-            keys.append(mine)
-            docs.append(np.full(len(mine), doc, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs))], ["key", "doc_id"])
+        run, row, first, end = runs_of(batch, least)
+        run, bounds = arrow.signed(run), arrow.text_bytes(batch["keys"])[1] // 8
+        keep = np.ones(bounds[-1], bool)
+        wanted = np.zeros(len(run), bool)
+        order = np.argsort(row, kind="stable")
+        of = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
+        for i, some in enumerate(batch["_blocks"].to_pylist()):
+            drop_blocks(np.frombuffer(batch["keys"][i].as_buffer(), np.int64), some, keep[bounds[i] : bounds[i + 1]])
+            mine = order[of[i] : of[i + 1]]
+            wanted[mine] = np.isin(run[mine], batch["_keys"][i].values.to_numpy())
+        kept = np.concatenate(([0], np.cumsum(keep)))
+        wanted &= kept[bounds[row] + end] > kept[bounds[row] + first]
+        return pa.RecordBatch.from_arrays([pa.array(run[wanted]), batch["doc_id"].take(pa.array(row[wanted]))], ["key", "later"])
 
-    return arrow.map_batches(table, step, "key long, doc_id long")
+    return arrow.map_batches(table.join(keys, "doc_id").join(by_doc, "doc_id", "left"), step, "key long, later long").distinct()
 
 
-def partners(table: DataFrame) -> DataFrame:
-    """``later, earlier``: pairs of documents to align, each once."""
-    rows = holders(table)
-    shared = rows.groupBy("key").agg(F.count("*").alias("holders"), F.min("doc_id").alias("first"), F.max("doc_id").alias("_last"))
-    shared = shared.where("first < _last").drop("_last")
-    found = materialize(rows.join(shared, "key"), "shared-lines")
-    with_first = found.where(F.col("doc_id") > F.col("first")).select(F.col("doc_id").alias("later"), F.col("first").alias("earlier"))
-    rare = found.where(F.col("holders") <= RARE)
-    among = rare.alias("a").join(rare.alias("b"), "key").where("a.doc_id > b.doc_id")
-    return with_first.unionByName(among.select(F.col("a.doc_id").alias("later"), F.col("b.doc_id").alias("earlier"))).distinct()
+def outline(lines: list[int], known: set[int]) -> bytes:
+    """The lines that are known, in order; 0 stands for any number of others."""
+    out: list[int] = []
+    for x in lines:
+        if x in known:
+            out.append(x)
+        elif not out or out[-1]:
+            out.append(0)
+    return np.array(out, np.int64).tobytes()
+
+
+def outlines(table: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, outline, known``: of ``docs``, the lines that another of them may have; also each once, in order."""
+    some = materialize(table.join(docs, "doc_id").select("doc_id", "keys"), "left-lines")
+
+    def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
+        mine = [np.unique(np.frombuffer(k.as_buffer(), np.int64)) for k in batch["keys"]]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(mine))], ["key"])
+
+    several = arrow.map_batches(some, lines, "key long").groupBy("key").count().where("count > 1 AND key <> 0").select("key")
+    sieve = table.sparkSession.sparkContext.broadcast(Sieve(several))
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out, known = [], []
+        for k in batch["keys"]:
+            keys = np.frombuffer(k.as_buffer(), np.int64)
+            keys = keys[keys != 0]
+            mine = np.unique(keys[sieve.value.passes(keys)])
+            out.append(outline(keys.tolist(), set(mine.tolist())))
+            known.append(mine.tobytes())
+        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.binary()), pa.array(known, pa.binary())], ["doc_id", "outline", "known"])
+
+    return materialize(arrow.map_batches(some, step, "doc_id long, outline binary, known binary"), "outlines")
+
+
+def other_partners(table: DataFrame, found: DataFrame, left: DataFrame) -> DataFrame:
+    """``later, earlier``: for documents with runs ``left``, of the holders with one outline the smallest."""
+    held = found.join(left.select("key").distinct(), "key").select("key", "doc_id")
+    drawn = outlines(table, held.select("doc_id").distinct())
+    theirs = held.join(drawn, "doc_id").groupBy("key", "outline").agg(F.min("doc_id").alias("earlier"))
+    wanted = left.join(drawn.select(F.col("doc_id").alias("later"), "known"), "later")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets: dict[bytes, set[int]] = {}
+        best: dict[tuple[bytes, bytes], int] = {}
+        for known, lines, doc in zip(*(batch[c].to_pylist() for c in ("known", "outline", "earlier"))):
+            if known not in sets:
+                sets[known] = set(np.frombuffer(known, np.int64).tolist())
+            at = known, outline(np.frombuffer(lines, np.int64).tolist(), sets[known])
+            best[at] = min(doc, best.get(at, doc))
+        known, seen = zip(*best)
+        return pa.RecordBatch.from_arrays([pa.array(known, pa.binary()), pa.array(seen, pa.binary()), pa.array(best.values(), pa.int64())], ["known", "seen", "earlier"])
+
+    both = wanted.select("key", "known").distinct().join(theirs, "key").select("known", "outline", "earlier")
+    alike = arrow.map_batches(both, step, "known binary, seen binary, earlier long").groupBy("known", "seen").agg(F.min("earlier").alias("earlier"))
+    pairs = wanted.select("later", "known").distinct().join(alike, "known").where("earlier < later")
+    return pairs.select("later", "earlier").distinct()
 
 
 def common_order(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -177,6 +299,14 @@ def blocks(table: DataFrame, pairs: DataFrame, least: int = BLOCK_WORDS) -> Data
     return arrow.map_batches(both, step, "doc_id long, start int, lines int, sum long").distinct()
 
 
+def drop_blocks(keys: np.ndarray, some: list[dict] | None, keep: np.ndarray) -> None:
+    """Unmark in ``keep`` the lines of the blocks that are of this row, which the sum of their hashes tells."""
+    for b in some or ():
+        part = keys[b["start"] : b["start"] + b["lines"]]
+        if len(part) == b["lines"] and int(part.sum()) == b["sum"]:
+            keep[b["start"] : b["start"] + b["lines"]] = False
+
+
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with ``n_lines, n_removed`` and ``text`` without the blocks.
 
@@ -200,11 +330,7 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
         keep = np.ones(len(keys), bool)
         at = np.searchsorted(text, np.arange(batch.num_rows + 1))
         for i, some in enumerate(batch["_blocks"].to_pylist()):
-            mine = keys[at[i] : at[i + 1]].view(np.int64)
-            for b in some or ():
-                part = mine[b["start"] : b["start"] + b["lines"]]
-                if len(part) == b["lines"] and int(part.sum()) == b["sum"]:
-                    keep[at[i] + b["start"] : at[i] + b["start"] + b["lines"]] = False
+            drop_blocks(keys[at[i] : at[i + 1]].view(np.int64), some, keep[at[i] : at[i + 1]])
         removed = np.bincount(text[~keep], minlength=batch.num_rows)
         texts = []
         for i in range(batch.num_rows):
@@ -232,4 +358,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = B
         F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *(carry or [])
     )
     table = materialize(line_table(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")), "lines")
-    return remove(docs, materialize(blocks(table, partners(table), least), "blocks"))
+    found = materialize(shared_runs(table, least), "shared-runs")
+    gone = materialize(blocks(table, partners(found), least), "blocks")
+    left = materialize(left_runs(table, found, gone, least), "left-runs")
+    more = materialize(blocks(table, other_partners(table, found, left), least), "more-blocks")
+    return remove(docs, gone.unionByName(more))

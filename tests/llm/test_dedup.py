@@ -293,3 +293,29 @@ def test_batches_are_cut_by_bytes(spark, monkeypatch):
     parts = list(arrow.text_chunks(batch))
     assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and [p.num_rows for p in parts] == [1, 1, 4, 1]
     assert list(arrow.text_chunks(batch.slice(0, 0))) == []
+
+
+def removed_lines(frame, rows):
+    return {r["doc_id"]: (r["n_removed"], r["text"]) for r in patience.dedup(frame(rows)).collect()}
+
+
+def test_runs_of_frequent_lines_find_every_partner(frame):
+    """The first holder of two frequent lines has neither their neighbours nor, for the second, one place for it."""
+    common, double = "one two three four five six", "a b c d e f g h i"
+    rows = [(0, f"{common}\nalone here\n{double}\nzero\n{double}")]
+    rows += [(i, f"own {i}\n{common}\nsome {i}\n{double}\nend {i}") for i in range(1, 8)]
+    rows += [(20, f"left 20\n{common}\nnext line\nlast 20"), (21, f"right 21\n{common}\nnext line\nmore 21")]
+    got = removed_lines(frame, rows)
+    assert got[21] == (2, "right 21\nmore 21") and got[7] == (1, f"own 7\n{common}\nsome 7\nend 7") and got[20][0] == 0
+    assert sorted((i, *x) for i, x in got.items()) == [(i, gone, text) for i, _, gone, text in sorted(brute_lines(rows))]
+
+
+@pytest.mark.parametrize("few", [0, 1, 4])
+def test_lines_of_few_values(frame, monkeypatch, few):
+    """Runs that many documents hold, often twice or in another order, against the alignment of all pairs."""
+    monkeypatch.setattr(patience, "FEW", few)
+    draw = random.Random(8)
+    lines = [" ".join(f"w{k}{j}" for j in range(draw.randrange(1, 11))) for k in range(9)]
+    rows = [(i, "\n".join(draw.choice([*lines, *lines, "", f"own {i} {k}"]) for k in range(draw.randrange(0, 9)))) for i in range(150)]
+    got = sorted((i, *x) for i, x in removed_lines(frame, rows).items())
+    assert got == [(i, gone, text) for i, _, gone, text in sorted(brute_lines(rows))] and sum(r[1] for r in got) > 100
