@@ -319,3 +319,11 @@ def test_lines_of_few_values(frame, monkeypatch, few):
     rows = [(i, "\n".join(draw.choice([*lines, *lines, "", f"own {i} {k}"]) for k in range(draw.randrange(0, 9)))) for i in range(150)]
     got = sorted((i, *x) for i, x in removed_lines(frame, rows).items())
     assert got == [(i, gone, text) for i, _, gone, text in sorted(brute_lines(rows))] and sum(r[1] for r in got) > 100
+
+
+def test_copies_with_short_lines(frame):
+    """No line has more than four words."""
+    verse = "\n".join(f"line {k} of verse" for k in range(6))
+    rows = [(1, f"first title\n{verse}"), (2, f"second title\n{verse}\nend"), (3, "one\nword\nonly"), (4, "one\nword\nonly")]
+    got = removed_lines(frame, rows)
+    assert got == {1: (0, rows[0][1]), 2: (6, "second title\nend"), 3: (0, rows[2][1]), 4: (0, rows[3][1])}
