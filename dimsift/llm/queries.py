@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, forced_split, hash_forest, line_crf, minhash_join, packing, patience, quality_net, token_cache, warc
+from . import (
+    debruijn, divergence, fim, forced_split, hash_forest, id_blocks, line_crf, minhash_join, packing, patience, quality_net, token_cache, warc,
+)
 from .tokenizer_file import TokenizerFile, default_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +125,60 @@ def op9_token_counts(spark, sf_dir):
 def op10_best_fit_packing(spark, sf_dir):
     file = TokenizerFile(spark, default_path("word_bpe_49k.json"))
     return packing.pack(table(spark, sf_dir, "documents"), file)
+
+
+@query
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_source_divergence"] = """
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+occ AS (SELECT row_number() OVER () AS doc, lang, source, t FROM d),
+words AS (SELECT doc, lang, source, unnest(t) AS term FROM occ),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS of_lang FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+grid AS (SELECT lang, source, term, of_lang, coalesce(c, 0)::HUGEINT AS c FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+sizes AS (SELECT lang, source, count(*) + sum(c) AS size, count(*) + sum(of_lang) AS lang_size FROM grid GROUP BY lang, source),
+p AS (SELECT lang, source, term, c, 1 + 1000000000::HUGEINT * (c + 1) // size AS p, 1 + 1000000000::HUGEINT * (of_lang + 1) // lang_size AS q
+  FROM grid JOIN sizes USING (lang, source)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    done = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{name}_sha256") for c, name in (("output", "output"), ("restored", "restored"))]
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+SQL["op13_fill_in_middle"] = """
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+  sha256('1:' || doc_id::VARCHAR) AS h FROM documents),
+n AS (SELECT doc_id, text, u, len(u)::BIGINT AS n, list_transform(range(0, 4), lambda i: ('0x' || substr(h, (8 * i + 1)::INT, 8))::BIGINT) AS h FROM u),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS lo, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS hi FROM n),
+parts AS (SELECT *, array_to_string(u[1:lo], '') AS p, array_to_string(u[lo + 1:hi], '') AS m, array_to_string(u[hi + 1:], '') AS s,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+    WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query
+def op11_id_blocks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    folder = id_blocks.write_ids(docs, TokenizerFile(spark, default_path("word_bpe_49k.json")))
+    return id_blocks.read_digests(spark, folder).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -1,7 +1,10 @@
+import duckdb
 import pytest
 
 from dimsift.llm.tokenizer_file import TokenizerFile, default_path
 
+from ..conftest import DATA
+
 SCHEMA = "doc_id long, text string"
 # empty, white space only, null, no id, repeated rows, separators that look alike
 ODD = [(1, ""), (2, " \n\t"), (3, None), (None, "no id here"), (4, "x"), (4, "x"), (5, "a b c\x1cd"), (6, "\U0001f642 " * 3)]
@@ -26,3 +29,10 @@ def byte_file(spark):
 @pytest.fixture(scope="session")
 def word_file(spark):
     return TokenizerFile(spark, default_path("word_bpe_49k.json"))
+
+
+@pytest.fixture(scope="session")
+def duck():
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    return con
