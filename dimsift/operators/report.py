@@ -2,7 +2,8 @@
 
 Input is one long table ``collection, model, filter, selector, alpha, query_id, measure, value``
 and ``retained_frac``; unmasked runs carry the filter ``baseline``. Means form in the map tasks,
-so what is shuffled is one row per task and table cell. Missing cells are null.
+so what is shuffled is one row per task and table cell. Each table is made of one pass over the results:
+what tells its columns apart is a condition on the mean. Missing cells are null.
 """
 
 from __future__ import annotations
@@ -104,9 +105,12 @@ def _tag(label: str) -> str:
     return label.replace(".", "_")
 
 
-def _alpha_columns(keys: list[str], cells: DataFrame, labels: list[str]) -> DataFrame:
-    """One column per alpha, and which of them is best in its row."""
-    wide = cells.groupBy(*keys).pivot("alpha", labels).agg(F.first("mean"))
+def _mean_where(condition: Column, value: str) -> Column:
+    return F.avg(F.when(condition, F.col(value)))
+
+
+def _best_of(labels: list[str]) -> tuple[list[Column], Column]:
+    """A column per alpha and which of them is best in its row; and the best value."""
     value = {a: F.col(f"`{a}`") for a in labels}
     best = F.greatest(*value.values()) if len(labels) > 1 else value[labels[0]]
     columns = [
@@ -114,7 +118,7 @@ def _alpha_columns(keys: list[str], cells: DataFrame, labels: list[str]) -> Data
         for a in labels
         for c in (value[a].alias(f"alpha_{_tag(a)}"), _is_best(value[a], best).alias(f"best_{_tag(a)}"))
     ]
-    return wide.select(*keys, *columns, best.alias("best_value"))
+    return columns, best
 
 
 def comparison(
@@ -135,30 +139,24 @@ def comparison(
     """
     keys = ["collection", "model", "filter"]
     labels = [alpha_label(a) for a in alphas]
-    means = sweep_means(results.where(F.col("measure") == measure))
-    grid = _grid(results, collection=collections, model=models, filter=filters)
-    fixed = grid.join(
-        means.where((F.col("selector") == selector_sweep) & F.col("alpha").isin(labels)), keys, "left"
-    )
-    adaptive = means.where((F.col("selector") == selector_rdime) & (F.col("alpha") == "rdime")).select(
-        *keys, F.col("mean").alias("rdime")
+    measured, masked = F.col("measure") == measure, F.col("filter") != BASELINE
+    fixed = measured & masked & (F.col("selector") == selector_sweep)
+    adaptive = measured & masked & (F.col("selector") == selector_rdime) & (F.col("alpha") == "rdime")
+    cells = results.groupBy(*keys).agg(
+        *[_mean_where(fixed & (F.col("alpha") == a), "value").alias(a) for a in labels],
+        _mean_where(adaptive, "value").alias("rdime"),
+        _mean_where(F.col("selector") == selector_rdime, "retained_frac").alias("retained_frac"),
+        _mean_where(measured & ~masked, "value").alias("_baseline"),
     )
-    table = (
-        _alpha_columns(keys, fixed, labels)
-        .join(adaptive, keys, "left")
-        .join(retained_means(results, selector_rdime), keys, "left")
-        .withColumn("delta_pct", delta_pct(F.col("rdime"), F.col("best_value")))
-        .drop("best_value")
+    shown = [*filters, *([BASELINE] if include_baseline else [])]
+    table = _grid(results, collection=collections, model=models, filter=shown).join(cells, keys, "left")
+    unmasked = F.col("filter") == BASELINE
+    flags, best = _best_of(labels)
+    mean = F.when(unmasked, F.col("_baseline")).otherwise(F.col("rdime"))
+    kept = F.when(unmasked, F.when(F.col("_baseline").isNotNull(), 1.0)).otherwise(F.col("retained_frac"))
+    return table.select(
+        *keys, *flags, mean.alias("rdime"), kept.alias("retained_frac"), delta_pct(F.col("rdime"), best).alias("delta_pct")
     )
-    if not include_baseline:
-        return table
-    base = baseline_means(results, collections, models, [measure]).select(
-        "collection", "model", F.lit(BASELINE).alias("filter"), F.col("mean").alias("rdime"),
-        F.when(F.col("mean").isNotNull(), 1.0).alias("retained_frac"),
-    )
-    for a in labels:
-        base = base.withColumn(f"best_{_tag(a)}", F.lit(False))
-    return table.unionByName(base, allowMissingColumns=True)
 
 
 def sweep(
@@ -174,13 +172,19 @@ def sweep(
     """Every fraction as a column: rows (model, filter, collection, measure), plus the baseline mean."""
     keys = ["model", "filter", "collection", "measure"]
     labels = [alpha_label(a) for a in alphas]
-    means = sweep_means(results).where((F.col("selector") == selector) & F.col("alpha").isin(labels))
-    grid = _grid(results, model=models, filter=filters, collection=collections, measure=measures)
-    table = _alpha_columns(keys, grid.join(means, keys, "left"), labels).drop("best_value")
+    masked = (F.col("filter") != BASELINE) & (F.col("selector") == selector)
+    cells = results.groupBy(*keys).agg(
+        *[_mean_where(masked & (F.col("alpha") == a), "value").alias(a) for a in labels],
+        _mean_where(F.col("filter") == BASELINE, "value").alias("_baseline"),
+    )
+    shown = [*filters, *([BASELINE] if include_baseline else [])]
+    table = _grid(results, model=models, filter=shown, collection=collections, measure=measures).join(cells, keys, "left")
+    flags, _ = _best_of(labels)
     if not include_baseline:
-        return table
-    base = baseline_means(results, collections, models, measures).withColumnRenamed("mean", "baseline")
-    return table.join(base, ["collection", "model", "measure"], "left").select(*table.columns, "baseline")
+        return table.select(*keys, *flags)
+    # the grid is as small as the table shown
+    baseline = F.max("_baseline").over(Window.partitionBy("collection", "model", "measure")).alias("baseline")
+    return table.select(*keys, *flags, baseline).where(F.col("filter") != BASELINE)
 
 
 def retained(
