@@ -15,12 +15,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numbering import places_in_group
+from ..storage import broadcast_if_small
+from .numbering import places_in_group, running_sums
 
 # What is measured unless told otherwise.
 DEFAULT_MEASURES = ("nDCG@10", "AP", "R@1000", "RR@10")
 
-# A query with more run rows than this is numbered by range partitions, not by one task; to the same numbers.
+# A query with more run rows than this is numbered in parts, by range partitions; to the same numbers.
 ONE_TASK_ROWS = 2_000_000
 
 
@@ -52,20 +53,21 @@ def _gain(place: str) -> Column:
     return F.col("relevance") / F.log2(F.col(place) + 1)
 
 
-def _placed(
-    df: DataFrame, keys: list[str], order: list[Column], into: str, limit: int | None, rows: int | None = None
-) -> DataFrame:
+def _largest_group(df: DataFrame, keys: list[str]) -> int:
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def _placed(df: DataFrame, keys: list[str], order: list[Column], into: str, limit: int | None) -> DataFrame:
     """Number the rows of each key from 1, up to ``limit`` if there is one.
 
     With a limit, Spark drops the rest of a group before the shuffle. Without one, groups larger
-    than ``ONE_TASK_ROWS`` are numbered by range partitions; ``rows`` is their size, if known.
+    than ``ONE_TASK_ROWS`` are numbered in parts, by ranges.
     """
-    numbered = df.withColumn(into, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    if limit is not None:
-        return numbered.where(F.col(into) <= limit)
-    if rows is None:
-        rows = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return numbered if rows <= ONE_TASK_ROWS else places_in_group(df, keys, order, into)
+    if (_largest_group(df, keys) if limit is None else limit) > ONE_TASK_ROWS:
+        placed = places_in_group(df, keys, order, into)
+    else:
+        placed = df.withColumn(into, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return placed if limit is None else placed.where(F.col(into) <= limit)
 
 
 def _deepest(measures: Sequence[Measure]) -> int | None:
@@ -91,16 +93,21 @@ def _ideal(qrels: DataFrame, measures: Sequence[Measure]) -> DataFrame:
     return counts.join(gains, "query_id", "left")
 
 
-def _with_found(hits: DataFrame, keys: list[str], level: int, rows: int) -> DataFrame:
-    """The number of documents of at least ``level`` at or above each hit."""
-    column = f"found_{level}"
-    if rows <= ONE_TASK_ROWS:
-        in_order = Window.partitionBy(*keys).orderBy("place")
-        return hits.withColumn(column, F.sum((F.col("relevance") >= level).cast("int")).over(in_order))
-    counted = places_in_group(
-        hits.where(F.col("relevance") >= level).select(*keys, "doc_id", "place"), keys, [F.col("place")], column
-    )
-    return hits.join(counted.drop("place"), [*keys, "doc_id"], "left")
+def _hits(run: DataFrame, relevant: DataFrame, keys: list[str], levels: list[int], deepest: int | None, depth: int | None) -> DataFrame:
+    """The relevant documents of the run: place, relevance, and how many of each level are at or above it."""
+    order = [F.col("score").desc(), F.col("doc_id").desc()]
+    found = {f"found_{level}": (F.col("relevance") >= level) for level in levels}
+    if min(n for n in (deepest, depth) if n is not None) > ONE_TASK_ROWS:
+        # a key's rows do not fit one task: places and counts are summed up in parts
+        judged = run.join(relevant, ["query_id", "doc_id"], "left")
+        counted = {n: F.coalesce(c, F.lit(False)).cast("int") for n, c in found.items()}
+        hits = running_sums(judged, keys, order, {"place": F.lit(1), **counted}).where("relevance > 0")
+        return hits if deepest is None else hits.where(F.col("place") <= deepest)
+    placed = run.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    placed = placed if deepest is None else placed.where(F.col("place") <= deepest)
+    hits = placed.join(relevant, ["query_id", "doc_id"])
+    in_order = Window.partitionBy(*keys).orderBy("place")
+    return hits.withColumns({n: F.sum(c.cast("int")).over(in_order) for n, c in found.items()})
 
 
 def _score(m: Measure) -> Column:
@@ -125,17 +132,18 @@ def _value(m: Measure) -> Column:
     return F.coalesce(score, F.lit(0.0)).alias(m.name)
 
 
-def _with_settings(population: DataFrame, run: DataFrame, by: list[str], settings: Sequence[dict] | None) -> DataFrame:
-    """Every judged query once per setting; settings that are not given are those of the run."""
-    if settings is not None:
-        rows = [F.struct(*[F.lit(s[c]).alias(c) for c in by]) for s in settings]
-        return population.select("*", F.inline(F.array(*rows)))
-    # one row that holds the distinct settings, met on a key that is 0 everywhere
-    listed = run.groupBy(*by).agg(F.count("*").alias("_rows")).agg(
-        F.collect_list(F.struct(*by)).alias("_settings"), F.coalesce(F.sum("_rows") * 0, F.lit(0)).alias("_all")
-    )
-    keyed = population.withColumn("_all", F.pmod(F.xxhash64("query_id"), F.lit(1)))
-    return keyed.join(listed, "_all").drop("_all").select("*", F.inline("_settings")).drop("_settings")
+def _settings_of(run: DataFrame, by: list[str]) -> list[dict]:
+    """The settings a run has: one per search that was made, however many rows each found."""
+    return [row.asDict() for row in run.select(*by).distinct().collect()]
+
+
+def _with_settings(population: DataFrame, run: DataFrame, by: list[str], settings: Sequence[dict]) -> DataFrame:
+    """Every judged query once per setting."""
+    kinds = {c: run.schema[c].dataType for c in by}
+    if not settings:
+        return population.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in by]).where("false")
+    rows = [F.struct(*[F.lit(s[c]).cast(kinds[c]).alias(c) for c in by]) for s in settings]
+    return population.select("*", F.inline(F.array(*rows)))
 
 
 def evaluate(
@@ -148,23 +156,28 @@ def evaluate(
 ) -> DataFrame:
     """``by, query_id, measure, value`` for all measures in one pass.
 
-    ``settings`` lists the values of the ``by`` columns (those of the run if not given), so that
+    ``settings`` lists the values of the ``by`` columns (read off the run if not given), so that
     every setting reports every judged query. ``depth`` is the largest number of rows per query,
-    if the caller knows it; if a measure without cutoff needs it, it is counted here. ``run`` should be
-    a stored table, whose size Spark knows.
+    if the caller knows it: the run is then dealt out once, by setting and query, for all steps. If a
+    measure without cutoff needs it, it is counted here. ``run`` should be a stored table, whose size Spark
+    knows.
     """
     parsed = [parse_measure(m) for m in measures]
     by, keys = list(by), [*by, "query_id"]
-    run = run.groupBy(*keys, "doc_id").agg(F.max("score").alias("score"))
-    qrels = qrels.groupBy("query_id", "doc_id").agg(F.max("relevance").alias("relevance"))
-    relevant = qrels.where("relevance > 0")
-    order = [F.col("score").desc(), F.col("doc_id").desc()]
     deepest = _deepest(parsed)
+    if by and settings is None:
+        settings = _settings_of(run, by)
     if deepest is None and depth is None:
-        depth = run.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    hits = _placed(run, keys, order, "place", deepest, depth).join(relevant, ["query_id", "doc_id"])
-    for level in sorted({m.relevance for m in parsed if m.kind == "AP"}):
-        hits = _with_found(hits, keys, level, deepest or depth)
+        depth = _largest_group(run, keys)
+    if depth is not None and depth <= ONE_TASK_ROWS:
+        # rows of one document, too, are together then
+        run = run.repartition(*keys)
+    run = run.groupBy(*keys, "doc_id").agg(F.max("score").alias("score"))
+    qrels = qrels.groupBy("query_id", "doc_id").agg(F.max("relevance").alias("relevance"))
+    levels = sorted({m.relevance for m in parsed if m.kind == "AP"})
+    # judgments of a checked size leave the ranked rows where they are
+    relevant = broadcast_if_small(qrels.where("relevance > 0"))
+    hits = _hits(run, relevant, keys, levels, deepest, depth)
     scores = hits.groupBy(*keys).agg(*[_score(m).alias(m.column) for m in parsed])
 
     population = _ideal(qrels, parsed)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dimsift.operators import evaluate as ev
+from dimsift.operators.numbering import running_sums
 from dimsift.operators.search import search
 
 from .conftest import approx
@@ -143,3 +144,78 @@ def test_settings_are_those_of_the_run(spark):
     found = sorted((r["alpha"], r["query_id"], r["value"]) for r in ev.evaluate(run, qrels, ["R@5"], ["alpha"]).collect())
     assert found == [("x", "q1", 1.0), ("x", "q2", 0.0), ("y", "q1", 0.0), ("y", "q2", 1.0)]
     assert ev.evaluate(run.where("false"), qrels, ["R@5"], ["alpha"]).collect() == []
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def stored_run(spark, tmp_path):
+    rows = [(f"a{s}", f"q{q}", f"d{i}", float(i * 7 % 13)) for s in range(3) for q in range(4) for i in range(20)]
+    run = spark.createDataFrame(rows, "alpha string, query_id string, doc_id string, score double")
+    run.write.parquet(str(tmp_path / "run"))
+    qrels = spark.createDataFrame([(f"q{q}", f"d{i}", i % 3) for q in range(4) for i in range(0, 20, 2)], QRELS)
+    qrels.write.parquet(str(tmp_path / "qrels"))
+    return spark.read.parquet(str(tmp_path / "run")), spark.read.parquet(str(tmp_path / "qrels"))
+
+
+def test_a_run_of_known_depth_moves_once(stored_run):
+    run, qrels = stored_run
+    settings = [{"alpha": f"a{s}"} for s in range(3)]
+    for measures in (ev.DEFAULT_MEASURES, ["nDCG@10", "RR@10"]):
+        known = ev.evaluate(run, qrels, measures, ["alpha"], settings, depth=20)
+        plan = plan_of(known)
+        # from the ranking down to the run's files
+        ranking = plan[plan.index("Window [row_number() windowspecdefinition(alpha"):]
+        assert ranking[: ranking.index("FileScan")].count("Exchange") == 1
+        # and above it, the measures find the rows dealt out already
+        assert plan[plan.index("HashAggregate(keys=[alpha"): plan.index("Window [row_number() windowspecdefinition(alpha")].count("Exchange hash") == 0
+        unknown = ev.evaluate(run, qrels, measures, ["alpha"], settings)
+        assert sorted(known.collect()) == sorted(unknown.collect())
+
+
+def test_settings_are_read_without_a_constant_key(stored_run):
+    run, qrels = stored_run
+    read = ev.evaluate(run, qrels, ["RR@10"], ["alpha"])
+    assert "_all" not in plan_of(read) and "NestedLoop" not in plan_of(read) and "Cartesian" not in plan_of(read)
+    given = ev.evaluate(run, qrels, ["RR@10"], ["alpha"], [{"alpha": f"a{s}"} for s in range(3)])
+    assert sorted(read.collect()) == sorted(given.collect()) and read.count() == 12
+
+
+def test_settings_of_several_columns_and_nulls(spark):
+    run = spark.createDataFrame([(1, None, "q", "a", 1.0), (2, "x", "q", "a", 1.0)], "n int, alpha string, query_id string, doc_id string, score double")
+    qrels = spark.createDataFrame([("q", "a", 1), ("r", "a", 1)], QRELS)
+    found = ev.evaluate(run, qrels, ["RR"], ["n", "alpha"])
+    assert found.schema["n"].dataType.simpleString() == "int"
+    # a null setting equals none, so its runs are not found
+    assert sorted(map(tuple, found.collect()), key=repr) == [(1, None, "q", "RR", 0.0), (1, None, "r", "RR", 0.0), (2, "x", "q", "RR", 1.0), (2, "x", "r", "RR", 0.0)]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_running_sums(spark, parts):
+    """Keys that lie in one partition, fill several, or are null, against a window."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = [(None if i % 11 == 0 else "hot" if i % 3 else f"k{i % 5}", i % 2, f"d{i}", float(i * 29 % 53), i % 4) for i in range(400)]
+        df = spark.createDataFrame(rows, "k string, b int, doc_id string, score double, v int")
+        order = [F.col("score").desc(), F.col("doc_id").asc()]
+        found = running_sums(df, ["k", "b"], order, {"place": F.lit(1), "total": F.col("v") * 2}).select(*df.columns, "place", "total").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[:2], []).append(r)
+    expected = []
+    for some in groups.values():
+        total = 0
+        for place, r in enumerate(sorted(some, key=lambda r: (-r[3], r[2])), 1):
+            total += 2 * r[4]
+            expected.append((*r, place, total))
+    assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
+    assert running_sums(df.where("false"), ["k"], order, {"place": F.lit(1)}).collect() == []
