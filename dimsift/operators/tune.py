@@ -18,7 +18,7 @@ from ..functions import arrays
 from ..storage import materialize
 from .evaluate import evaluate
 from .importance import combined, interaction
-from .search import search
+from .search import search_distinct
 from .select import Selector, TopAlpha, apply_weights, selector
 from .vectors import mean_vectors
 
@@ -186,7 +186,7 @@ def run_trials(
         )
     masked = apply_weights(weighted)
     keys = ["trial_id", "query_id"]
-    found = materialize(search(vectors, masked, depth, "trial", keys), "trials")
+    found = search_distinct(vectors, masked, depth, "trial", keys)
     settings = [{"trial_id": t["trial_id"]} for t in trials]
     results = evaluate(found, qrels, [measure], ["trial_id"], settings, depth)
     means = results.groupBy("trial_id").agg(F.avg("value").alias("value"))

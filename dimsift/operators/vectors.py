@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import arrays
 from ..storage import broadcast_if_small, materialize
 
+PUSHED_IDS = 10_000  # more ids than that are joined instead of named; to the same rows
+
 
 def missing_ids(vectors: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The distinct ids that have no vector."""
@@ -23,17 +28,37 @@ def require(vectors: DataFrame, ids: DataFrame, key: str = "doc_id") -> None:
         raise KeyError(f"no vector for {absent}")
 
 
+def among(key: str, ids: Sequence) -> Column:
+    """Whether ``key`` is one of ``ids``, strings or whole numbers, as a literal list that a scan can use."""
+    if not ids:
+        return F.lit(False)
+    # one expression: a column per id would be as many calls to the JVM; in hexadecimal, nothing needs quoting
+    named = [f"CAST(X'{i.encode().hex()}' AS STRING)" if isinstance(i, str) else f"{i}L" for i in ids]
+    return F.expr(f"`{key}` IN ({', '.join(named)})")
+
+
+def _pushed(wanted: DataFrame, key: str) -> list | None:
+    """The ids, if they are few enough to be named to the scan."""
+    if not isinstance(wanted.schema[key].dataType, (T.StringType, T.LongType, T.IntegerType)):
+        return None
+    few = [r[0] for r in wanted.where(F.col(key).isNotNull()).limit(PUSHED_IDS + 1).collect()]
+    return few if len(few) <= PUSHED_IDS else None
+
+
 def lookup(vectors: DataFrame, ids: DataFrame, key: str = "doc_id", strict: bool = False) -> DataFrame:
     """The vector of every row of ``ids``; other columns of ``ids`` come along.
 
-    The distinct ids are stored, and broadcast if their files are small, so the vector table is scanned
-    but not moved; only vectors that are wanted meet the other columns. ``strict`` raises ``KeyError``
-    for ids without a vector.
+    The distinct ids are stored. A few thousand of them are named to the scan, which leaves out row groups
+    that have none (tables of ``write_vectors`` are sorted and have Bloom filters); more are broadcast if
+    their files are small, so the vector table is scanned but not moved. Only vectors that are wanted meet
+    the other columns. ``strict`` raises ``KeyError`` for ids without a vector.
     """
     wanted = materialize(ids.select(key).distinct(), "wanted")
+    few = _pushed(wanted, key)
+    chosen = vectors.join(broadcast_if_small(wanted), key, "left_semi") if few is None else vectors.where(among(key, few))
     if strict:
-        require(vectors, wanted, key)
-    return vectors.join(broadcast_if_small(wanted), key, "left_semi").join(ids, key)
+        require(vectors if few is None else chosen, wanted, key)
+    return chosen.join(ids, key)
 
 
 def exploded(vectors: DataFrame, *keys: str, column: str = "vec") -> DataFrame:

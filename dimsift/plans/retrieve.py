@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.evaluate import DEFAULT_MEASURES, evaluate, summary, summary_table, with_retained
 from ..operators.importance import Filter
-from ..operators.search import DEFAULT_K, search
+from ..operators.search import DEFAULT_K, search, search_distinct
 from ..operators.select import DEFAULT_ALPHAS, Selector, TopAlpha, alpha_label, apply_weights, labels, retained, selector
 from ..schemas import RESULT_COLUMNS, SWEEP_RUN_COLUMNS
 from ..sources import results as result_files
@@ -123,9 +123,9 @@ def masked_search(
     chosen = selector(chosen)
     weighted, known = _stored_weights(chosen, importance, alphas)
     masked = apply_weights(weighted).select("query_id", "alpha", "vec")
-    found = search(vectors, masked, k, run, ["query_id", "alpha"]).select(*SWEEP_RUN_COLUMNS)
+    found = search_distinct(vectors, masked, k, run, ["query_id", "alpha"]).select(*SWEEP_RUN_COLUMNS)
     fractions = None if isinstance(chosen, TopAlpha) else retained(weighted)
-    return Sweep(materialize(found, "sweep"), tuple(known), fractions, depth=k)
+    return Sweep(found, tuple(known), fractions, depth=k)
 
 
 def sweep(
@@ -181,7 +181,7 @@ def compare(
     # one row per query and setting: stored, because both the search and the shares read it
     weighted = materialize(reduce(DataFrame.unionByName, parts), "weights")
     by = ["filter", "selector", "alpha"]
-    found = search(vectors, apply_weights(weighted), k, model, [*by, "query_id"])
+    found = search_distinct(vectors, apply_weights(weighted), k, model, [*by, "query_id"])
     tagged = found.withColumn("run", F.concat_ws("__", F.lit(model), "filter", "selector"))
     fractions = retained(weighted.where(~F.col("same")), ("filter", "selector"))
-    return Comparison(materialize(tagged, "comparison"), tuple(settings), fractions, k)
+    return Comparison(tagged, tuple(settings), fractions, k)

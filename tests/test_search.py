@@ -1,9 +1,14 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from dimsift.operators import blocks as block_module
 from dimsift.operators import search as search_module
-from dimsift.operators.search import Limits, _RunningTopK, merge_top_k, search, top_document
+from dimsift.operators import topk
+from dimsift.operators.search import Limits, merge_top_k, search, search_distinct, top_document
+from dimsift.operators.topk import RunningTopK
+from dimsift.sources.vectors import read_blocks, read_vectors, write_vectors
 
 from .conftest import approx
 
@@ -92,25 +97,52 @@ def test_first_look_changes_no_row(spark, monkeypatch):
     assert rows(search(d, q, 4)) == brute_force(docs, queries, 4)
 
 
-def test_running_state_is_compacted(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(search_module, "SCORE_BLOCK", 40)
+@pytest.mark.parametrize("spare_ids", [1_000_000, 20])
+def test_running_state_has_a_fixed_size(monkeypatch, spare_ids):
+    monkeypatch.setattr(topk, "SCORE_BLOCK", 40)
+    monkeypatch.setattr(topk, "MERGE_ROWS", 10)
+    monkeypatch.setattr(topk, "SPARE_IDS", spare_ids)
     rng = np.random.default_rng(1)
     docs = rng.integers(-2, 3, (500, 6)).astype(np.float32)
     queries = rng.integers(-2, 3, (4, 6)).astype(np.float32)
-    best = _RunningTopK(queries, 5)
+    best = RunningTopK(queries, 5)
     ids = [f"d{i}" for i in range(500)]
-    most = 0
+    size = sum(a.nbytes for a in vars(best).values() if isinstance(a, np.ndarray))
     for start in range(0, 500, 50):
         best.add(pa.array(ids[start:start + 50]), docs[start:start + 50])
-        most = max(most, best.pending)
-    assert most <= 2 * 40 + 4 * 50
-    out = best.result(pa.table({"query_id": [f"q{i}" for i in range(4)]})).to_pylist()
+        assert best.pending <= len(best.found_row)
+        assert len(best.ids) <= max(500 if spare_ids > 500 else 0, 2 * best.needed_ids + spare_ids + 50)
+    assert sum(a.nbytes for a in vars(best).values() if isinstance(a, np.ndarray)) == size
+    out = pa.Table.from_batches(best.result(pa.table({"query_id": [f"q{i}" for i in range(4)]}))).to_pylist()
     found = sorted((r["query_id"], -r["score"], r["doc_id"]) for r in out)
     assert found == sorted((q, -s, d) for q, _, d, s in brute_force(docs, queries, 5))
 
 
+@pytest.mark.parametrize("k", [1, 4, 30])
+def test_running_state_keeps_smaller_ids_of_equal_scores(monkeypatch, k):
+    monkeypatch.setattr(topk, "SCORE_BLOCK", 30)
+    rng = np.random.default_rng(2)
+    docs = rng.integers(0, 2, (200, 3)).astype(np.float32)
+    queries = rng.integers(-1, 2, (7, 3)).astype(np.float32)
+    best = RunningTopK(queries, k)
+    order = rng.permutation(200)
+    for some in np.array_split(order, 9):
+        best.add(pa.array([f"d{i}" for i in some]), docs[some])
+    out = [r for b in best.result(pa.table({"query_id": [f"q{i}" for i in range(7)]})) for r in b.to_pylist()]
+    expected = [(q, d, s) for q, _, d, s in brute_force(docs, queries, k)]
+    assert sorted((r["query_id"], r["doc_id"], r["score"]) for r in out) == sorted(expected)
+
+
+def test_a_kept_row_takes_few_bytes():
+    """Arrays of the running top k and what waits for a merge, for more rows than fit the fixed part."""
+    best = RunningTopK(np.zeros((4000, 2)), 1000)
+    size = sum(a.nbytes for a in vars(best).values() if isinstance(a, np.ndarray))
+    assert size <= 4000 * 1000 * Limits().state_row_bytes
+    # 6,980 queries in ten settings, k = 1,000: scans of the corpus
+    scans = lambda row_bytes: -(-69_800 * 1000 * row_bytes // Limits().state_bytes)
+    assert scans(160) == 21 and scans(Limits().state_row_bytes) == 4
+
+
 def test_salted_merge_equals_plain(spark):
     partial = spark.createDataFrame(
         [(f"q{i % 5}", f"d{i}", float(i * 37 % 101)) for i in range(2000)],
@@ -169,3 +201,115 @@ def test_the_corpus_does_not_move(spark, capsys, tmp_path):
     assert "WindowGroupLimit" in plan
     below = plan[plan.index("MapInArrow"):]
     assert "Exchange" not in below
+
+
+def clustered(spark, n_docs=600, centres=12, dims=8, seed=5):
+    """Vectors in tight groups, and queries that point at a few of them."""
+    rng = np.random.default_rng(seed)
+    middles = rng.standard_normal((centres, dims)) * 4
+    docs = (middles[np.arange(n_docs) % centres] + rng.standard_normal((n_docs, dims)) * 0.05).astype(np.float32)
+    queries = (middles[[0, 0, 3]] + rng.standard_normal((3, dims)) * 0.01).astype(np.float32)
+    d = spark.createDataFrame([(f"d{i}", v.tolist()) for i, v in enumerate(docs)], "doc_id string, vec array<float>")
+    q = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(queries)], "query_id string, vec array<float>")
+    return d, q
+
+
+def scanned_rows(df):
+    """Rows that the Parquet scans of a plan gave, once it has run."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if name.startswith("Scan parquet"):
+            found += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+@pytest.fixture(scope="module")
+def in_blocks(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("clustered") / "v")
+    d, q = clustered(spark)
+    write_vectors(d, path, "m", blocks=30)
+    return d, q, path
+
+
+@pytest.mark.parametrize("k", [1, 20, 1000])
+@pytest.mark.parametrize("limits", [Limits(), Limits(broadcast_bytes=130)])
+def test_blocks_change_no_row(spark, in_blocks, k, limits):
+    d, q, path = in_blocks
+    docs, blocks = read_blocks(spark, path)
+    expected = rows(search(d, q, k))
+    assert rows(search(docs, q, k, blocks=blocks, limits=limits)) == expected
+    assert rows(search(read_vectors(spark, path), q, k)) == expected
+
+
+def test_blocks_out_of_reach_are_not_read(spark, in_blocks, monkeypatch):
+    d, q, path = in_blocks
+    docs, blocks = read_blocks(spark, path)
+    read = []
+    for name in ("nearest_blocks", "reached_blocks"):
+        real = getattr(block_module, name)
+        monkeypatch.setattr(search_module, name, lambda *a, real=real: read.append(real(*a)) or read[-1])
+    search(docs, q, 20, blocks=blocks).collect()
+    assert 0 < len(set(read[0]) | set(read[1])) < blocks.count() / 2
+    # the others are folders that the scan does not open
+    some = docs.where(F.col("block").isin(read[0]))
+    assert scanned_rows(some) == some.count() < d.count() / 3
+
+
+def test_blocks_hold_what_they_say(spark, in_blocks):
+    _, _, path = in_blocks
+    docs, blocks = read_blocks(spark, path)
+    table = {r["block"]: r for r in blocks.collect()}
+    seen = dict.fromkeys(table, 0)
+    for r in docs.collect():
+        b = table[r["block"]]
+        assert np.linalg.norm(np.array(r["vec"]) - b["centre"]) <= b["radius"] + 1e-9
+        seen[r["block"]] += 1
+    assert seen == {n: r["vectors"] for n, r in table.items()}
+
+
+def test_blocks_of_odd_vectors(spark, micro, tmp_path):
+    odd = [("n", [float("nan")] * 4), ("i", [float("inf")] * 4), ("0", [1.0, None, 1.0, 1.0]), ("z", [0.0] * 4), ("x", None)]
+    docs = micro.docs.unionByName(spark.createDataFrame(odd, micro.docs.schema))
+    write_vectors(docs.where("doc_id <> 'x'"), str(tmp_path / "odd"), "m", blocks=3)
+    stored, blocks = read_blocks(spark, str(tmp_path / "odd"))
+    assert stored.count() == 9
+    assert rows(search(stored, micro.queries, 10, blocks=blocks)) == rows(search(docs, micro.queries, 10))
+    for name, given in (("none", docs.where("doc_id = 'n'")), ("empty", docs.where("false"))):
+        write_vectors(given, str(tmp_path / name), "m", blocks=3)
+        stored, blocks = read_blocks(spark, str(tmp_path / name)) if name == "none" else (given.withColumn("block", F.lit(0)), blocks.where("false"))
+        assert search(stored, micro.queries, 2, blocks=blocks).count() == 0
+
+
+@pytest.mark.parametrize("limits", [Limits(), BLOCKS])
+def test_equal_vectors_are_searched_once(spark, monkeypatch, limits):
+    d, q, docs, queries = random_tables(spark, n_queries=9)
+    asked = q.select("query_id", F.explode(F.array(*map(F.lit, "abc"))).alias("setting"), "vec")
+    # all of setting c, and one more, have one vector; -0.0 is 0.0
+    zero = F.array(*[F.lit(z).cast("float") for z in (0.0, -0.0) * 4])
+    asked = asked.withColumn("vec", F.when((F.col("setting") == "c") | (F.col("query_id") == "q4"), zero).otherwise(F.col("vec")))
+    searched = []
+    real = search_module._search_stored
+    monkeypatch.setattr(search_module, "_search_stored", lambda d, q, *a: searched.append(q.count()) or real(d, q, *a))
+    keys = ["query_id", "setting"]
+    found = search_distinct(d, asked, 5, "r", keys, limits)
+    assert searched == [asked.select("vec").distinct().count()] and searched[0] <= 9
+    assert found.columns == search(d, asked, 5, "r", keys).columns
+    assert rows(found, *keys) == rows(search(d, asked, 5, "r", keys), *keys)
+
+
+def test_equal_vectors_and_empty_sides(spark, micro):
+    assert search_distinct(micro.docs, micro.queries.where("false"), 3).count() == 0
+    assert search_distinct(micro.docs.where("false"), micro.queries, 3).count() == 0
+    with pytest.raises(ValueError, match="different"):
+        search_distinct(micro.docs, micro.queries.unionByName(micro.queries.withColumn("vec", F.reverse("vec"))), 3)

@@ -12,6 +12,7 @@ from dimsift.sources.collections import Catalog, Collection, Table, public_colle
 from dimsift.storage import broadcast_if_small, materialize, shared_folder
 
 from .conftest import approx
+from .test_search import scanned_rows
 
 
 def same(left, right):
@@ -141,9 +142,46 @@ def test_lookup_centroid_and_missing(spark, micro):
     assert sum(x * x for x in one["vec"]) == approx(1.0)
 
 
+@pytest.mark.parametrize("pushed", [10_000, 0])
+def test_lookup_of_odd_ids(spark, monkeypatch, pushed):
+    monkeypatch.setattr(vec, "PUSHED_IDS", pushed)
+    names = ["a", "it's", "back\\slash", "\\'", "%_", "", " ", "é\n", "NULL", "?", "${x}", None]
+    vectors = spark.createDataFrame([(n, [float(i)]) for i, n in enumerate([*names, "other"])], "doc_id string, vec array<float>")
+    ids = spark.createDataFrame([(n, i) for i, n in enumerate(names)] + [("zz", 99), ("a", 100)], "doc_id string, n int")
+    found = sorted((r["n"], r["doc_id"], r["vec"][0]) for r in vec.lookup(vectors, ids).collect())
+    assert found == [(i, n, float(i)) for i, n in enumerate(names) if n is not None] + [(100, "a", 0.0)]
+    assert vec.lookup(vectors, ids.where("false")).collect() == []
+    numbers = spark.range(20).select((F.col("id") - 5).alias("doc_id"), F.array(F.col("id").cast("float")).alias("vec"))
+    few = spark.createDataFrame([(-3,), (7,), (7,), (99,)], "doc_id bigint")
+    assert sorted(r["vec"][0] for r in vec.lookup(numbers, few).collect()) == [2.0, 12.0, 12.0]
+
+
+def test_lookup_reads_few_row_groups(spark, tmp_path, monkeypatch, capsys):
+    """Ids go to the scan, which leaves out row groups and pages that have none of them."""
+    monkeypatch.setattr(vectors, "ROW_GROUP_BYTES", 20_000)
+    given = spark.range(6000).select(F.sha1(F.col("id").cast("string")).alias("doc_id"), F.array(F.col("id").cast("float"), F.rand(1).cast("float")).alias("vec"))
+    vectors.write_vectors(given, f"{tmp_path}/v", "m")
+    stored = vectors.read_vectors(spark, f"{tmp_path}/v")
+    ids = given.select("doc_id").where("vec[0] % 3000 = 3")
+    found = vec.lookup(stored, ids, strict=True)
+    assert sorted(r["vec"][0] for r in found.collect()) == [3.0, 3003.0]
+    found.explain("formatted")
+    assert "PushedFilters: [In(doc_id" in capsys.readouterr().out
+    wanted = [r[0] for r in ids.collect()]
+    chosen = spark.read.parquet(f"{tmp_path}/v/data").where(vec.among("doc_id", wanted))
+    assert chosen.count() == 2 and scanned_rows(chosen) <= 6000 / 6
+    # an id that no row group has, though it lies between their ends, is told by the Bloom filters
+    absent = spark.read.parquet(f"{tmp_path}/v/data").where(vec.among("doc_id", ["7" * 40]))
+    assert scanned_rows(absent) == 0
+    assert scanned_rows(spark.read.parquet(f"{tmp_path}/v/data")) == 6000
+
+
 def test_mean_vectors_with_and_without_broadcast(micro, monkeypatch):
     members = micro.qrels.where("relevance > 0")
+    named = vec.mean_vectors(members, micro.docs, ["query_id"]).collect()
+    monkeypatch.setattr(vec, "PUSHED_IDS", 0)
     hinted = vec.mean_vectors(members, micro.docs, ["query_id"]).collect()
+    assert named == hinted
     monkeypatch.setattr(vec, "broadcast_if_small", lambda df: broadcast_if_small(df, 0))
     assert vec.mean_vectors(members, micro.docs, ["query_id"]).collect() == hinted
 
@@ -256,8 +294,9 @@ def test_files_from_elsewhere_may_hold_line_ends(spark, tmp_path):
     assert found == {"q1": "one\ntwo \\n", "q2": "x"}
 
 
-def test_a_wide_side_table_is_not_broadcast(spark, tmp_path, capsys):
+def test_a_wide_side_table_is_not_broadcast(spark, tmp_path, capsys, monkeypatch):
     """Only the ids are, which are counted by their files."""
+    monkeypatch.setattr(vec, "PUSHED_IDS", 10)
     vectors = spark.createDataFrame([(str(i), [float(i)]) for i in range(50)], "doc_id string, vec array<float>")
     wide = spark.range(40).selectExpr("cast(id AS string) AS doc_id", "repeat('x', 20000) AS text")
     wide.write.parquet(str(tmp_path / "w"))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dimsift.operators import report, tune
+from dimsift.operators import search as search_module
 from dimsift.operators.importance import NegativeFeedback, PseudoRelevance
 from dimsift.plans import retrieve
 from dimsift.sources import results as files
@@ -71,6 +72,18 @@ def test_trials_equal_single_searches(study_tables):
         assert found[t["trial_id"]] == approx(sweep.evaluate(qrels, ["nDCG@100"]).mean(t["alpha"], "nDCG@100"), 1e-9)
 
 
+def test_equal_masks_of_trials_are_searched_once(study_tables, monkeypatch):
+    docs, queries, run, qrels = study_tables
+    searched = []
+    real = search_module._search_stored
+    monkeypatch.setattr(search_module, "_search_stored", lambda d, q, *a: searched.append(q.count()) or real(d, q, *a))
+    trials = tune.grid_trials(k=(2, 5), kneg=(2, 5), lambda_neg=(0.1, 0.5), alpha=(1.0,))
+    study = tune.run_trials(queries, trials, run, docs, qrels, depth=20).collect()
+    # with all dimensions kept, the eight trials are one search per query
+    assert searched == [queries.select("vec").distinct().count()]
+    assert len(study) == 8 and len({round(r["value"], 9) for r in study}) == 1
+
+
 def test_trials_with_threshold_and_given_base(study_tables):
     docs, queries, run, qrels = study_tables
     trials = tune.grid_trials(k=(2, 3))
@@ -151,6 +164,26 @@ def test_sweep_table(long):
     assert rows["c2", "f"]["baseline"] is None
 
 
+def test_tables_read_the_results_once(spark, long, tmp_path):
+    long.write.parquet(str(tmp_path / "r"))
+    stored = spark.read.parquet(str(tmp_path / "r"))
+    for table in (
+        report.comparison(stored, ["m"], ["c1", "c2"], ["f", "g"], "AP"),
+        report.sweep(stored, ["m"], ["c1", "c2"], ["f", "g"], measures=["AP"]),
+        report.performance(stored, ["m"], ["c1", "c2"], ["f", "g"], "top-alpha", 0.6, ["AP"]),
+        report.retained(stored, ["m"], ["c1", "c2"], ["f", "g"]),
+    ):
+        table.collect()
+        assert table._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_tables_without_the_unmasked_run(long):
+    compared = report.comparison(long, ["m"], ["c1"], ["f"], "AP", include_baseline=False)
+    assert [(r["filter"], r["rdime"]) for r in compared.collect()] == [("f", 0.625)]
+    swept = report.sweep(long, ["m"], ["c1"], ["f"], alphas=[0.4], measures=["AP"], include_baseline=False)
+    assert swept.columns[-2:] == ["alpha_0_4", "best_0_4"] and [r["alpha_0_4"] for r in swept.collect()] == [0.375]
+
+
 def test_retained_table(long):
     rows = {r["filter"]: (r["c1"], r["c2"]) for r in report.retained(long, ["m"], ["c1", "c2"], ["f", "g"]).collect()}
     assert rows == {"f": (0.25, None), "g": (None, 0.75)}
