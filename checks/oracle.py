@@ -544,6 +544,8 @@ def oracle_sql() -> dict[str, str]:
     sql["sweep_files"] = sql["alpha_sweep"]
     sql["results_file"] = sql["results_with_retained"]
     sql["vector_files"] = sql["query_encode"]
+    sql["stored_vector_lookup"] = sql["vector_lookup"]
+    sql["embeddings_topk_in_blocks"] = sql["embeddings_topk"]
     sql["answers_file"] = sql["conversation_answers"]
     sql["ce_scores_file"] = chain(qrels(d), final="SELECT query_id, doc_id, round(ce_score, 6) + 0.0 AS ce_score FROM ce")
     sql["eval_set_files"] = chain(SAMPLE, qrels(d), final=f"""SELECT query_id, doc_id, relevance FROM qrels

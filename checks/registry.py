@@ -31,6 +31,8 @@ RANDOM_TRIALS = tune.random_trials(["k", "kneg", "lambda_pos", "lambda_neg", "al
 # Small enough that queries are searched in several blocks.
 TIGHT = Limits(broadcast_bytes=16_000)
 
+BLOCKS = 16  # folders that the given vectors are stored in
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -164,15 +166,19 @@ def baseline_topk_blocks(t):
     return _scores(search(t.docs(P), t.queries(P), DEPTH, MODEL, limits=TIGHT))
 
 
-@query
-def embeddings_topk(t):
+def _embeddings_topk(t: Tables, docs: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     # the given vectors, whose sums are not exact in any order: compared to five places
     queries = t.embeddings().join(_wanted(t).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
-    return search(t.embeddings(), queries, DEPTH, MODEL).select(
+    return search(docs, queries, DEPTH, MODEL, blocks=blocks).select(
         "query_id", "doc_id", "rank", (F.round("score", 5) + 0.0).alias("score")
     )
 
 
+@query
+def embeddings_topk(t):
+    return _embeddings_topk(t, t.embeddings())
+
+
 @query
 def dialogue_topk(t):
     return _scores(search(t.docs(D), t.queries(D), DEPTH, MODEL))
@@ -539,6 +545,25 @@ def vector_files_(t):
 QUERIES["vector_files"] = QUERIES.pop("vector_files_")
 
 
+def _stored_embeddings(t: Tables, **how) -> str:
+    path = _new_path(t, "vectors")
+    vector_files.write_vectors(t.embeddings(), path, "embeddings", **how)
+    return path
+
+
+@query
+def stored_vector_lookup(t):
+    # from files sorted by id, to whose scan the ids go
+    found = vec.lookup(vector_files.read_vectors(t.spark, _stored_embeddings(t)), _wanted(t))
+    return _rounded(vec.exploded(found, "doc_id"), "value")
+
+
+@query
+def embeddings_topk_in_blocks(t):
+    docs, blocks = vector_files.read_blocks(t.spark, _stored_embeddings(t, blocks=BLOCKS))
+    return _embeddings_topk(t, docs, blocks)
+
+
 @query
 def conversation_answers(t):
     turns = t.raw("conversations").where(F.col("role") == "assistant")
