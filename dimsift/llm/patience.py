@@ -1,23 +1,24 @@
 """Line dedup by pairwise alignment of documents that share a run of lines.
 
-A line is known by the hash of its words. Documents that share a run of consecutive lines with enough
-words to be deleted are partners; every document counts as aligned with all its smaller partners. Partners
-are aligned with patience diff: lines that are unique on both sides are matched in their longest common
-order, then the gaps between matches in the same way. Aligned lines that follow one another on both sides
-are a block; blocks of enough words are deleted from the later document, which is the one with the larger id.
-
-A run of many documents would make too many pairs. Each of its holders is aligned with one earlier holder
-first; only where that leaves some of the run undeleted, the others count, too. Of those that have the lines
-of the document in the same order, with or without other lines between, one stands for all, since the
-alignment is the same. What goes is the same as if every two partners had been aligned, since a block is
-made of such runs.
-
-Pairs carry hashes of lines only. All pairs are judged on the documents as given.
+A line is known by the hash of its words, a run by those of consecutive lines, empty ones aside. Of every run
+with enough words to be deleted, each document that has it is held against one earlier document that does, if
+it can be one that has it once. The two are aligned with patience diff: lines that are unique on both sides are
+matched in their longest common order, then the gaps between matches in the same way. Aligned lines that
+follow one another on both sides are a block; blocks of enough words are deleted from the later document, which
+is the one with the larger id.
+
+Patience diff keeps one order, so it leaves out a run that was moved, or that a text repeats. Such a run is then an
+anchor of its own: it is found in the same earlier document, compared line by line, and carried on both ways as
+far as the two agree. So what goes in the end are the lines of every run of enough words that an earlier document
+has, too, and the empty lines within.
+
+A document meets as many others as it has runs, at most, so work grows with the lines. Pairs carry hashes of lines
+only. All are judged on the documents as given. A document is told from others with its id by a hash of all
+its lines.
 """
 
 from __future__ import annotations
 
-import sys
 from bisect import bisect_left
 from collections import Counter
 
@@ -31,11 +32,12 @@ from ..storage import materialize
 from . import arrow
 from .sieve import Sieve
 
-RARE = sys.maxsize  # holders of a line that are held against each other, at most: no bound
-LINE_WORDS = 1  # words of a line that counts: any line with a word
-FEW = 4  # holders of a run that are all paired at once; changes the order of work, not what is deleted
 BLOCK_WORDS = 8  # words of a block that is deleted
 
+IDENTITY = ["doc_id", "print"]
+PAIR = [*IDENTITY, "from_id", "from_print"]
+BLOCKS = "doc_id long, print long, start int, lines int"
+
 
 def lines_of(column: pa.Array) -> tuple[arrow.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of the texts; hash, words, text, and byte span of each line (an empty line has hash 0)."""
@@ -56,8 +58,16 @@ def lines_of(column: pa.Array) -> tuple[arrow.Words, np.ndarray, np.ndarray, np.
     return words, keys, last - first, text, start, end
 
 
+def prints(keys: np.ndarray, at: np.ndarray) -> pa.Array:
+    """One hash of all lines of each text."""
+    return pa.array(arrow.signed(arrow.sequence_hashes(keys, at[:-1], at[1:])))
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """``doc_id, keys, words``: hash and number of words of every line, as arrays of bytes (8 and 4 per line)."""
+    """``doc_id, print, keys, words``: hash and number of words of every line, as arrays of bytes (8 and 4 per line).
+
+    Rows with the same id and the same lines are one.
+    """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, keys, count, text, _, _ = lines_of(batch["text"])
@@ -65,10 +75,11 @@ def line_table(docs: DataFrame) -> DataFrame:
         count = count.astype(np.int32)
         rows = [(keys[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
         return pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array([k for k, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.binary())], ["doc_id", "keys", "words"]
+            [batch["doc_id"], prints(keys, at), pa.array([k for k, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.binary())],
+            ["doc_id", "print", "keys", "words"],
         )
 
-    return arrow.map_batches(docs, step, "doc_id long, keys binary, words binary")
+    return arrow.map_batches(docs, step, "doc_id long, print long, keys binary, words binary").dropDuplicates(IDENTITY)
 
 
 def runs_of(batch: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +108,7 @@ def runs_of(batch: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def holders(table: DataFrame, least: int) -> DataFrame:
-    """``key, doc_id, once``: which documents have a run of lines, and if it is there once."""
+    """``key, doc_id, print, once``: which documents have a run of lines, and if it is there once."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, row, _, _ = runs_of(batch, least)
@@ -105,111 +116,115 @@ def holders(table: DataFrame, least: int) -> DataFrame:
         keys, row = keys[order], row[order]
         first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])))[: len(keys)])
         once = np.diff(np.append(first, len(keys))) == 1
-        return pa.RecordBatch.from_arrays([pa.array(arrow.signed(keys[first])), batch["doc_id"].take(pa.array(row[first])), pa.array(once)], ["key", "doc_id", "once"])
+        of = pa.array(row[first])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(arrow.signed(keys[first])), batch["doc_id"].take(of), batch["print"].take(of), pa.array(once)], ["key", "doc_id", "print", "once"]
+        )
 
-    return arrow.map_batches(table, step, "key long, doc_id long, once boolean")
+    return arrow.map_batches(table, step, "key long, doc_id long, print long, once boolean")
 
 
 def shared_runs(table: DataFrame, least: int) -> DataFrame:
-    """``key, doc_id, holders, earlier``: runs that an earlier document has, too, one that has it once if there is one."""
-    rows = holders(table, least)
-    shared = rows.groupBy("key").agg(
-        F.count("*").alias("holders"), F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.min(F.when(F.col("once"), F.col("doc_id"))).alias("_once")
-    )
-    found = rows.drop("once").join(shared.where("_first < _last"), "key")
-    earlier = F.when(F.col("_once") < F.col("doc_id"), F.col("_once")).when(F.col("_first") < F.col("doc_id"), F.col("_first"))
-    return found.select("key", "doc_id", "holders", earlier.alias("earlier"))
+    """``key, doc_id, print, from_id, from_print``: runs that an earlier document has, too, one that has it once if there is one."""
+    rows, which = holders(table, least), F.struct(*IDENTITY)
+    shared = rows.groupBy("key").agg(F.min(which).alias("_first"), F.max("doc_id").alias("_last"), F.min(F.when(F.col("once"), which)).alias("_once"))
+    # stored, so that Spark may split the rows of a run that very many documents have
+    shared = materialize(shared.where("_first.doc_id < _last"), "runs")
+    earlier = F.when(F.col("_once.doc_id") < F.col("doc_id"), F.col("_once")).when(F.col("_first.doc_id") < F.col("doc_id"), F.col("_first"))
+    found = rows.drop("once").join(shared, "key").select("key", *IDENTITY, earlier.alias("_from")).where("_from IS NOT NULL")
+    return found.select("key", *IDENTITY, F.col("_from.doc_id").alias("from_id"), F.col("_from.print").alias("from_print"))
 
 
-def partners(found: DataFrame) -> DataFrame:
-    """``later, earlier``: pairs of documents to align at first, each once."""
-    one = found.where("earlier IS NOT NULL").select(F.col("doc_id").alias("later"), "earlier")
-    few = found.where(F.col("holders") <= FEW)
-    among = few.alias("a").join(few.alias("b"), "key").where("a.doc_id > b.doc_id")
-    return one.unionByName(among.select(F.col("a.doc_id").alias("later"), F.col("b.doc_id").alias("earlier"))).distinct()
+def side_by_side(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of documents with the lines of both, dealt out over all tasks, since there is more work in them than bytes."""
+    earlier = table.toDF("from_id", "from_print", "from_keys", "from_words")
+    both = pairs.join(table, IDENTITY).join(earlier, ["from_id", "from_print"])
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(tasks, *IDENTITY, "from_id", "from_print")
 
 
 def left_runs(table: DataFrame, found: DataFrame, gone: DataFrame, least: int) -> DataFrame:
-    """``key, later``: runs of many holders that are still in a document after the blocks ``gone``."""
-    many = found.where((F.col("holders") > FEW) & F.col("earlier").isNotNull())
-    keys = many.groupBy("doc_id").agg(F.collect_list("key").alias("_keys"))
-    by_doc = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "lines", "sum")).alias("_blocks"))
+    """``doc_id, print, from_id, from_print, runs``: places of runs that are still in a document after the blocks ``gone``."""
+    runs = found.groupBy(*IDENTITY).agg(F.sort_array(F.collect_list(F.struct("key", "from_id", "from_print"))).alias("_runs"))
+    by_doc = gone.groupBy(*IDENTITY).agg(F.collect_list(F.struct("start", "lines")).alias("_blocks"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         run, row, first, end = runs_of(batch, least)
         run, bounds = arrow.signed(run), arrow.text_bytes(batch["keys"])[1] // 8
         keep = np.ones(bounds[-1], bool)
-        wanted = np.zeros(len(run), bool)
+        for i, some in enumerate(batch["_blocks"].to_pylist()):
+            for b in some or ():
+                keep[bounds[i] + b["start"] : bounds[i] + b["start"] + b["lines"]] = False
+        kept = np.concatenate(([0], np.cumsum(keep)))
         order = np.argsort(row, kind="stable")
         of = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
-        for i, some in enumerate(batch["_blocks"].to_pylist()):
-            drop_blocks(np.frombuffer(batch["keys"][i].as_buffer(), np.int64), some, keep[bounds[i] : bounds[i + 1]])
+        known, many = batch["_runs"].flatten(), batch["_runs"].value_lengths().to_numpy()
+        known_keys, begin = known.field("key").to_numpy(), np.cumsum(many) - many
+        chosen, source = [], []
+        for i in range(batch.num_rows):
             mine = order[of[i] : of[i + 1]]
-            wanted[mine] = np.isin(run[mine], batch["_keys"][i].values.to_numpy())
-        kept = np.concatenate(([0], np.cumsum(keep)))
-        wanted &= kept[bounds[row] + end] > kept[bounds[row] + first]
-        return pa.RecordBatch.from_arrays([pa.array(run[wanted]), batch["doc_id"].take(pa.array(row[wanted]))], ["key", "later"])
-
-    return arrow.map_batches(table.join(keys, "doc_id").join(by_doc, "doc_id", "left"), step, "key long, later long").distinct()
-
-
-def outline(lines: list[int], known: set[int]) -> bytes:
-    """The lines that are known, in order; 0 stands for any number of others."""
-    out: list[int] = []
-    for x in lines:
-        if x in known:
-            out.append(x)
-        elif not out or out[-1]:
-            out.append(0)
-    return np.array(out, np.int64).tobytes()
+            keys = known_keys[begin[i] : begin[i] + many[i]]
+            at = np.minimum(np.searchsorted(keys, run[mine]), len(keys) - 1)
+            left = (keys[at] == run[mine]) & (kept[bounds[i] + end[mine]] > kept[bounds[i] + first[mine]])
+            chosen.append(mine[left])
+            source.append(begin[i] + at[left])
+        chosen, source = np.concatenate(chosen), pa.array(np.concatenate(source))
+        of = pa.array(row[chosen])
+        columns = [batch["doc_id"].take(of), batch["print"].take(of), known.field("from_id").take(source), known.field("from_print").take(source)]
+        columns += [pa.array(run[chosen]), pa.array(first[chosen].astype(np.int32)), pa.array(end[chosen].astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, [*PAIR, "key", "start", "end"])
 
+    rows = table.join(runs, IDENTITY).join(by_doc, IDENTITY, "left")
+    places = arrow.map_batches(rows, step, "doc_id long, print long, from_id long, from_print long, key long, start int, end int")
+    return places.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("start", "end", "key"))).alias("runs"))
 
-def outlines(table: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc_id, outline, known``: of ``docs``, the lines that another of them may have; also each once, in order."""
-    some = materialize(table.join(docs, "doc_id").select("doc_id", "keys"), "left-lines")
 
-    def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
-        mine = [np.unique(np.frombuffer(k.as_buffer(), np.int64)) for k in batch["keys"]]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(mine))], ["key"])
-
-    several = arrow.map_batches(some, lines, "key long").groupBy("key").count().where("count > 1 AND key <> 0").select("key")
-    sieve = table.sparkSession.sparkContext.broadcast(Sieve(several))
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out, known = [], []
-        for k in batch["keys"]:
-            keys = np.frombuffer(k.as_buffer(), np.int64)
-            keys = keys[keys != 0]
-            mine = np.unique(keys[sieve.value.passes(keys)])
-            out.append(outline(keys.tolist(), set(mine.tolist())))
-            known.append(mine.tobytes())
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.binary()), pa.array(known, pa.binary())], ["doc_id", "outline", "known"])
-
-    return materialize(arrow.map_batches(some, step, "doc_id long, outline binary, known binary"), "outlines")
-
-
-def other_partners(table: DataFrame, found: DataFrame, left: DataFrame) -> DataFrame:
-    """``later, earlier``: for documents with runs ``left``, of the holders with one outline the smallest."""
-    held = found.join(left.select("key").distinct(), "key").select("key", "doc_id")
-    drawn = outlines(table, held.select("doc_id").distinct())
-    theirs = held.join(drawn, "doc_id").groupBy("key", "outline").agg(F.min("doc_id").alias("earlier"))
-    wanted = left.join(drawn.select(F.col("doc_id").alias("later"), "known"), "later")
+def anchored(table: DataFrame, left: DataFrame, least: int) -> DataFrame:
+    """``doc_id, print, start, lines``: blocks around runs that stand in another place, or order, than in the earlier document."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets: dict[bytes, set[int]] = {}
-        best: dict[tuple[bytes, bytes], int] = {}
-        for known, lines, doc in zip(*(batch[c].to_pylist() for c in ("known", "outline", "earlier"))):
-            if known not in sets:
-                sets[known] = set(np.frombuffer(known, np.int64).tolist())
-            at = known, outline(np.frombuffer(lines, np.int64).tolist(), sets[known])
-            best[at] = min(doc, best.get(at, doc))
-        known, seen = zip(*best)
-        return pa.RecordBatch.from_arrays([pa.array(known, pa.binary()), pa.array(seen, pa.binary()), pa.array(best.values(), pa.int64())], ["known", "seen", "earlier"])
-
-    both = wanted.select("key", "known").distinct().join(theirs, "key").select("known", "outline", "earlier")
-    alike = arrow.map_batches(both, step, "known binary, seen binary, earlier long").groupBy("known", "seen").agg(F.min("earlier").alias("earlier"))
-    pairs = wanted.select("later", "known").distinct().join(alike, "known").where("earlier < later")
-    return pairs.select("later", "earlier").distinct()
+        theirs = pa.RecordBatch.from_arrays([batch["from_keys"], batch["from_words"]], ["keys", "words"])
+        run, row, first, _ = runs_of(theirs, least)
+        run = arrow.signed(run)
+        order = np.lexsort((run, row))
+        of = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
+        out = []
+        for i, places in enumerate(batch["runs"].to_pylist()):
+            mine, other = (np.frombuffer(batch[c][i].as_buffer(), np.int64) for c in ("keys", "from_keys"))
+            known = order[of[i] : of[i + 1]]
+            at = np.searchsorted(run[known], [p["key"] for p in places])
+            covered = np.zeros(len(mine), bool)
+            for p, k in zip(places, at):
+                if covered[p["start"] : p["end"]].all() or k == len(known) or run[known[k]] != p["key"]:
+                    continue
+                start, end = grown(mine, other, p["start"], p["end"], int(first[known[k]]))
+                if end > start:
+                    covered[start:end] = True
+                    out.append((i, start, end - start))
+        return found_blocks(batch, out)
+
+    return arrow.map_batches(side_by_side(table, left), step, BLOCKS)
+
+
+def grown(mine: np.ndarray, theirs: np.ndarray, start: int, end: int, there: int) -> tuple[int, int]:
+    """The lines ``start`` to ``end``, which are also ``there``, and equal ones before and behind; none if they differ."""
+    places = np.flatnonzero(mine)
+    a, other = mine[places], theirs[theirs != 0]
+    lo, hi = np.searchsorted(places, (start, end))
+    low = int(np.count_nonzero(theirs[:there]))
+    high = low + hi - lo
+    if high > len(other) or (a[lo:hi] != other[low:high]).any():
+        return start, start
+    before = equal_run(a[:lo][::-1], other[:low][::-1])
+    behind = equal_run(a[hi:], other[high:])
+    return int(places[lo - before]), int(places[hi - 1 + behind]) + 1
+
+
+def equal_run(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many places both begin alike."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
 
 
 def common_order(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -279,32 +294,26 @@ def blocks_of(later: np.ndarray, earlier: np.ndarray, words: np.ndarray, least:
     return [(int(place[f]), int(place[e] - place[f] + 1)) for f, e, t in zip(first, last, total) if t >= least]
 
 
+def found_blocks(batch: pa.RecordBatch, found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    """``doc_id, print, start, lines`` of blocks given by row, first line and number of lines."""
+    row, start, lines = zip(*found) if found else ((), (), ())
+    of = pa.array(row, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [batch["doc_id"].take(of), batch["print"].take(of), pa.array(start, pa.int32()), pa.array(lines, pa.int32())], ["doc_id", "print", "start", "lines"]
+    )
+
+
 def blocks(table: DataFrame, pairs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
-    """``doc_id, start, lines, sum``: aligned blocks of the later documents; the sum is of their lines' hashes."""
-    later = table.select(F.col("doc_id").alias("later"), F.col("keys").alias("later_keys"), "words")
-    earlier = table.select(F.col("doc_id").alias("earlier"), F.col("keys").alias("earlier_keys"))
-    both = pairs.join(later, "later").join(earlier, "earlier").select("later", "later_keys", "words", "earlier_keys")
+    """``doc_id, print, start, lines``: aligned blocks of the later documents."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for doc, mine, count, theirs in zip(batch["later"].to_pylist(), *(batch[c] for c in ("later_keys", "words", "earlier_keys"))):
+        for i, (mine, count, theirs) in enumerate(zip(*(batch[c] for c in ("keys", "words", "from_keys")))):
             keys, other = (np.frombuffer(x.as_buffer(), np.int64) for x in (mine, theirs))
-            for start, n in blocks_of(keys, other, np.frombuffer(count.as_buffer(), np.int32), least):
-                out.append((doc, start, n, int(keys[start : start + n].sum())))
-        doc, start, n, total = zip(*out) if out else ((), (), (), ())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(total, pa.int64())], ["doc_id", "start", "lines", "sum"]
-        )
-
-    return arrow.map_batches(both, step, "doc_id long, start int, lines int, sum long").distinct()
+            out += [(i, start, n) for start, n in blocks_of(keys, other, np.frombuffer(count.as_buffer(), np.int32), least)]
+        return found_blocks(batch, out)
 
-
-def drop_blocks(keys: np.ndarray, some: list[dict] | None, keep: np.ndarray) -> None:
-    """Unmark in ``keep`` the lines of the blocks that are of this row, which the sum of their hashes tells."""
-    for b in some or ():
-        part = keys[b["start"] : b["start"] + b["lines"]]
-        if len(part) == b["lines"] and int(part.sum()) == b["sum"]:
-            keep[b["start"] : b["start"] + b["lines"]] = False
+    return arrow.map_batches(side_by_side(table, pairs), step, BLOCKS)
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -325,12 +334,18 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
         lines = pc.add(pc.count_substring(batch["text"], "\n"), 1).cast(pa.int64())
         return batch.append_column("n_lines", lines).append_column("n_removed", pa.array(np.zeros(batch.num_rows, np.int64)))
 
+    def told_apart(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = chosen(batch, True)
+        _, keys, _, text, _, _ = lines_of(batch["text"])
+        return batch.append_column("_print", prints(keys, np.searchsorted(text, np.arange(batch.num_rows + 1))))
+
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, keys, _, text, start, end = lines_of(batch["text"])
         keep = np.ones(len(keys), bool)
         at = np.searchsorted(text, np.arange(batch.num_rows + 1))
         for i, some in enumerate(batch["_blocks"].to_pylist()):
-            drop_blocks(keys[at[i] : at[i + 1]].view(np.int64), some, keep[at[i] : at[i + 1]])
+            for b in some or ():
+                keep[at[i] + b["start"] : at[i] + b["start"] + b["lines"]] = False
         removed = np.bincount(text[~keep], minlength=batch.num_rows)
         texts = []
         for i in range(batch.num_rows):
@@ -340,18 +355,19 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
         batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
         return batch.append_column("n_lines", pa.array(np.diff(at).astype(np.int64))).append_column("n_removed", pa.array(removed.astype(np.int64)))
 
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "lines", "sum")).alias("_blocks"))
-    some = arrow.map_batches(marked, lambda batch: chosen(batch, True), docs.schema)
-    some = some.join(by_doc.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_blocks")
+    by_doc = found.groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).agg(F.collect_list(F.struct("start", "lines")).alias("_blocks"))
+    some = arrow.map_batches(marked, told_apart, f"{inner},_print:bigint")
+    same = (some["doc_id"] == by_doc["_id"]) & (some["_print"] == by_doc["_print"])
+    some = some.join(by_doc.hint("shuffle_hash"), same, "left").select(*docs.columns, "_blocks")
     return arrow.map_batches(marked, untouched, kind).unionByName(arrow.map_batches(some, cut, kind))
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = BLOCK_WORDS, carry: list[str] | None = None) -> DataFrame:
-    """``doc_id, text, n_lines, n_removed`` for every row, without blocks aligned with an earlier document.
+    """``doc_id, text, n_lines, n_removed`` for every row, without the lines of runs that an earlier document has.
 
     Lines end at a line feed; what is left is joined by line feeds again, a document without a block
     stays as it is. A null text counts as one empty line. Rows without an id stay whole and are no
-    partner of others; rows that repeat an id are never aligned with each other. An empty table gives
+    partner of others; rows that repeat an id are never held against each other. An empty table gives
     no rows. Texts are taken whole. Columns named in ``carry`` come along.
     """
     docs = df.select(
@@ -359,7 +375,6 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = B
     )
     table = materialize(line_table(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")), "lines")
     found = materialize(shared_runs(table, least), "shared-runs")
-    gone = materialize(blocks(table, partners(found), least), "blocks")
-    left = materialize(left_runs(table, found, gone, least), "left-runs")
-    more = materialize(blocks(table, other_partners(table, found, left), least), "more-blocks")
+    gone = materialize(blocks(table, found.select(*PAIR).distinct(), least), "blocks")
+    more = materialize(anchored(table, materialize(left_runs(table, found, gone, least), "left-runs"), least), "more-blocks")
     return remove(docs, gone.unionByName(more))
