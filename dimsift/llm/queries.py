@@ -89,8 +89,8 @@ def op6_patience_line_dedup(spark, sf_dir):
 
 @query
 def op7_hash_prefix_forest(spark, sf_dir):
-    index, hashes = hash_forest.build(table(spark, sf_dir, "embeddings"))
-    return hash_forest.search(index, hashes, index.where(F.col("vec_id") % 50 == 0))
+    index = hash_forest.build(table(spark, sf_dir, "embeddings"))
+    return hash_forest.search(index, index.where(F.col("vec_id") % 50 == 0))
 
 
 @query
