@@ -3,7 +3,12 @@
 Every line with a word gets a few figures (symbols, repeats, case, length, ...). A chain over the lines
 of a document marks each as content or boilerplate; documents whose content lines hold too small a
 share of the words are dropped. The weights are fitted here by maximum likelihood, on a bounded sample
-of labelled documents whose lines all take the document's label.
+of labelled documents.
+
+Labels are of documents, marks of lines. So lines are weighed on their own first, each with the label of its
+document; a line that is clearly the other kind, such as a repeated one in a clean document or an ordinary
+sentence in a poor one, then takes that mark, all others that of their document. The chain is fitted on these
+marks, in which documents change from one kind to the other.
 """
 
 from __future__ import annotations
@@ -24,7 +29,8 @@ MAX_REPEAT_PERCENT = 50
 REPEAT_WINDOW = 3
 CONTENT_SHARE = 0.5
 SAMPLE_DOCS = 2000  # labelled documents the chain is fitted on
-SAMPLE_LINES = 64  # longer documents are not used for fitting
+SAMPLE_LINES = 64  # a longer document gives so many in a row to the fit, from a place that its length tells
+CLEARLY = 1.0  # log odds of a line that outweigh the label of its document
 STEPS, RATE, DECAY = 150, 0.1, 1e-3
 
 _symbol, _upper, _lower, _digit, _stop = (np.zeros(256, bool) for _ in range(5))
@@ -138,8 +144,8 @@ class Chain:
         return marks
 
 
-def fit_chain(documents: list[tuple[np.ndarray, int]]) -> Chain:
-    """Maximum likelihood by gradient steps; ``documents`` are (figures of the lines, mark of all lines)."""
+def fit_chain(documents: list[tuple[np.ndarray, np.ndarray | int]]) -> Chain:
+    """Maximum likelihood by gradient steps; ``documents`` are (figures of the lines, marks of the lines or one of all)."""
     n_features = len(FEATURES)
     documents = [(x, y) for x, y in documents if len(x)]
     if not documents:
@@ -148,10 +154,12 @@ def fit_chain(documents: list[tuple[np.ndarray, int]]) -> Chain:
     order = sorted(documents, key=lambda d: -len(d[0]))
     length = np.array([len(x) for x, _ in order])
     x = np.zeros((len(order), longest, n_features))
-    for i, (rows, _) in enumerate(order):
-        x[i, : len(rows)] = rows
-    y = np.array([m for _, m in order])
+    y = np.zeros((len(order), longest), int)
+    for i, (rows, marks) in enumerate(order):
+        x[i, : len(rows)], y[i, : len(rows)] = rows, marks
     real = np.arange(longest) < length[:, None]
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[:, :-1][real[:, 1:]], y[:, 1:][real[:, 1:]]), 1 / len(order))
     theta = np.zeros(n_features + 5)
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
@@ -167,35 +175,48 @@ def fit_chain(documents: list[tuple[np.ndarray, int]]) -> Chain:
             behind[:, t] = np.where(real[:, t + 1, None], onward, 0)
         whole = np.logaddexp.reduce(ahead[:, 0] + behind[:, 0], axis=1)
         chance = np.exp(ahead[..., 1] + behind[..., 1] - whole[:, None]) * real
-        gap = (y[:, None] * real - chance) / len(order)
+        gap = (y - chance) / len(order)
         pair = np.exp(
             ahead[:, :-1, :, None] + moves + (score + behind)[:, 1:, None, :] - whole[:, None, None, None]
         ) * real[:, 1:, None, None]
         expected = pair.sum(axis=(0, 1)) / len(order)
-        steps_of = np.maximum(0, length - 1)
-        seen = np.diag([steps_of[y == 0].sum(), steps_of[y == 1].sum()]) / len(order)
         slope = np.concatenate((np.einsum("nt,ntf->f", gap, x), [gap.sum()], (seen - expected).ravel())) - DECAY * theta
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         theta = theta + RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return Chain(theta[:n_features], float(theta[n_features]), theta[n_features + 1 :].reshape(2, 2))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Chain:
-    """A chain fitted on at most ``sample`` labelled documents of at most ``SAMPLE_LINES`` lines."""
+def line_marks(documents: list[tuple[np.ndarray, int]], clearly: float = CLEARLY) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Marks of lines for documents with one label each: the label's, but for lines that are clearly the other kind."""
+    alone = fit_chain([(line[None], label) for rows, label in documents for line in rows])
+    out = []
+    for rows, label in documents:
+        odds = rows @ alone.weights + alone.rest
+        out.append((rows, np.where(odds > clearly, 1, np.where(odds < -clearly, 0, label))))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, key: str = "doc_id", text: str = "text") -> Chain:
+    """A chain fitted on at most ``sample`` labelled documents, and at most ``SAMPLE_LINES`` lines of each.
+
+    Documents and labels without a key, and documents without a word, take no part; without any that do, all lines
+    are content.
+    """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = Lines(batch["text"])
         rows, marks = [], []
         for i, label in enumerate(batch["label"].to_pylist()):
             mine = lines.figures[lines.text == i]
-            if 0 < len(mine) <= SAMPLE_LINES:
-                rows.append(mine.ravel())
+            if len(mine):
+                start = int(lines.n_words[i]) % max(1, len(mine) - SAMPLE_LINES + 1)
+                rows.append(mine[start : start + SAMPLE_LINES].ravel())
                 marks.append(label)
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(marks, pa.int32())], ["x", "label"])
 
-    found = arrow.map_batches(with_labels(arrow.text_only(docs, "doc_id", "text"), labels, sample).select("text", "label"), step, "x array<double>, label int")
+    found = arrow.map_batches(with_labels(arrow.text_only(docs, key, text), labels, sample).select("text", "label"), step, "x array<double>, label int")
     rows = sorted((r["label"], r["x"]) for r in found.collect())
-    return fit_chain([(np.reshape(x, (-1, len(FEATURES))), min(1, label)) for label, x in rows])
+    return fit_chain(line_marks([(np.reshape(x, (-1, len(FEATURES))), min(1, label)) for label, x in rows]))
 
 
 def judge(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:

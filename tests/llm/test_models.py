@@ -84,6 +84,46 @@ def test_chain_learns_to_tell_lines():
     assert line_crf.fit_chain([]).content(np.zeros(2, int), np.zeros((2, len(line_crf.FEATURES)))).all()
 
 
+def test_lines_of_mixed_documents_are_told_apart():
+    """Labels are of documents; a fifth of the lines of each is of the other kind."""
+    draw = np.random.default_rng(7)
+    n, docs, truth = len(line_crf.FEATURES), [], []
+    for y in draw.integers(0, 2, 300).tolist():
+        kinds = np.full(draw.integers(5, 20), y)
+        start = draw.integers(0, len(kinds) - 1)
+        kinds[start : start + max(1, len(kinds) // 5)] = 1 - y
+        docs.append((draw.normal(loc=kinds[:, None] * 1.5, size=(len(kinds), n)), y))
+        truth.append(kinds)
+    marked = line_crf.line_marks(docs)
+    assert np.mean(np.concatenate([m == t for (_, m), t in zip(marked, truth)])) > 0.9
+    c = line_crf.fit_chain(marked)
+    found = [c.content(np.zeros(len(x), int), x) for x, _ in docs]
+    assert np.mean(np.concatenate([f == t for f, t in zip(found, truth)])) > 0.95
+    assert np.mean([0 < f.mean() < 1 for f in found]) > 0.9
+    # with one mark for all lines of a document, the chain learns never to change it
+    whole = line_crf.fit_chain(docs)
+    assert np.mean([0 < whole.content(np.zeros(len(x), int), x).mean() < 1 for x, _ in docs]) < 0.1
+
+
+def test_shares_of_given_documents(spark):
+    """Documents with lines of both kinds have shares between 0 and 1."""
+    shares = [r["content_share"] for r in QUERIES["op4_line_labelling"](spark, BIGGER).collect()]
+    assert sum(0 < s < 1 for s in shares) >= 20
+
+
+def test_long_documents_take_part_in_the_fit(spark):
+    """All labelled documents are long: a part of each is learned from."""
+    clean = "\n".join(f"This is sentence number {k} of a text with ordinary words." for k in range(200))
+    poor = "\n".join("$$$ BUY | NOW | FREE !!! $$$ ### ***" for _ in range(200))
+    rows = [(i, (clean if i % 2 else poor).replace("number", f"number {i}")) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id AS key", "text AS body", "1 AS doc_id", "2 AS label")
+    known = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    c = line_crf.fit(docs, known, key="key", text="body")
+    lines = line_crf.Lines(pa.array([clean, poor, f"{clean}\n{poor}"]))
+    marks = c.content(lines.text, lines.figures)
+    assert [round(float(marks[lines.text == i].mean()), 1) for i in range(3)] == [1.0, 0.0, 0.5]
+
+
 def held_out(spark):
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{BIGGER}/labels.parquet").collect()}
     return {i: q for i, q in truth.items() if zlib.crc32(str(i).encode()) % 5 == 0}
@@ -166,17 +206,16 @@ def brute_nearest(ids, vectors, queries, k=5):
     return out
 
 
-@pytest.mark.parametrize("part", [{}, {"share": 0.4, "least": 40}])
-def test_recall(spark, part):
-    """Given vectors point anywhere; the second case compares a part of the rows only."""
-    path = "/root/testdata/sf0.1"
+@pytest.mark.parametrize("path, part", [("/root/testdata/sf0.1", {}), ("/root/testdata/sf0.1", {"recall": 0.93}), ("/root/testdata/sf0.01", {})])
+def test_recall(spark, path, part):
+    """Given vectors point anywhere; the second case compares fewer of the rows."""
     rows = spark.read.parquet(f"{path}/embeddings.parquet").toArrow()
     ids, vectors = rows["vec_id"].to_numpy(), np.array(rows["embedding"].to_pylist(), np.float64)
     wanted = brute_nearest(ids, vectors, ids[ids % 50 == 0])
     found = {}
     if part:
-        index, hashes = hash_forest.build(spark.read.parquet(f"{path}/embeddings.parquet"))
-        answer = hash_forest.search(index, hashes, index.where("vec_id % 50 = 0"), **part)
+        index = hash_forest.build(spark.read.parquet(f"{path}/embeddings.parquet"))
+        answer = hash_forest.search(index, index.where("vec_id % 50 = 0"), **part)
     else:
         answer = QUERIES["op7_hash_prefix_forest"](spark, path)
     for r in answer.orderBy("query_id", "rank").collect():
@@ -194,8 +233,8 @@ def test_few_and_odd_vectors(spark):
     rows = [(50, [1.0, 0.0]), (100, [2.0, 0.0]), (7, [0.0, 1.0]), (3, [1.0, 1.0]), (2, [2.0, 2.0]), (1, None), (150, [0.0, 0.0]), (4, [nan, 1.0]),
             (5, [inf, 1.0]), (6, [None, 1.0]), (None, [1.0, 0.0]), (8, [1.0]), (7, [0.0, 1.0]), (200, None), (50, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS strings", "2 AS vec", "3 AS score")
-    index, hashes = hash_forest.build(df)
-    found = hash_forest.search(index, hashes, index.where("vec_id % 50 = 0"), k=5).orderBy("query_id", "rank").collect()
+    index = hash_forest.build(df)
+    found = hash_forest.search(index, index.where("vec_id % 50 = 0"), k=5).orderBy("query_id", "rank").collect()
     half = np.sqrt(0.5)
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in found] == [
         (50, 1, 100), (50, 2, 2), (50, 3, 3), (50, 4, 7), (100, 1, 50), (100, 2, 2), (100, 3, 3), (100, 4, 7)]
@@ -203,8 +242,8 @@ def test_few_and_odd_vectors(spark):
 
 
 def test_no_vectors(spark):
-    index, hashes = hash_forest.build(spark.createDataFrame([(50, None)], "vec_id long, embedding array<float>"))
-    assert hash_forest.search(index, hashes, index).collect() == []
+    index = hash_forest.build(spark.createDataFrame([(50, None)], "vec_id long, embedding array<float>"))
+    assert hash_forest.search(index, index).collect() == []
 
 
 def test_queries_in_parts_and_blocks(spark, monkeypatch):
@@ -212,14 +251,47 @@ def test_queries_in_parts_and_blocks(spark, monkeypatch):
     vectors = draw.normal(size=(300, 8))
     vectors[100:140] = vectors[0]  # copies
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
-    index, hashes = hash_forest.build(df)
-    whole = hash_forest.search(index, hashes, index.where("vec_id % 10 = 0")).collect()
+    index = hash_forest.build(df)
+    # so many candidates that every answer is exact
+    ask = lambda: hash_forest.search(index, index.where("vec_id % 10 = 0"), recall=2)
+    whole = ask().collect()
     monkeypatch.setattr(hash_forest, "QUERY_ROWS", 7)
     monkeypatch.setattr(hash_forest, "BLOCK_ROWS", 50)
-    assert sorted(hash_forest.search(index, hashes, index.where("vec_id % 10 = 0")).collect()) == sorted(whole)
+    assert sorted(ask().collect()) == sorted(whole)
     assert [r["vec_id"] for r in sorted(whole) if r["query_id"] == 0] == [100, 101, 102, 103, 104]
 
 
+def test_each_length_is_a_forest_of_its_own(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.normal(size=3 + i % 3).tolist()) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    index = hash_forest.build(df)
+    found = {}
+    for r in hash_forest.search(index, index.where("vec_id % 10 = 0"), recall=2).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    for dims in (3, 4, 5):
+        ids = np.array([i for i, v in rows if len(v) == dims])
+        vectors = np.array([v for _, v in rows if len(v) == dims])
+        for q, best in brute_nearest(ids, vectors, ids[ids % 10 == 0]).items():
+            assert found.pop(q) == [i for i, _ in best]
+    assert not found
+
+
+def test_candidates_follow_the_vectors():
+    """Vectors in groups need fewer candidates than ones that point anywhere, and neither needs all."""
+    draw = np.random.default_rng(6)
+    anywhere = draw.normal(size=(900, 32))
+    groups = draw.normal(size=(60, 32))[np.arange(900) % 60] + 0.05 * draw.normal(size=(900, 32))
+    hashes = hash_forest.Hashes(32)
+    turns, wanted = hashes.rotations(), []
+    for vectors in (groups, anywhere):
+        strings = hashes.strings(vectors, turns)
+        forest = hash_forest.Forest(np.arange(900), vectors, strings, hashes.bits, 5)
+        wanted.append(forest.wanted)
+        assert hash_forest.Forest(np.arange(900), vectors, strings, hashes.bits, 5, 2).wanted == 900
+    assert wanted[0] <= 90 and wanted[0] < wanted[1] < 900
+
+
 def test_strings_share_prefixes_when_near():
     hashes = hash_forest.Hashes(16, trees=20)
     draw = np.random.default_rng(5)
