@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize, shared_folder
+from ..storage import broadcast_if_small, materialize, shared_folder
 
 ARCHIVE_BYTES = 32 << 20  # an archive is closed when it has grown beyond this
 LEVEL = 3
@@ -272,9 +272,13 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("_size", F.octet_length("html"))
-    originals = rows.groupBy("sha1", "_size").agg(F.max("page_id").alias("_original"))
-    revisit = (F.col("_size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("_original"))
-    return rows.join(originals, ["sha1", "_size"]).select(
+    # digests only; a payload of one page needs no row
+    groups = rows.groupBy("sha1", "_size").agg(F.max("page_id").alias("_original"), F.count("*").alias("_pages"))
+    repeated = materialize(groups.where("_pages > 1").drop("_pages"), "originals").withColumn("_repeated", F.lit(True))
+    # where those are few, pages stay where they are; else Spark may split the pages of one payload over tasks
+    rows = rows.join(broadcast_if_small(repeated), ["sha1", "_size"], "left")
+    revisit = F.col("_repeated").isNotNull() & (F.col("_size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("_original"))
+    return rows.select(
         "page_id", "url", "html", "sha1", F.when(revisit, F.col("_original")).alias("refers_to"), revisit.alias("revisit")
     )
 

@@ -98,3 +98,14 @@ def test_bad_archives():
     for broken in (whole[:-3], whole[:40], whole[: len(frames[0])] + b"\x00" * 30):
         with pytest.raises(warc.BadArchive):
             list(warc.decode(broken, "x"))
+
+
+def test_equal_pages_stay_where_they_are(spark, tmp_path):
+    """A payload of very many pages is no group of one task."""
+    rows = [(i, f"u{i}", "<html>error</html>" if i % 2 else f"<html>{i}</html>") for i in range(4000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4).write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p"))
+    found = warc.with_originals(pages)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["page_id"]: (r["refers_to"], r["revisit"]) for r in found.select("page_id", "refers_to", "revisit").collect()}
+    assert got == {i: (3999, True) if i % 2 and i != 3999 else (None, False) for i in range(4000)}
