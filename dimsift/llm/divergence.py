@@ -10,7 +10,7 @@ the ``f`` of two absent terms, and only the counts above zero correct it:
   go into a frequent-pattern tree with their multiplicities. A node stands for all rows that begin alike up to
   it, so what it adds with each of its ancestors is computed once for all of them.
 
-Equal rows are counted before, and rows are dealt by ranges in their order, so those that begin alike meet in
+Equal rows are counted before, and rows are dealt by ranges of their beginnings, so those that begin alike meet in
 one task, and none is too large. A tree of many nodes is summed up and begun anew: sums stay exact, only less
 is shared.
 
@@ -34,6 +34,7 @@ MIN_DOCS = 3  # documents of its language that a kept term is in
 TOP_TERMS = 200
 SCALE_DIGITS = 3  # of base 1000: shares are parts of 10^9
 TREE_NODES = 400_000  # a tree is summed up when it has so many
+RANGE_ITEMS = 2  # of a row, that ranges are drawn by
 
 PARTIAL = "lang string, source string, term string, count long, docs long"
 
@@ -155,7 +156,9 @@ class PatternTree:
             for a, b in ((node, above), (above, node)):
                 p, q, p0, q0 = own[a], own[b], none[source[a]], none[source[b]]
                 joint = squares(p, q) - squares(p, q0) - squares(p0, q) + squares(p0, q0)
-                pair, value = grouped(source[a] * len(size) + source[b], joint * times[node])
+                pair, of = np.unique(source[a] * len(size) + source[b], return_inverse=True)
+                value = np.zeros(len(pair), np.int64)
+                np.add.at(value, of, joint * times[node])
                 yield pair // len(size), pair % len(size), value
             up[node] = parent[above]
 
@@ -231,15 +234,16 @@ def audit(df: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Data
         counted.where("term IS NULL").select("lang", "source")
         .join(kept.groupBy("lang", "source").agg(F.sum("count").alias("n")), ["lang", "source"], "left")
         .join(langs, "lang", "left").na.fill(0, ["n", "terms", "n_lang"])
-        .selectExpr("lang", "source", "terms", "n + terms AS size", "n_lang + terms AS lang_size"),
+        .selectExpr("lang", "source", "terms", "n + terms AS size", "n_lang + terms AS lang_size")
+        .withColumn("absent", F.expr(f"CASE WHEN terms > 0 THEN {share('0L', 'size')} END")),
         "source-sizes",
     )
-    sized = kept.join(broadcast_if_small(groups), ["lang", "source"])
+    sized = kept.join(broadcast_if_small(groups), ["lang", "source"]).withColumn("p", F.expr(share("count", "size")))
     return _pairs(sized, groups).unionByName(_terms(sized, top))
 
 
 def _terms(sized: DataFrame, top: int) -> DataFrame:
-    found = sized.selectExpr("lang", "source", "term AS item", f"{share('count', 'size')} AS p", f"{share('of_lang', 'lang_size')} AS q")
+    found = sized.select("lang", "source", F.col("term").alias("item"), "p", F.expr(share("of_lang", "lang_size")).alias("q"))
     found = found.where("p > q").withColumn("value", F.expr(apart("p", "q")))
     best = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     # Spark cuts each group to its best rows before the shuffle
@@ -249,24 +253,30 @@ def _terms(sized: DataFrame, top: int) -> DataFrame:
 
 def _pairs(sized: DataFrame, groups: DataFrame) -> DataFrame:
     """Every two sources of a language; as many rows as the answer has, and the counts of each source once per other."""
-    other = broadcast_if_small(groups.select("lang", F.col("source").alias("item"), F.col("size").alias("item_size")))
-    apart_none = apart(share("0L", "size"), share("0L", "item_size"))
-    absent = groups.join(other, "lang").where("source <> item").selectExpr(
-        "lang", "source", "item", f"CASE WHEN terms = 0 THEN 0L ELSE terms * {apart_none} END AS value"
+    other = broadcast_if_small(groups.select("lang", F.col("source").alias("item"), F.col("absent").alias("item_absent")))
+    none = apart("absent", "item_absent")
+    start = groups.join(other, "lang").where("source <> item").selectExpr(
+        "lang", "source", "item", f"CASE WHEN terms = 0 THEN 0L ELSE terms * {none} END AS value"
     )
     # how often a source has a count, instead of its terms
-    histogram = sized.groupBy("lang", "source", "size", "count").agg(F.count("*").alias("times"))
-    own, none, theirs = share("count", "size"), share("0L", "size"), share("0L", "item_size")
+    histogram = sized.groupBy("lang", "source", "absent", "p").agg(F.count("*").alias("times"))
     single = histogram.join(other, "lang").where("source <> item").selectExpr(
         "lang",
         f"""inline(array(
-            named_struct('source', source, 'item', item, 'value', times * ({apart(own, theirs)} - {apart(none, theirs)})),
-            named_struct('source', item, 'item', source, 'value', times * ({apart(theirs, own)} - {apart(theirs, none)}))))""",
+            named_struct('source', source, 'item', item, 'value', times * ({apart("p", "item_absent")} - {none})),
+            named_struct('source', item, 'item', source, 'value', times * ({apart("item_absent", "p")} - {apart("item_absent", "absent")}))))""",
     )
     in_order = F.sort_array(F.collect_list(F.struct("source", "count", "size"))).alias("row")
     patterns = sized.groupBy("lang", "term").agg(in_order).where(F.size("row") > 1).groupBy("lang", "row").agg(F.count("*").alias("times"))
-    joint = joint_corrections(materialize(patterns, "term-rows").repartitionByRange("lang", "row").sortWithinPartitions("lang", "row"))
-    parts = absent.unionByName(single).unionByName(joint)
+    # stored, since the ranges are drawn from it first; few bytes, but much work in each
+    patterns = materialize(patterns, "term-rows")
+    tasks = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rows that begin alike are neighbours; the hash parts those of one very frequent beginning
+    begin = F.transform(F.slice("row", 1, RANGE_ITEMS), lambda x: F.struct(x["source"], x["count"]))
+    patterns = patterns.withColumns({"_begin": begin, "_hash": F.xxhash64("row")})
+    patterns = patterns.repartitionByRange(tasks, "lang", "_begin", "_hash").sortWithinPartitions("lang", "_begin").drop("_begin", "_hash")
+    joint = joint_corrections(patterns)
+    parts = start.unionByName(single).unionByName(joint)
     pairs = parts.groupBy("lang", "source", "item").agg(summed(F.col("value")).alias("value"))
     farthest = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     return pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(farthest).alias("rank"))
