@@ -59,17 +59,17 @@ def special_pattern(file: TokenizerFile) -> re.Pattern | None:
 
 
 def with_digest(df: DataFrame, file: TokenizerFile) -> DataFrame:
-    """``doc_id, n_bytes, digest`` of ``doc_id, text``."""
+    """``doc_id, _hash, n_bytes, digest`` of ``doc_id, text, _hash``."""
     pattern = special_pattern(file)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in batch["text"].to_pylist()]
         digests = pa.array([content_digest(t, pattern) for t in texts], pa.binary())
         size = pa.array([len(t.encode()) for t in texts], pa.int64())
-        return pa.RecordBatch.from_arrays([batch["doc_id"], size, digests], ["doc_id", "n_bytes", "digest"])
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["_hash"], size, digests], ["doc_id", "_hash", "n_bytes", "digest"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return arrow.map_batches(df, step, f"doc_id {kind}, n_bytes long, digest binary")
+    return arrow.map_batches(df, step, f"doc_id {kind}, _hash long, n_bytes long, digest binary")
 
 
 def count_tokens(
@@ -77,22 +77,24 @@ def count_tokens(
 ) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row; counts new to ``cache`` are appended to it.
 
-    One row stands for all with its digest: the texts meet the list of those rows in one shuffle,
-    which is the only one that moves text. A key may repeat, hence the digest is compared as well.
+    One row stands for all with its digest: the texts meet the list of those rows in one shuffle, which is
+    the only one that moves text. They meet on the key and a hash of the raw text, so rows that share a key
+    do not meet all digests of that key; the digest is compared as well.
     """
     spark = df.sparkSession
-    rows = arrow.text_only(df, key, text)
+    rows = arrow.text_only(df, key, text).withColumn("_hash", F.xxhash64("text"))
     # stored: read for the misses and again for the answer, a few bytes per row
     digests = materialize(with_digest(rows, file), "digests")
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == file.version)
     misses = (
         digests.groupBy("digest")
-        .agg(F.min("doc_id").alias("_first"))
+        .agg(F.min(F.struct("doc_id", "_hash")).alias("_first"))
         .join(known.select("digest"), "digest", "left_anti")
     )
-    # a null key is a key too: min() skips it unless all are null
-    to_find = misses.select(F.col("_first").alias("doc_id"), F.col("digest").alias("_wanted")).hint("shuffle_hash")
-    found = rows.join(to_find, rows["doc_id"].eqNullSafe(to_find["doc_id"])).select(rows["doc_id"], "text", "_wanted")
+    to_find = misses.select(F.col("_first.doc_id").alias("_id"), F.col("_first._hash").alias("_text"), F.col("digest").alias("_wanted"))
+    # a null key is a key too
+    same = rows["doc_id"].eqNullSafe(to_find["_id"]) & (rows["_hash"] == to_find["_text"])
+    found = rows.join(to_find.hint("shuffle_hash"), same)
     pattern = special_pattern(file)
 
     def encode_wanted(batch: pa.RecordBatch) -> pa.RecordBatch | None:

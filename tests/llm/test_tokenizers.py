@@ -125,6 +125,14 @@ def test_cache_is_used_and_grows(spark, frame, word_file, byte_file):
     assert token_cache.count_tokens(frame([]), word_file, cache).collect() == []
 
 
+def test_many_texts_of_one_id_or_none(spark, frame, word_file, libraries):
+    """Joined rows grow with the rows, however many share a key."""
+    rows = [(7 if i % 2 else None, f"text number {i % 2000} here") for i in range(6000)]
+    counted = token_cache.count_tokens(frame(rows), word_file, token_cache.new_cache(spark)).collect()
+    expected = [(i, len(t), len(library_ids(libraries["word_bpe_49k.json"], t)), False) for i, t in rows]
+    assert sorted(map(tuple, counted), key=str) == sorted(expected, key=str)
+
+
 def test_digest_keeps_special_strings_apart(word_file, libraries):
     pattern = token_cache.special_pattern(word_file)
     digest = lambda t: token_cache.content_digest(t, pattern)
