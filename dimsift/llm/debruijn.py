@@ -6,7 +6,7 @@ document is covered if its source lies in a smaller document.
 
 Not every window is shuffled. A window names its minimizer, the part of ``MINIMIZER`` words with the
 least hash; a window can only repeat if its minimizer does, and neighbouring windows mostly share
-theirs. Minimizers found in two or more documents are put into a sieve of fixed size, and only windows
+theirs. Minimizers found in two or more documents are put into a sieve, sized by their number, and only windows
 that pass it become edges.
 
 An edge that comes very often is not shuffled either: such edges are few, their sources are
@@ -16,7 +16,8 @@ Covered edges of a document whose sources follow one another are one path: it en
 branches, or where the source does. Paths are kept as spans with the coordinates of their source and a
 check sum of their edges, which the words must give again when the span is removed.
 
-Edges are 64-bit hashes of words.
+Edges are known by two hashes of their words, of 64 and 32 bits; only where both agree does an edge have a
+source, so words are not removed for a chance meeting of one.
 """
 
 from __future__ import annotations
@@ -82,30 +83,40 @@ class HotEdges:
     """Sources of the edges of very many documents, sorted by edge; few enough to be sent to every task."""
 
     def __init__(self, table: pa.Table | None = None):
-        columns = [np.zeros(0, np.int64)] * 3 if table is None else [table[n].to_numpy().astype(np.int64) for n in ("edge", "source", "place")]
+        names = ("edge", "twin", "source", "place")
+        columns = [np.zeros(0, np.int64)] * 4 if table is None else [table[n].to_numpy().astype(np.int64) for n in names]
         order = np.argsort(columns[0])
-        self.edge, self.source, self.place = (c[order] for c in columns)
+        self.edge, self.twin, self.source, self.place = (c[order] for c in columns)
 
-    def at(self, hashed: np.ndarray) -> np.ndarray:
+    def at(self, hashed: np.ndarray, twins: np.ndarray) -> np.ndarray:
         """Where each edge stands in the table, or -1."""
         if not len(self.edge):
             return np.full(len(hashed), -1)
         found = np.minimum(np.searchsorted(self.edge, hashed), len(self.edge) - 1)
-        return np.where(self.edge[found] == hashed, found, -1)
+        return np.where((self.edge[found] == hashed) & (self.twin[found] == twins), found, -1)
 
 
-def edges(docs: DataFrame, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> DataFrame:
-    """``edge, doc_id, place`` of the windows that ``chosen`` tells by their hashes and minimizers."""
+def twins_of(words: arrow.Words, size: int) -> np.ndarray:
+    """A second hash of each window, of 32 bits: the hashes of its words put together with another multiplier."""
+    at = np.flatnonzero(words.text[size - 1 :] == words.text[: max(0, len(words.text) - size + 1)]) if len(words.text) >= size else np.zeros(0, np.int64)
+    return arrow.sequence_hashes(words.hashes(), at, at + size, seed=1).astype(np.uint32).view(np.int32)
+
+
+def edges(docs: DataFrame, chosen: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> DataFrame:
+    """``edge, twin, doc_id, place`` of the windows that ``chosen`` tells by their two hashes and minimizers."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashed, least, text, place = window_edges(arrow.Words(batch["text"]), size)
-        some = np.flatnonzero(chosen(hashed, least))
+        words = arrow.Words(batch["text"])
+        hashed, least, text, place = window_edges(words, size)
+        twins = twins_of(words, size)
+        some = np.flatnonzero(chosen(hashed, twins, least))
         owner = batch["doc_id"].to_numpy()[text[some]]
         return pa.RecordBatch.from_arrays(
-            [pa.array(arrow.signed(hashed[some])), pa.array(owner), pa.array(place[some].astype(np.int32))], ["edge", "doc_id", "place"]
+            [pa.array(arrow.signed(hashed[some])), pa.array(twins[some]), pa.array(owner), pa.array(place[some].astype(np.int32))],
+            ["edge", "twin", "doc_id", "place"],
         )
 
-    return arrow.map_batches(docs, step, "edge long, doc_id long, place int")
+    return arrow.map_batches(docs, step, "edge long, twin int, doc_id long, place int")
 
 
 def hot_edges(docs: DataFrame, found: DataFrame, size: int) -> HotEdges:
@@ -118,12 +129,12 @@ def hot_edges(docs: DataFrame, found: DataFrame, size: int) -> HotEdges:
     if not len(keys):
         return HotEdges()
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(keys))
-    rows = edges(docs, lambda _, least: np.isin(least, sent.value), size)
-    counted = rows.groupBy("edge").agg(
+    rows = edges(docs, lambda _hashed, _twins, least: np.isin(least, sent.value), size)
+    counted = rows.groupBy("edge", "twin").agg(
         F.min(F.struct("doc_id", "place")).alias("_source"), F.max("doc_id").alias("_high"), F.count("*").alias("_often")
     )
     hot = counted.where((F.col("_often") > often) & (F.col("_source.doc_id") < F.col("_high")))
-    return HotEdges(hot.select("edge", F.col("_source.doc_id").alias("source"), F.col("_source.place").alias("place")).toArrow())
+    return HotEdges(hot.select("edge", "twin", F.col("_source.doc_id").alias("source"), F.col("_source.place").alias("place")).toArrow())
 
 
 def covered_in_order(rows: DataFrame) -> DataFrame:
@@ -137,20 +148,20 @@ def covered_in_order(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            edge, doc, place = (batch[n].to_numpy() for n in ("edge", "doc_id", "place"))
+            edge, twin, doc, place = (batch[n].to_numpy() for n in ("edge", "twin", "doc_id", "place"))
             first = np.ones(len(edge), bool)
-            first[1:] = edge[1:] != edge[:-1]
+            first[1:] = (edge[1:] != edge[:-1]) | (twin[1:] != twin[:-1])
             group = np.cumsum(first) - 1
             source, source_place = doc[first], place[first]
-            if last is not None and last[0] == edge[0]:
+            if last is not None and last[:2] == (edge[0], twin[0]):
                 source, source_place = source.copy(), source_place.copy()
-                source[0], source_place[0] = last[1:]
-            last = edge[-1], source[-1], source_place[-1]
+                source[0], source_place[0] = last[2:]
+            last = edge[-1], twin[-1], source[-1], source_place[-1]
             some = doc > source[group]
             columns = (doc[some], place[some], source[group][some], source_place[group][some], edge[some] & CHECK)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in COVERED.split(", ")])
 
-    return rows.repartition("edge").sortWithinPartitions("edge", "doc_id", "place").mapInArrow(run, COVERED)
+    return rows.repartition("edge").sortWithinPartitions("edge", "twin", "doc_id", "place").mapInArrow(run, COVERED)
 
 
 def paths(covered: DataFrame) -> DataFrame:
@@ -185,7 +196,7 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW) -> tuple[DataFrame, HotE
     found = materialize(minimizers(docs, size), "minimizers")
     sieve, hot = context.broadcast(Sieve(found)), hot_edges(docs, found, size)
     sent = context.broadcast(hot)
-    rows = edges(docs, lambda hashed, least: sieve.value.passes(least) & (sent.value.at(arrow.signed(hashed)) < 0), size)
+    rows = edges(docs, lambda hashed, twins, least: sieve.value.passes(least) & (sent.value.at(arrow.signed(hashed), twins) < 0), size)
     return materialize(paths(covered_in_order(rows)), "spans"), hot
 
 
@@ -215,7 +226,7 @@ def remove(docs: DataFrame, spans: DataFrame, hot: HotEdges, size: int = WINDOW,
             sums = np.concatenate(([0], np.cumsum(hashed & CHECK)))
             edge_at = np.searchsorted(at, np.arange(len(words.starts) + 1))
             cover = np.zeros(len(words.starts) + 1, np.int64)
-            hit = sent.value.at(hashed)
+            hit = sent.value.at(hashed, twins_of(words, size) if len(sent.value.edge) else hashed)
             some = np.flatnonzero(hit >= 0)
             owner = batch["doc_id"].take(pa.array(words.text[at[some]])).fill_null(NO_ID).to_numpy()
             some = some[owner > sent.value.source[hit[some]]]

@@ -120,6 +120,31 @@ def test_unsqueezed_texts_stay(spark, frame, made):
         assert all((r["doc_id"], r["text"]) in given for r in found if not r["n_removed"])
 
 
+def test_windows_that_meet_in_one_hash_only(spark):
+    """Edge 5 stands for two windows; each has the smallest document of its own as source, and a lone one has none."""
+    rows = [(5, 1, 30, 0), (5, 1, 10, 4), (5, 2, 20, 7), (5, 2, 40, 9), (5, 3, 50, 1), (6, 1, 5, 2)]
+    df = spark.createDataFrame(rows, "edge long, twin int, doc_id long, place int")
+    found = sorted((r["doc_id"], r["place"], r["source"], r["source_place"]) for r in debruijn.covered_in_order(df).collect())
+    assert found == [(30, 0, 10, 4), (40, 9, 20, 7)]
+    hot = debruijn.HotEdges(pa.table({"edge": [5, 9], "twin": [1, 2], "source": [10, 11], "place": [0, 1]}))
+    assert hot.at(np.array([5, 5, 9, 7]), np.array([1, 2, 2, 1])).tolist() == [0, -1, 1, -1]
+
+
+def test_a_sieve_grows_with_its_keys(spark, monkeypatch):
+    from dimsift.llm import sieve
+
+    monkeypatch.setattr(sieve, "BITS", 1 << 8)
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
+    held = sieve.Sieve(keys)
+    assert len(held.bits) * 64 == 1 << 16
+    inside = np.array([r[0] for r in keys.collect()], np.int64)
+    others = np.array([r[0] for r in spark.range(5000, 10_000).select(F.xxhash64("id")).collect()], np.int64)
+    assert held.passes(inside).all() and held.passes(others).mean() < 0.12
+    monkeypatch.setattr(sieve, "MOST_BITS", 1 << 10)
+    assert len(sieve.Sieve(keys).bits) * 64 == 1 << 10 and sieve.Sieve(keys).passes(inside).all()
+    assert not sieve.Sieve(keys.where("false")).passes(inside).any()
+
+
 def brute_lines(rows, least=8):
     """Every stretch of lines against those of the earlier documents; by ids, and rows that repeat an id are left out of the fixture."""
     lines = {i: [(k, tuple(words(x))) for k, x in enumerate((t or "").split("\n")) if words(x)] for i, t in rows if i is not None}
