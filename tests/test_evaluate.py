@@ -175,6 +175,18 @@ def test_a_run_of_known_depth_moves_once(stored_run):
         assert sorted(known.collect()) == sorted(unknown.collect())
 
 
+def test_many_judgments_are_not_sent_to_the_driver(spark, stored_run, tmp_path):
+    run, few = stored_run
+    ids = spark.range(500_000).select(F.md5(F.col("id").cast("string")).alias("query_id"), F.sha1(F.col("id").cast("string")).alias("doc_id"))
+    ids.withColumn("relevance", F.lit(1)).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert "Inner, BuildRight" in plan_of(ev.evaluate(run, few, ["AP"], ["alpha"], [{"alpha": "a0"}], 20))
+    assert "Inner, BuildRight" not in plan_of(ev.evaluate(run, many, ["AP"], ["alpha"], [{"alpha": "a0"}], 20))
+    both = many.unionByName(few)
+    joined = ev.evaluate(run, both, ["AP"], ["alpha"], [{"alpha": "a0"}], 20).where("query_id LIKE 'q%'")
+    assert sorted(joined.collect()) == sorted(ev.evaluate(run, few, ["AP"], ["alpha"], [{"alpha": "a0"}], 20).collect())
+
+
 def test_settings_are_read_without_a_constant_key(stored_run):
     run, qrels = stored_run
     read = ev.evaluate(run, qrels, ["RR@10"], ["alpha"])
