@@ -35,13 +35,13 @@ class RunningTopK:
     ids only where equal scores compete for the last places.
     """
 
-    def __init__(self, matrix: np.ndarray, k: int, floor: np.ndarray | None = None):
+    def __init__(self, matrix: np.ndarray, k: int, floor: np.ndarray | None = None, scores: int | None = None):
         self.matrix, self.k = matrix.astype(np.float64, copy=False), k
         queries = len(matrix)
         self.floor = np.full(queries, -np.inf, dtype=np.float32) if floor is None else floor.copy()
         self.scores = np.full((queries, k), -np.inf, np.float32)
         self.rows = np.full((queries, k), -1, np.int32)
-        self.step = max(1, SCORE_BLOCK // max(1, queries))
+        self.step = max(1, (scores or SCORE_BLOCK) // max(1, queries))
         self.most_pending = max(1, queries * k // PENDING_SHARE)
         room = self.most_pending + self.step * queries
         self.found_query, self.found_row = np.empty(room, np.int32), np.empty(room, np.int32)
@@ -59,11 +59,11 @@ class RunningTopK:
         for start in range(0, len(vectors), self.step):
             block = vectors[start:start + self.step].astype(np.float64)
             scores = (self.matrix @ block.T + 0.0).astype(np.float32)
-            floor = self.floor
-            if len(block) > self.k:
+            reached = scores >= self.floor[:, None]
+            if len(block) > self.k and np.count_nonzero(reached) > self.k * len(scores):
                 # no document below the k-th best of this block alone can be among the best k
-                floor = np.maximum(floor, kth_best(scores, self.k))
-            query, doc = np.nonzero(scores >= floor[:, None])
+                reached = scores >= np.maximum(self.floor, kth_best(scores, self.k))[:, None]
+            query, doc = np.nonzero(reached)
             at = slice(self.pending, self.pending + len(doc))
             self.found_query[at], self.found_score[at] = query, scores[query, doc]
             self.found_row[at] = doc + (first + start)
@@ -118,15 +118,22 @@ class RunningTopK:
         self.rows[kept] = (np.cumsum(used, dtype=np.int32) - 1)[self.rows[kept]]
         self.needed_ids = len(self.ids)
 
-    def result(self, keys: pa.Table) -> Iterator[pa.RecordBatch]:
-        """``keys, doc_id, score`` of the kept rows, in batches."""
+    def result(self, keys: pa.Table, ranked: bool = False) -> Iterator[pa.RecordBatch]:
+        """``keys, doc_id, score`` of the kept rows, in batches; ``ranked`` puts them in order and numbers them from 0."""
         self._merge()
         step = max(1, OUT_ROWS // self.k)
         for a in range(0, len(self.matrix), step):
             query, place = np.nonzero(self.rows[a:a + step] >= 0)
             if not len(query):
                 continue
-            out = keys.take(pa.array(a + query))
-            out = out.append_column("doc_id", self.ids.take(pa.array(self.rows[a + query, place])))
-            out = out.append_column("score", pa.array(self.scores[a + query, place].astype(np.float64)))
+            ids = self.ids.take(pa.array(self.rows[a + query, place]))
+            score = pa.array(self.scores[a + query, place].astype(np.float64))
+            if ranked:
+                found = pa.table({"query": query, "score": score, "id": ids})
+                order = pc.sort_indices(found, sort_keys=[("query", "ascending"), ("score", "descending"), ("id", "ascending")])
+                ids, score = ids.take(order), score.take(order)
+            out = keys.take(pa.array(a + query)).append_column("doc_id", ids).append_column("score", score)
+            if ranked:
+                rank = np.arange(len(query)) - np.searchsorted(query, query)
+                out = out.append_column("rank", pa.array(rank.astype(np.int32)))
             yield from out.combine_chunks().to_batches()

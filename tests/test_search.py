@@ -74,6 +74,17 @@ def test_more_queries_than_documents(spark, k):
     assert rows(search(d, q, k, limits=BLOCKS)) == brute_force(docs, queries, k) == rows(search(d, q, k))
 
 
+def test_more_queries_than_documents_move_no_found_row(spark, monkeypatch):
+    """Each task has all of a query's best, in order, so nothing found is dealt out to be merged."""
+    d, q, docs, queries = random_tables(spark, n_docs=60, n_queries=90)
+    monkeypatch.setattr(search_module, "FEW_SCORES", 1000)
+    found = search(d, q, 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.index("MapInArrow") < plan.index("Exchange")
+    monkeypatch.setattr(search_module, "HELD_SCORES", 30_000)  # few queries and documents at a time
+    assert rows(search(d, q, 7)) == rows(found) == brute_force(docs, queries, 7)
+
+
 @pytest.mark.parametrize("limits", [Limits(), BLOCKS])
 def test_repeated_keys_are_an_error(spark, limits):
     d, q, _, _ = random_tables(spark)
