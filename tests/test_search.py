@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -81,7 +83,7 @@ def test_more_queries_than_documents_move_no_found_row(spark, monkeypatch):
     found = search(d, q, 7)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.index("MapInArrow") < plan.index("Exchange")
-    monkeypatch.setattr(search_module, "HELD_SCORES", 30_000)  # few queries and documents at a time
+    monkeypatch.setattr(search_module, "SCORE_BLOCK", 30_000)  # few queries and documents at a time
     assert rows(search(d, q, 7)) == rows(found) == brute_force(docs, queries, 7)
 
 
@@ -154,6 +156,19 @@ def test_a_kept_row_takes_few_bytes():
     assert scans(160) == 21 and scans(Limits().state_row_bytes) == 4
 
 
+def test_a_task_holds_little_besides_its_kept_rows():
+    """Scores and merges take the same memory however many queries and documents there are."""
+    rng = np.random.default_rng(3)
+    for queries, docs in ((200, 10_000), (4000, 1000)):
+        best = RunningTopK(rng.random((queries, 4)), 100)
+        ids, vectors = pa.array([f"d{i}" for i in range(docs)]), rng.random((docs, 4)).astype(np.float32)
+        tracemalloc.start()
+        best.add(ids, vectors)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 40_000_000
+
+
 def test_salted_merge_equals_plain(spark):
     partial = spark.createDataFrame(
         [(f"q{i % 5}", f"d{i}", float(i * 37 % 101)) for i in range(2000)],

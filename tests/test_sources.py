@@ -1,3 +1,5 @@
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +197,17 @@ def test_hash_model(spark):
     assert len(other) == 16
 
 
+def test_hash_model_remembers_few_tokens():
+    predict = hash_model(16)()
+    tokens = ["".join(chr(97 + i // 26**p % 26) for p in range(5)) for i in range(250_000)]
+    tracemalloc.start()
+    found = predict([" ".join(tokens[i:i + 1000]) for i in range(0, len(tokens), 1000)])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 16_000_000
+    assert (found == predict([" ".join(tokens[i:i + 1000]) for i in range(0, len(tokens), 1000)])).all()
+
+
 def test_native_hash_vectors(spark):
     texts = spark.createDataFrame(
         [("a", "Fox fox 123 FOX den"), ("b", ""), ("c", None), ("d", "\u212a\u0130 x" * 50)], "doc_id string, text string"
