@@ -71,7 +71,7 @@ class WordCoder:
         letters, numbers = plain_classes()
         # U+0130 lowers to two characters; U+001C to U+001F, U+0085 and U+00A0 are white space for some only
         odd = f"[^\\x00-\\x1b\\x20-\\x84\\x86-\\x9f\\xa1-\\u012f\\u0131-\\u{PLAIN_END - 1:04x}]"
-        self.unusual = re.compile("|".join([odd, *map(re.escape, self.special)]) if known else "")
+        self.unusual = re.compile(odd if known else "")
         self.words = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
         self.cache = Lately(CACHE_PARTS)
 
@@ -79,14 +79,16 @@ class WordCoder:
         """Ids end to end, each as four bytes, lowest first."""
         if not text:
             return b""
-        if self.unusual.search(text):
+        if self.unusual.search(text) or any(s in text for s in self.special):
             return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         parts = text.lower().split()
         found = list(map(self.cache.new.get, parts))
         if None in found:
-            fresh = self.encode_new(self.cache.unknown({w for w, ids in zip(parts, found) if ids is None}))
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            fresh = self.encode_new(self.cache.unknown({parts[i] for i in missing}))
             known = self.cache.new
-            found = [(fresh[w] if w in fresh else known[w]) if ids is None else ids for w, ids in zip(parts, found)]
+            for i in missing:
+                found[i] = fresh[parts[i]] if parts[i] in fresh else known[parts[i]]
             self.cache.add(fresh, CACHED_CHARS)
         return b"".join(found)
 

@@ -50,6 +50,15 @@ def test_word_coder(word_file, libraries, text):
     assert word_bpe.word_coder(word_file).encode(text) == word_bpe.pack(library_ids(libraries["word_bpe_49k.json"], text))
 
 
+def test_special_strings_are_looked_for_apart(word_file, libraries):
+    """The search for unusual characters has one class to test, not a choice at every character."""
+    coder = word_bpe.WordCoder(word_file)
+    assert "|" not in coder.unusual.pattern and coder.special
+    for s in coder.special:
+        for text in (s, f"plain words {s}", f"{s} plain", f"a{s}b, again {s}{s}", s[:-1], s.upper()):
+            assert coder.encode(text) == word_bpe.pack(library_ids(libraries["word_bpe_49k.json"], text))
+
+
 def test_every_plain_character(word_file, libraries):
     for i in range(word_bpe.PLAIN_END + 64):
         text = f"a{chr(i)}B {chr(i)}{chr(i)} x"
