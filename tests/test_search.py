@@ -146,6 +146,27 @@ def test_running_state_keeps_smaller_ids_of_equal_scores(monkeypatch, k):
     assert sorted((r["query_id"], r["doc_id"], r["score"]) for r in out) == sorted(expected)
 
 
+def test_few_products_are_taken_in_double_precision(monkeypatch):
+    """Nearly equal documents keep the order of their exact scores, long vectors and short ones; few pairs are multiplied twice."""
+    rng = np.random.default_rng(4)
+    docs = (rng.normal(size=(1, 32)) + rng.normal(size=(6000, 32)) * 1e-5).astype(np.float32)
+    queries = rng.normal(size=(20, 32)).astype(np.float32)
+    pairs, real = [], np.einsum
+    monkeypatch.setattr(topk.np, "einsum", lambda how, a, b: pairs.append(len(a)) or real(how, a, b))
+    for size in (1, 1e-18, 1e12, 1e17):
+        best = RunningTopK(queries, 5)
+        for start in range(0, 6000, 500):
+            best.add(pa.array(range(start, start + 500)), docs[start:start + 500] * np.float32(size))
+        out = pa.Table.from_batches(best.result(pa.table({"q": range(20)}), ranked=True))
+        exact = (queries.astype(np.float64) @ (docs * np.float32(size)).astype(np.float64).T).astype(np.float32)
+        expected = [(q, d) for q in range(20) for d in np.lexsort((np.arange(6000), -exact[q]))[:5]]
+        assert list(zip(out["q"].to_pylist(), out["doc_id"].to_pylist())) == expected
+    spread, pairs[:] = rng.normal(size=(6000, 32)).astype(np.float32), []
+    best = RunningTopK(queries, 5)
+    best.add(pa.array(range(6000)), spread)
+    assert 0 < sum(pairs) < 20 * 6000 / 100
+
+
 def test_a_kept_row_takes_few_bytes():
     """Arrays of the running top k and what waits for a merge, for more rows than fit the fixed part."""
     best = RunningTopK(np.zeros((4000, 2)), 1000)
