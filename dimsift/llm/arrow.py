@@ -25,21 +25,26 @@ _is_gap[list(WORD_GAPS)] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """``step`` over every Arrow batch, cut so that one call sees about ``CHUNK_BYTES`` of text."""
+def map_batches(
+    df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, chunk_bytes: int | None = None
+) -> DataFrame:
+    """``step`` over every Arrow batch, cut so that one call sees about ``chunk_bytes`` of text (``CHUNK_BYTES`` if not given)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, chunk_bytes):
                 out = step(part)
                 if out is not None and out.num_rows:
                     yield out
+        # a worker lives on after its task, and so would what Arrow keeps for the next batch
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
-def text_chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def text_chunks(batch: pa.RecordBatch, chunk_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
     """Slices of a batch by the bytes of its string columns; an empty batch gives none."""
+    chunk_bytes = CHUNK_BYTES if chunk_bytes is None else chunk_bytes
     size = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
         if any(is_kind(column.type) for is_kind in TEXT_KINDS):
@@ -48,7 +53,7 @@ def text_chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     total = np.cumsum(size)
     while at < batch.num_rows:
         done = int(total[at - 1]) if at else 0
-        end = max(at + 1, int(np.searchsorted(total, done + CHUNK_BYTES, side="right")))
+        end = max(at + 1, int(np.searchsorted(total, done + chunk_bytes, side="right")))
         yield batch.slice(at, end - at)
         at = end
 

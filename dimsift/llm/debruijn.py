@@ -39,6 +39,7 @@ HOT_SHARE = 1000  # what comes more often than documents / HOT_SHARE is hot; so
 HOT_LEAST = 1000
 CHECK = np.int64(0xFFFFFFFF)
 NO_ID = -(1 << 63)  # no id is smaller, so nothing covers it
+CHUNK_BYTES = 1 << 18  # of text that a step works on: its arrays take about a hundred bytes for each
 
 COVERED = "doc_id long, place int, source long, source_place int, sum long"
 SPANS = "doc_id long, start int, edges int, source long, source_start int, sum long"
@@ -74,7 +75,7 @@ def minimizers(docs: DataFrame, size: int) -> DataFrame:
             [pa.array(arrow.signed(key[first])), pa.array(owner[first]), pa.array(windows.astype(np.int32))], ["key", "doc_id", "windows"]
         )
 
-    rows = arrow.map_batches(docs, step, "key long, doc_id long, windows int")
+    rows = arrow.map_batches(docs, step, "key long, doc_id long, windows int", CHUNK_BYTES)
     found = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("windows").alias("windows"))
     return found.where("low < high").select("key", "windows")
 
@@ -116,7 +117,7 @@ def edges(docs: DataFrame, chosen: Callable[[np.ndarray, np.ndarray, np.ndarray]
             ["edge", "twin", "doc_id", "place"],
         )
 
-    return arrow.map_batches(docs, step, "edge long, twin int, doc_id long, place int")
+    return arrow.map_batches(docs, step, "edge long, twin int, doc_id long, place int", CHUNK_BYTES)
 
 
 def hot_edges(docs: DataFrame, found: DataFrame, size: int) -> HotEdges:
@@ -254,8 +255,8 @@ def remove(docs: DataFrame, spans: DataFrame, hot: HotEdges, size: int = WINDOW,
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "edges", "sum")).alias("_spans"))
     some = arrow.map_batches(marked, lambda batch: chosen(batch, True), docs.schema)
     some = some.join(by_doc.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_spans")
-    cut = arrow.map_batches(some, lambda batch: answer(batch.drop_columns(["_spans"]), batch["_spans"].to_pylist()), kind)
-    return arrow.map_batches(marked, lambda batch: answer(chosen(batch, False), None), kind).unionByName(cut)
+    cut = arrow.map_batches(some, lambda batch: answer(batch.drop_columns(["_spans"]), batch["_spans"].to_pylist()), kind, CHUNK_BYTES)
+    return arrow.map_batches(marked, lambda batch: answer(chosen(batch, False), None), kind, CHUNK_BYTES).unionByName(cut)
 
 
 def dedup(

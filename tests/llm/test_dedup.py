@@ -307,6 +307,17 @@ def test_batches_are_cut_by_bytes(spark, monkeypatch):
     assert list(arrow.text_chunks(batch.slice(0, 0))) == []
 
 
+def test_steps_of_substring_dedup_hold_little(spark):
+    """A step sees a quarter of what others do, and the same words go however texts are cut into steps."""
+    words = "a b c d e f g h i j k l m n o p".split()
+    rows = [(i, " ".join(words[i % 3 :] + [f"own{i}"] * 20)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    batch = pa.record_batch({"text": ["x" * 100_000] * 20})
+    assert [p.num_rows for p in arrow.text_chunks(batch, debruijn.CHUNK_BYTES)] == [2] * 10
+    found = {r["doc_id"]: (r["n_removed"], r["text"]) for r in debruijn.dedup(docs).collect()}
+    assert len(found) == 60 and found[0][0] == 0 and all(found[i][0] >= 13 for i in range(1, 60))
+
+
 def removed_lines(frame, rows):
     return {r["doc_id"]: (r["n_removed"], r["text"]) for r in patience.dedup(frame(rows)).collect()}
 
