@@ -15,14 +15,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind
 from ..storage import JOINED_BYTES, broadcast_if_small
 from .numbering import places_in_group, running_sums
+from .search import rows_of
 
 # What is measured unless told otherwise.
 DEFAULT_MEASURES = ("nDCG@10", "AP", "R@1000", "RR@10")
 
 # A query with more run rows than this is numbered in parts, by range partitions; to the same numbers.
 ONE_TASK_ROWS = 2_000_000
+# Relevant documents of a query that go next to each list of what it found; with more, the lists are taken apart.
+LISTED_JUDGMENTS = 1000
 
 
 @dataclass(frozen=True)
@@ -110,6 +114,25 @@ def _hits(run: DataFrame, relevant: DataFrame, keys: list[str], levels: list[int
     return hits.withColumns({n: F.sum(c.cast("int")).over(in_order) for n, c in found.items()})
 
 
+def _hits_of_lists(lists: DataFrame, relevant: DataFrame, keys: list[str], levels: list[int], deepest: int | None) -> DataFrame:
+    """``_hits`` of a run that is stored as a list per query: a list meets the query's judgments, and only hits become rows."""
+    judged = relevant.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "relevance"))).alias("_judged"))
+    met = lists.join(broadcast_if_small(judged, JOINED_BYTES), "query_id")
+    ids, places = F.col("found.doc_id"), F.col("found.place")
+    both = F.array_intersect(ids, F.map_keys("_judged"))
+
+    def hit(ids: Column, places: Column, one: Column) -> Column:
+        place = F.element_at(places, F.array_position(ids, one).cast("int"))
+        return F.struct(place.alias("place"), F.element_at(F.col("_judged"), one).alias("relevance"))
+
+    rows = bind(ids, lambda i: bind(places, lambda p: F.transform(both, lambda one: hit(i, p, one))))
+    hits = met.select(*keys, F.inline(rows))
+    hits = hits if deepest is None else hits.where(F.col("place") <= deepest)
+    in_order = Window.partitionBy(*keys).orderBy("place")
+    found = {f"found_{level}": F.sum((F.col("relevance") >= level).cast("int")).over(in_order) for level in levels}
+    return hits.withColumns(found)
+
+
 def _score(m: Measure) -> Column:
     """The measure's sum over the relevant documents found."""
     counted = (F.col("relevance") >= m.relevance) & _within("place", m.cutoff)
@@ -160,24 +183,29 @@ def evaluate(
     every setting reports every judged query. ``depth`` is the largest number of rows per query,
     if the caller knows it: the run is then dealt out once, by setting and query, for all steps. If a
     measure without cutoff needs it, it is counted here. ``run`` should be a stored table, whose size Spark
-    knows.
+    knows. It may have one row per setting and query, with a list ``found`` of ``doc_id, score, place``, as
+    ``search_lists`` leaves it: then no document found is dealt out.
     """
     parsed = [parse_measure(m) for m in measures]
     by, keys = list(by), [*by, "query_id"]
     deepest = _deepest(parsed)
     if by and settings is None:
         settings = _settings_of(run, by)
-    if deepest is None and depth is None:
-        depth = _largest_group(run, keys)
-    if depth is not None and depth <= ONE_TASK_ROWS:
-        # rows of one document, too, are together then
-        run = run.repartition(*keys)
-    run = run.groupBy(*keys, "doc_id").agg(F.max("score").alias("score"))
     qrels = qrels.groupBy("query_id", "doc_id").agg(F.max("relevance").alias("relevance"))
     levels = sorted({m.relevance for m in parsed if m.kind == "AP"})
-    # few judgments leave the ranked rows where they are; many, which come with many queries, are joined in parts
-    relevant = broadcast_if_small(qrels.where("relevance > 0"), JOINED_BYTES)
-    hits = _hits(run, relevant, keys, levels, deepest, depth)
+    relevant = qrels.where("relevance > 0")
+    if "found" in run.columns and _largest_group(relevant, ["query_id"]) <= LISTED_JUDGMENTS:
+        hits = _hits_of_lists(run, relevant, keys, levels, deepest)
+    else:
+        run = rows_of(run)
+        if deepest is None and depth is None:
+            depth = _largest_group(run, keys)
+        if depth is not None and depth <= ONE_TASK_ROWS:
+            # rows of one document, too, are together then
+            run = run.repartition(*keys)
+        run = run.groupBy(*keys, "doc_id").agg(F.max("score").alias("score"))
+        # few judgments leave the ranked rows where they are; many, which come with many queries, are joined in parts
+        hits = _hits(run, broadcast_if_small(relevant, JOINED_BYTES), keys, levels, deepest, depth)
     scores = hits.groupBy(*keys).agg(*[_score(m).alias(m.column) for m in parsed])
 
     population = _ideal(qrels, parsed)

@@ -13,8 +13,11 @@ MERGE_ROWS = 250_000  # kept rows that are merged at a time
 PENDING_SHARE = 4  # found rows that wait for a merge: one for so many kept ones
 SPARE_IDS = 1_000_000  # ids of documents no longer kept that may be held
 OUT_ROWS = 100_000
-EXACT_CELLS = 500_000  # components multiplied at once where scores are taken in double precision
+EXACT_CELLS = 100_000  # components multiplied at once where scores are taken in double precision
 ROUGH_REACH = 1e15  # longest vectors whose products are first taken in single precision
+LOOK_SHARE = 16  # of so many documents one is looked at for a first floor
+LEAST_LOOK = 100  # documents; where fewer would be looked at, none are
+FOUND_SHARE = 2  # rows that such a floor should let through, for one that is kept
 
 
 def check_dimensions(documents: np.ndarray, queries: np.ndarray) -> None:
@@ -38,11 +41,118 @@ def product_error(dims: int, queries: np.ndarray, longest: float) -> np.ndarray:
     return rounded + dims * 2.5e-38 * (1 + queries + longest)
 
 
-def best_first(query: np.ndarray, score: np.ndarray) -> np.ndarray:
+def best_first(query: np.ndarray, score: np.ndarray, kind: str | None = None) -> np.ndarray:
     """The order by query, then from the largest score, as one sort of whole numbers."""
     bits = score.view(np.uint32)
     falling = np.where(bits >> 31, bits, ~bits & np.uint32(0x7FFFFFFF))
-    return np.argsort(query.astype(np.uint64) << np.uint64(32) | falling)
+    return np.argsort(query.astype(np.uint64) << np.uint64(32) | falling, kind=kind)
+
+
+def true_places(flags: np.ndarray) -> np.ndarray:
+    """``np.flatnonzero`` of few among many, eight at a time."""
+    flat = flags.ravel()
+    whole = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64))
+    at, bit = np.nonzero(flat[:whole].reshape(-1, 8)[words])
+    return np.concatenate((words[at] * 8 + bit, whole + np.flatnonzero(flat[whole:])))
+
+
+def exact_scores(matrix: np.ndarray, vectors: np.ndarray, query: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Scores of pairs, summed in double precision, each on its own, and kept in single precision."""
+    score = np.empty(len(row), np.float32)
+    step = max(1, EXACT_CELLS // max(1, vectors.shape[1]))
+    for a in range(0, len(row), step):
+        some = slice(a, a + step)
+        score[some] = np.einsum("ij,ij->i", matrix[query[some]], vectors[row[some]].astype(np.float64, copy=False))
+    score += np.float32(0)  # a rounded -0.0 becomes 0.0
+    return score
+
+
+def best_rows(matrix: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` of ``vectors`` for every query: how many there are, then their rows and scores, best first.
+
+    ``vectors`` are in the order of their ids, so of equal scores the first rows stay. A look at some of them guesses
+    a floor that about twice ``k`` reach. Where ``k`` did reach it, nothing below it has a place; the few queries
+    whose guess was too high are searched again without one.
+    """
+    check_dimensions(vectors, matrix)
+    matrix, k = matrix.astype(np.float64, copy=False), min(k, len(vectors))
+    look = len(vectors) // LOOK_SHARE
+    place = FOUND_SHARE * k * look // len(vectors) + 4
+    if look < max(LEAST_LOOK, 2 * place):
+        return _best_without_guess(matrix, vectors, k)
+    counts, rows, scores = _best_above_guess(matrix, vectors, k, look, place)
+    missed = np.flatnonzero(counts < k)
+    if not len(missed):
+        return counts, rows, scores
+    _, again, better = _best_without_guess(matrix[missed], vectors, k)
+    found = np.repeat(counts == k, counts)
+    every_row, every_score = np.empty((len(matrix), k), np.int32), np.empty((len(matrix), k), np.float32)
+    reached = counts == k
+    every_row[reached], every_score[reached] = rows[found].reshape(-1, k), scores[found].reshape(-1, k)
+    every_row[missed], every_score[missed] = again.reshape(-1, k), better.reshape(-1, k)
+    return np.full(len(matrix), k), every_row.ravel(), every_score.ravel()
+
+
+def _best_without_guess(matrix: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    best = RunningTopK(matrix, k)
+    best.add(pa.array(np.arange(len(vectors), dtype=np.int32)), vectors)
+    found = pa.Table.from_batches(
+        best.result(pa.table({"query": np.arange(len(matrix), dtype=np.int32)}), ranked=True),
+        pa.schema([("query", pa.int32()), ("doc_id", pa.int32()), ("score", pa.float64()), ("rank", pa.int32())]),
+    )
+    counts = np.bincount(found["query"].to_numpy(), minlength=len(matrix))
+    return counts, found["doc_id"].to_numpy(), found["score"].to_numpy().astype(np.float32)
+
+
+def _best_above_guess(
+    matrix: np.ndarray, vectors: np.ndarray, k: int, look: int, place: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` at most of those that reach a guessed floor; all of them where there are fewer."""
+    lengths = np.linalg.norm(matrix, axis=1)
+    step = max(1, SCORE_BLOCK // len(matrix))
+    longest = max(float(np.linalg.norm(vectors[a:a + step].astype(np.float64), axis=1).max()) for a in range(0, len(vectors), step))
+    kind = np.float32 if max(longest, float(lengths.max())) <= ROUGH_REACH else np.float64
+    near, error = matrix.astype(kind), product_error(vectors.shape[1], lengths, longest)
+    some = np.sort(np.random.default_rng(0).choice(len(vectors), look, replace=False))
+    sample = vectors[some].astype(kind).T
+    few = max(1, SCORE_BLOCK // look)
+    guess = np.concatenate([kth_best(near[a:a + few] @ sample, place) for a in range(0, len(matrix), few)]).astype(np.float32)
+    floor = guess.copy()
+    most = 2 * FOUND_SHARE * len(matrix) * k
+    products, flags = np.empty(step * len(matrix), kind), np.empty(step * len(matrix), bool)
+    kept = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.float32)
+    new: list[tuple[np.ndarray, np.ndarray]] = []
+    pending = 0
+
+    def merged():
+        query, row = (np.concatenate(parts) for parts in zip(*new))
+        score = exact_scores(matrix, vectors, query, row)
+        stay = score >= guess[query]
+        # rows come in order, so a stable sort leaves those of equal scores in theirs
+        query, row, score = (np.concatenate((old, part[stay])) for old, part in zip(kept, (query, row, score)))
+        order = best_first(query, score, "stable")
+        query, row, score = query[order], row[order], score[order]
+        first = np.searchsorted(query, np.arange(len(matrix) + 1))
+        at = np.arange(len(query)) - first[query]
+        full = np.flatnonzero(np.diff(first) >= k)
+        floor[full] = score[first[full] + k - 1]
+        return query[at < k], row[at < k], score[at < k]
+
+    for a in range(0, len(vectors), step):
+        block = vectors[a:a + step].astype(kind, copy=False)
+        rough = products[: len(near) * len(block)].reshape(-1, len(block))
+        np.matmul(near, block.T, out=rough)
+        reached = np.greater_equal(rough, (floor - error).astype(kind)[:, None], out=flags[: rough.size].reshape(rough.shape))
+        query, row = np.divmod(true_places(reached).astype(np.int32), np.int32(len(block)))
+        new.append((query, row + np.int32(a)))
+        pending += len(row)
+        if pending > most:
+            kept, new, pending = merged(), [], 0
+    if new:
+        kept = merged()
+    query, row, score = kept
+    return np.bincount(query, minlength=len(matrix)), row, score
 
 
 class RunningTopK:
@@ -107,12 +217,7 @@ class RunningTopK:
             floor = np.maximum(floor, kth_best(rough, self.k) - 2 * error)
             reached = rough >= floor.astype(rough.dtype)[:, None]
         query, doc = np.divmod(np.flatnonzero(reached).astype(np.int32), np.int32(len(block)))
-        score = np.empty(len(doc), np.float32)
-        step = max(1, EXACT_CELLS // max(1, block.shape[1]))
-        for a in range(0, len(doc), step):
-            some = slice(a, a + step)
-            score[some] = np.einsum("ij,ij->i", self.matrix[query[some]], block[doc[some]])
-        score += np.float32(0)  # a rounded -0.0 becomes 0.0
+        score = exact_scores(self.matrix, block, query, doc)
         stay = score >= self.floor[query]
         return query[stay], doc[stay], score[stay]
 

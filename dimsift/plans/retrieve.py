@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.evaluate import DEFAULT_MEASURES, evaluate, summary, summary_table, with_retained
 from ..operators.importance import Filter
-from ..operators.search import DEFAULT_K, search, search_distinct
+from ..operators.search import DEFAULT_K, run_of, search, search_lists
 from ..operators.select import DEFAULT_ALPHAS, Selector, TopAlpha, alpha_label, apply_weights, labels, retained, selector
 from ..schemas import RESULT_COLUMNS, SWEEP_RUN_COLUMNS
 from ..sources import results as result_files
@@ -28,6 +28,7 @@ class Sweep:
     fractions: DataFrame | None = None
     metrics: DataFrame | None = None
     depth: int | None = None
+    lists: DataFrame | None = None  # the same runs, as they are stored
 
     def run(self, alpha: float | str) -> DataFrame:
         """The run of one setting; ``KeyError`` for a setting the sweep does not have."""
@@ -35,7 +36,8 @@ class Sweep:
 
     def evaluate(self, qrels: DataFrame, measures: Sequence[str] = DEFAULT_MEASURES) -> Sweep:
         settings = [{"alpha": a} for a in self.alphas]
-        measured = evaluate(self.run_table, qrels, measures, ["alpha"], settings, self.depth)
+        stored = self.run_table if self.lists is None else self.lists
+        measured = evaluate(stored, qrels, measures, ["alpha"], settings, self.depth)
         return replace(self, metrics=measured)
 
     def per_query(self, alpha: float | str) -> DataFrame:
@@ -123,9 +125,10 @@ def masked_search(
     chosen = selector(chosen)
     weighted, known = _stored_weights(chosen, importance, alphas)
     masked = apply_weights(weighted).select("query_id", "alpha", "vec")
-    found = search_distinct(vectors, masked, k, run, ["query_id", "alpha"]).select(*SWEEP_RUN_COLUMNS)
+    lists = search_lists(vectors, masked, k, run, ["query_id", "alpha"])
+    found = run_of(lists, run).select(*SWEEP_RUN_COLUMNS)
     fractions = None if isinstance(chosen, TopAlpha) else retained(weighted)
-    return Sweep(found, tuple(known), fractions, depth=k)
+    return Sweep(found, tuple(known), fractions, depth=k, lists=lists)
 
 
 def sweep(
@@ -151,11 +154,12 @@ class Comparison:
     settings: tuple[dict, ...]
     fractions: DataFrame
     depth: int
+    lists: DataFrame  # the same runs, as they are stored
 
     def results(self, qrels: DataFrame, measures: Sequence[str] = DEFAULT_MEASURES) -> DataFrame:
         """Per-query results of every setting, with the share of dimensions kept where it varies."""
         by = ["filter", "selector", "alpha"]
-        measured = evaluate(self.run_table, qrels, measures, by, self.settings, self.depth)
+        measured = evaluate(self.lists, qrels, measures, by, self.settings, self.depth)
         return measured.join(self.fractions, [*by, "query_id"], "left")
 
 
@@ -181,7 +185,7 @@ def compare(
     # one row per query and setting: stored, because both the search and the shares read it
     weighted = materialize(reduce(DataFrame.unionByName, parts), "weights")
     by = ["filter", "selector", "alpha"]
-    found = search_distinct(vectors, apply_weights(weighted), k, model, [*by, "query_id"])
-    tagged = found.withColumn("run", F.concat_ws("__", F.lit(model), "filter", "selector"))
+    lists = search_lists(vectors, apply_weights(weighted).select(*by, "query_id", "vec"), k, model, [*by, "query_id"])
+    tagged = run_of(lists, model).withColumn("run", F.concat_ws("__", F.lit(model), "filter", "selector"))
     fractions = retained(weighted.where(~F.col("same")), ("filter", "selector"))
-    return Comparison(tagged, tuple(settings), fractions, k)
+    return Comparison(tagged, tuple(settings), fractions, k, lists)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dimsift.operators import evaluate as ev
 from dimsift.operators.numbering import running_sums
-from dimsift.operators.search import search
+from dimsift.operators.search import run_of, search, search_lists
 
 from .conftest import approx
 
@@ -231,3 +231,28 @@ def test_running_sums(spark, parts):
             expected.append((*r, place, total))
     assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
     assert running_sums(df.where("false"), ["k"], order, {"place": F.lit(1)}).collect() == []
+
+
+@pytest.mark.parametrize("listed", [1000, 2])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_lists_measure_as_rows_do(spark, monkeypatch, listed, repeated):
+    """Ties, queries without judgments and without hits, documents given twice, and more judgments than go next to a list."""
+    monkeypatch.setattr(ev, "LISTED_JUDGMENTS", listed)
+    vec = lambda i: [float(i % 3), float(i % 2), float(i % 5 == 0)]
+    docs = [(f"d{i}", vec(i)) for i in range(40)] + [("d3", vec(4))] * repeated
+    d = spark.createDataFrame(docs, "doc_id string, vec array<float>")
+    q = spark.createDataFrame(
+        [(f"q{i % 25}", f"a{i // 25}", [i % 3 + 1.0, i % 2 + 0.5, i / 50]) for i in range(50)], "query_id string, alpha string, vec array<float>"
+    )
+    judged = [(f"q{i % 27}", f"d{i * 7 % 60}", i % 4) for i in range(200) if i % 27 != 4]
+    qrels = spark.createDataFrame(judged, "query_id string, doc_id string, relevance int")
+    lists = search_lists(d, q, 12, keys=["query_id", "alpha"])
+    assert ("found" in lists.columns) is not repeated
+    measures = ["nDCG@10", "AP", "AP(rel=2)", "R@5", "RR@10", "RR"]
+    found = ev.evaluate(lists, qrels, measures, ["alpha"], None, 12)
+    if not repeated and listed == 1000:
+        assert "map_keys" in found._jdf.queryExecution().optimizedPlan().toString()
+    plain = ev.evaluate(run_of(lists, "r").drop("rank"), qrels, measures, ["alpha"], None, 12)
+    value = lambda rows: {(r["alpha"], r["query_id"], r["measure"]): r["value"] for r in rows.collect()}
+    assert value(found) == approx(value(plain), 1e-12)
+    assert len(value(found)) == 2 * 26 * 6 and any(0 < v < 1 for v in value(found).values())

@@ -360,3 +360,63 @@ def test_equal_vectors_and_empty_sides(spark, micro):
     assert search_distinct(micro.docs.where("false"), micro.queries, 3).count() == 0
     with pytest.raises(ValueError, match="different"):
         search_distinct(micro.docs, micro.queries.unionByName(micro.queries.withColumn("vec", F.reverse("vec"))), 3)
+
+
+@pytest.mark.parametrize("kind", ["spread", "tied", "skewed", "far"])
+def test_guessed_floor_changes_no_row(kind, monkeypatch):
+    """Many ties, floors guessed too high, vectors beyond single precision, and merges while rows are found."""
+    rng = np.random.default_rng(5)
+    docs = rng.integers(-2, 3, (4000, 8)).astype(np.float32) if kind == "tied" else rng.normal(size=(4000, 8)).astype(np.float32)
+    queries = rng.integers(-1, 2, (70, 8)).astype(np.float32) if kind == "tied" else rng.normal(size=(70, 8)).astype(np.float32)
+    docs *= np.float32(1e16 if kind == "far" else 1)
+    if kind == "skewed":
+        # the guess is made of these documents alone, of which there are too few
+        some = np.sort(np.random.default_rng(0).choice(4000, 4000 // topk.LOOK_SHARE, replace=False))
+        docs[some[:20]] = queries.mean(axis=0) * 100
+        docs[np.setdiff1d(np.arange(4000), some)] = 0
+    again, real = [], topk._best_without_guess
+    monkeypatch.setattr(topk, "_best_without_guess", lambda m, *a: again.append(len(m)) or real(m, *a))
+    monkeypatch.setattr(topk, "SCORE_BLOCK", 7000)
+    counts, rows, scores = topk.best_rows(queries, docs, 30)
+    exact = (queries.astype(np.float64) @ docs.astype(np.float64).T).astype(np.float32)
+    expected = np.array([np.lexsort((np.arange(4000), -exact[q]))[:30] for q in range(70)])
+    assert (counts == 30).all()
+    assert (rows.reshape(70, 30) == expected).all()
+    assert (scores.reshape(70, 30) == np.take_along_axis(exact, expected, 1)).all()
+    assert sum(again) == 0 or kind != "spread"
+    assert sum(again) > 0 or kind != "skewed"
+
+
+def test_a_guessed_floor_meets_few_pairs_twice(monkeypatch):
+    """About twice what is kept, where a running top k takes several times as many."""
+    rng = np.random.default_rng(6)
+    docs, queries = rng.normal(size=(20_000, 16)).astype(np.float32), rng.normal(size=(50, 16)).astype(np.float32)
+    pairs, real = [], np.einsum
+    monkeypatch.setattr(topk.np, "einsum", lambda how, a, b: pairs.append(len(a)) or real(how, a, b))
+    topk.best_rows(queries, docs, 100)
+    assert sum(pairs) < 4 * 50 * 100
+
+
+def test_lists_keep_places_of_an_evaluation():
+    counts, scores = np.array([3, 0, 4]), np.array([2, 2, 1, 1, 0.5, 0.5, 0.5], np.float32)
+    assert search_module._evaluated_places(counts, scores).tolist() == [2, 1, 3, 1, 4, 3, 2]
+    assert search_module._evaluated_places(np.array([0]), scores[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("limits", [0, 16 * 1024 * 1024])
+def test_vectors_meet_by_a_hash_first(spark, monkeypatch, limits):
+    """Zeros of either sign are one vector, and every query row keeps what it found."""
+    monkeypatch.setattr(search_module, "JOINED_BYTES", limits)
+    vecs = [[0.0, 1.0], [-0.0, 1.0], [1.0, 0.0], [1.0, -0.0]]
+    q = spark.createDataFrame([(f"q{i}", vecs[i % 4]) for i in range(12)], "query_id string, vec array<float>")
+    d = spark.createDataFrame([("a", [1.0, 0.5]), ("b", [0.5, 1.0])], "doc_id string, vec array<float>")
+    plans, real = {}, search_module.materialize
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(search_module, "materialize", noted)
+    found = search_distinct(d, q, 1)
+    assert sorted((r["query_id"], r["doc_id"]) for r in found.collect()) == sorted((f"q{i}", "b" if i % 4 < 2 else "a") for i in range(12))
+    assert "_hash" in plans["members"]
