@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dimsift.operators import evaluate as ev
 from dimsift.operators.numbering import running_sums
-from dimsift.operators.search import run_of, search, search_lists
+from dimsift.operators.search import NUMBER, run_of, search, search_lists, search_vectors, with_members
 
 from .conftest import approx
 
@@ -256,3 +256,27 @@ def test_lists_measure_as_rows_do(spark, monkeypatch, listed, repeated):
     value = lambda rows: {(r["alpha"], r["query_id"], r["measure"]): r["value"] for r in rows.collect()}
     assert value(found) == approx(value(plain), 1e-12)
     assert len(value(found)) == 2 * 26 * 6 and any(0 < v < 1 for v in value(found).values())
+
+
+@pytest.mark.parametrize("listed", [1000, 2])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_settings_with_one_vector_are_measured_once(spark, monkeypatch, listed, repeated):
+    """As every setting on its own is, in settings and in queries that share a vector."""
+    monkeypatch.setattr(ev, "LISTED_JUDGMENTS", listed)
+    docs = [(f"d{i}", [float(i % 3), float(i % 2), float(i % 5 == 0)]) for i in range(40)]
+    d = spark.createDataFrame(docs + docs[:1] * repeated, "doc_id string, vec array<float>")
+    vecs = [(f"q{i}", a, [i % 7 + 1.0, 0.5 if a == "c" else 1.0, 0.25]) for i in range(20) for a in "abc"]
+    q = spark.createDataFrame(vecs, "query_id string, alpha string, vec array<float>")
+    qrels = spark.createDataFrame([(f"q{i % 23}", f"d{i * 7 % 60}", i % 4) for i in range(300)], "query_id string, doc_id string, relevance int")
+    found, members = search_vectors(d, q.repartition(8), 12, keys=["query_id", "alpha"])
+    assert members.count() == 60 and members.select(NUMBER).distinct().count() == 14
+    measured, real = [], ev._score
+    monkeypatch.setattr(ev, "_score", lambda m: measured.append(m) or real(m))
+    measures = ["nDCG@10", "AP", "AP(rel=2)", "R@5", "RR"]
+    once = ev.evaluate(found, qrels, measures, ["alpha"], None, 12, members)
+    hits = once._jdf.queryExecution().optimizedPlan().toString()
+    assert len(measured) == 5 and f"Aggregate [{NUMBER}" in hits
+    each = ev.evaluate(with_members(found, members), qrels, measures, ["alpha"], None, 12)
+    value = lambda rows: {(r["alpha"], r["query_id"], r["measure"]): r["value"] for r in rows.collect()}
+    assert value(once) == approx(value(each), 1e-12)
+    assert len(value(once)) == 3 * 23 * 5 and any(0 < v < 1 for v in value(once).values())

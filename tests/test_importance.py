@@ -211,6 +211,25 @@ def test_comparison_equals_single_sweeps(micro, run):
             assert shares == ({0.75} if tag == "rdime" else {None})
 
 
+def test_a_comparison_asks_a_filter_once(spark, micro, run):
+    prf, asked = imp.PseudoRelevance(run, micro.docs, 2), spark.sparkContext.accumulator(0)
+
+    def looked_at(batches):
+        for batch in batches:
+            asked.add(batch.num_rows)
+            yield batch
+
+    class Watched:
+        tag = "watched"
+
+        def __call__(self, queries):
+            frame = prf(queries)
+            return frame.mapInArrow(looked_at, frame.schema)
+
+    found = retrieve.compare(micro.queries, micro.docs, [Watched()], k=3)
+    assert found.results(micro.qrels).count() == 11 * 4 and asked.value == 1
+
+
 def test_feedback_without_a_vector_is_an_error(spark, micro):
     run = spark.createDataFrame(
         [("q", "1", 0, 2.0), ("q", "gone", 1, 1.0)], "query_id string, doc_id string, rank int, score double"

@@ -1,5 +1,9 @@
+import hashlib
+import re
+import sys
 import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +212,21 @@ def test_hash_model_remembers_few_tokens():
     assert (found == predict([" ".join(tokens[i:i + 1000]) for i in range(0, len(tokens), 1000)])).all()
 
 
+def test_hash_model_calls_no_function_per_token():
+    predict, calls = hash_model(16)(), []
+    text = "The fox, the \u212aelvin fox \ud800 f\u00fcr x_y " * 500
+    first = predict([text])
+    sys.setprofile(lambda frame, event, _: calls.append(event) if event == "call" else None)
+    again = predict([text] * 2)
+    sys.setprofile(None)
+    assert len(calls) < 50
+    counts = np.zeros(16)
+    for token in re.findall("[a-z]+", text.lower()):
+        counts[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % 16] += 1
+    expected = np.floor(counts / np.sqrt((counts * counts).sum()) * 2.0**20 + 0.5) / 2.0**20
+    assert (again == first).all() and (first[0] == expected.astype(np.float32)).all()
+
+
 def test_native_hash_vectors(spark):
     texts = spark.createDataFrame(
         [("a", "Fox fox 123 FOX den"), ("b", ""), ("c", None), ("d", "\u212a\u0130 x" * 50)], "doc_id string, text string"
