@@ -397,6 +397,31 @@ def test_a_guessed_floor_meets_few_pairs_twice(monkeypatch):
     assert sum(pairs) < 4 * 50 * 100
 
 
+def test_only_what_may_be_kept_is_multiplied_twice(monkeypatch):
+    """Rough products tell the best apart as far as they go, and a guess that is too high is made again, not given up."""
+    rng = np.random.default_rng(7)
+    docs, queries = rng.normal(size=(20_000, 16)).astype(np.float32), rng.normal(size=(300, 16)).astype(np.float32)
+    pairs, again, einsum, without = [], [], np.einsum, topk._best_without_guess
+    monkeypatch.setattr(topk.np, "einsum", lambda how, a, b: pairs.append(len(a)) or einsum(how, a, b))
+    monkeypatch.setattr(topk, "_best_without_guess", lambda m, *a: again.append(len(m)) or without(m, *a))
+    monkeypatch.setattr(topk, "FOUND_SHARE", 1)  # a guess that about half of the queries miss
+    counts, rows, _ = topk.best_rows(queries, docs, 100)
+    exact = (queries.astype(np.float64) @ docs.astype(np.float64).T).astype(np.float32)
+    assert (counts == 100).all()
+    assert (rows.reshape(300, 100) == np.argsort(-exact, axis=1, kind="stable")[:, :100]).all()
+    assert not again and sum(pairs) < 2 * 300 * 100
+
+
+def test_documents_are_one_part_as_far_as_single_precision_reaches(spark, monkeypatch):
+    """What is found in one part is a list, and no row of it is stored or merged."""
+    d, q, docs, queries = random_tables(spark, n_docs=30, n_queries=90)
+    dims = len(d.first()["vec"])
+    sent, real = [], search_module._from_dealt
+    monkeypatch.setattr(search_module, "_from_dealt", lambda dealt, documents, *a: sent.append(len(documents)) or real(dealt, documents, *a))
+    assert rows(search(d, q, 7, limits=Limits(broadcast_bytes=30 * dims * 4))) == brute_force(docs, queries, 7)
+    assert sent == [30]
+
+
 def test_lists_keep_places_of_an_evaluation():
     counts, scores = np.array([3, 0, 4]), np.array([2, 2, 1, 1, 0.5, 0.5, 0.5], np.float32)
     assert search_module._evaluated_places(counts, scores).tolist() == [2, 1, 3, 1, 4, 3, 2]
