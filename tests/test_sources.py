@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from dimsift.functions import tokens
 from dimsift.operators import numbering
 from dimsift.operators import vectors as vec
 from dimsift.operators.encode import encode_text, hash_model, hash_vectors
@@ -227,6 +228,37 @@ def test_hash_model_calls_no_function_per_token():
     assert (again == first).all() and (first[0] == expected.astype(np.float32)).all()
 
 
+@pytest.mark.parametrize("known", [1, 8, 100_000])
+@pytest.mark.parametrize("chunk", [1, 1_000_000])
+def test_tokens_as_arrays(monkeypatch, known, chunk):
+    """Every token is counted once, whatever is remembered: long ones, those of equal first letters, and texts without any."""
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", chunk)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    cut = [letters[:n] for n in range(1, 26)] + [letters[:8] + c for c in letters] + [letters * 3]
+    rng = np.random.default_rng(3)
+    texts = [None, "", " 1 ", "\u0130\u03a3 \ud800x"] + [" ".join(rng.choice(cut, 40)) for _ in range(20)] + ["a" * 70, "", None]
+    for salt in (0, 3):
+        found = tokens.TokenDimensions(16, salt, known)
+        for _ in range(2):
+            counts = found.counts(texts)
+            for row, text in enumerate(texts):
+                expected = np.zeros(16)
+                for token in re.findall("[a-z]+", (text or "").lower()):
+                    expected[int(hashlib.md5(token.encode()).hexdigest()[8 * salt:8 * salt + 8], 16) % 16] += 1
+                assert (counts[row] == expected).all()
+
+
+def test_tokens_cost_no_step_each():
+    """Tokens that are remembered are not hashed again, and no dictionary is asked for them."""
+    found, words = tokens.TokenDimensions(16, 0, 1000), " ".join(a + b for a in "abcdefghij" for b in "klmnopqrst")
+    found.counts([words])
+    events = []
+    sys.setprofile(lambda frame, event, _: events.append(event))
+    found.counts([words * 100])
+    sys.setprofile(None)
+    assert len(events) < 200
+
+
 def test_native_hash_vectors(spark):
     texts = spark.createDataFrame(
         [("a", "Fox fox 123 FOX den"), ("b", ""), ("c", None), ("d", "\u212a\u0130 x" * 50)], "doc_id string, text string"
