@@ -3,6 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from dimsift.functions import arrays, text
+from dimsift.operators import select
 
 from .conftest import approx
 
@@ -63,3 +64,31 @@ def test_text_sources_are_disjoint():
     assert len(set(every)) == len(every)
     assert not set(every) & set(targets)
     assert math.isfinite(len(targets)) and len(targets) < len(sources)
+
+
+ODD = [
+    ([1.0, -2.0, 0.5, 0.0], [0.5, 0.5, 0.25, -1.0]),
+    ([1.0, 2.0], [float("nan"), 1.0]),
+    ([3.0, None, 1.0, 2.0], [None, 1.0, float("inf"), None]),
+    ([1.0, 2.0, 3.0], [1.0]),
+    ([], []),
+    (None, [1.0, 0.0, -0.0]),
+    ([1e30, 1.0], [1e30, -0.0]),
+    ([1.0], None),
+]
+
+
+def test_rows_at_once_are_as_row_by_row(spark):
+    """Nulls, several lengths and equal values, for products and for the masks of all fractions."""
+    df = spark.createDataFrame([(str(i), *r) for i, r in enumerate(ODD * 3)], "query_id string, vec array<double>, weights array<double>").repartition(2)
+    expected = df.select("query_id", arrays.times("vec", "weights").cast("array<float>").alias("vec"))
+    assert sorted(map(str, select.apply_weights(df).collect())) == sorted(map(str, expected.collect()))
+    alphas, frame = (0.1, 0.375, 0.5, 1.0), df.withColumnRenamed("weights", "importance")
+    ranked = frame.withColumn("r", arrays.dim_ranks("importance"))
+    expected = [
+        ranked.select("query_id", F.lit(str(a)).alias("alpha"), F.lit(a).alias("alpha_value"), "vec",
+                      arrays.top_k_weights(F.col("r"), arrays.alpha_to_k(F.lit(a), F.size("r"))).alias("weights"))
+        for a in alphas
+    ]
+    found = select.TopAlpha().weights(frame, alphas)
+    assert sorted(map(str, found.collect())) == sorted(str(r) for e in expected for r in e.collect())

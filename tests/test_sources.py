@@ -193,6 +193,23 @@ def test_mean_vectors_with_and_without_broadcast(micro, monkeypatch):
     assert vec.mean_vectors(members, micro.docs, ["query_id"]).collect() == hinted
 
 
+def test_mean_vectors_move_few_rows(spark):
+    """A row per stretch of dimensions, whatever their number; vectors of several lengths and with nulls count as far as they go."""
+    rng = np.random.default_rng(8)
+    vecs = [[float(x) for x in rng.integers(-8, 8, n)] for n in (70, 70, 33, 5, 0, 70)]
+    vecs[1][3] = vecs[1][69] = None
+    d = spark.createDataFrame([(f"d{i}", v) for i, v in enumerate(vecs)], "doc_id string, vec array<float>")
+    lists = {"a": [0, 1, 2, 3, 4], "b": [1, 3], "c": [5, 5, 0]}
+    members = spark.createDataFrame([(q, f"d{i}") for q, some in lists.items() for i in some], "query_id string, doc_id string")
+    means = vec.mean_vectors(members, d, ["query_id"])
+    found = {r["query_id"]: r["mean"] for r in means.collect()}
+    for q, some in lists.items():
+        columns = [[vecs[i][n] for i in some if n < len(vecs[i]) and vecs[i][n] is not None] for n in range(70)]
+        assert found[q] == approx([sum(c) / len(c) if c else None for c in columns])
+    plan = means._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence" in plan and "posexplode" not in plan
+
+
 def test_hash_model(spark):
     texts = spark.createDataFrame([("a", "Fox fox 123 FOX"), ("b", ""), ("c", None)], "doc_id string, text string")
     found = {r["doc_id"]: r["vec"] for r in encode_text(texts, hash_model(16)).collect()}
