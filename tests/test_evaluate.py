@@ -280,3 +280,24 @@ def test_settings_with_one_vector_are_measured_once(spark, monkeypatch, listed,
     value = lambda rows: {(r["alpha"], r["query_id"], r["measure"]): r["value"] for r in rows.collect()}
     assert value(once) == approx(value(each), 1e-12)
     assert len(value(once)) == 3 * 23 * 5 and any(0 < v < 1 for v in value(once).values())
+
+
+def test_judgments_are_read_once(spark, micro):
+    """However many steps need them."""
+    several = spark.range(6).select(F.col("id").cast("int").alias("n")).crossJoin(micro.queries)
+    queries = several.select(
+        F.concat("query_id", F.col("n").cast("string")).alias("query_id"), F.lit("x").alias("alpha"), F.transform("vec", lambda v: v * (F.col("n") + 1)).alias("vec")
+    )
+    lists = search_lists(micro.docs, queries, 5, keys=["query_id", "alpha"])
+    assert "found" in lists.columns
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    qrels = micro.qrels.withColumn("query_id", F.lit("q3")).mapInArrow(noted, micro.qrels.schema)
+    found = ev.evaluate(lists, qrels, ["nDCG@3", "AP", "R@3", "RR"], ["alpha"], None, 5)
+    assert table(found) == {("q3", m): approx(v) for m, v in zip(("nDCG@3", "AP", "R@3", "RR"), (0.840303, 0.916667, 0.666667, 1.0))}
+    assert seen.value == micro.qrels.count()
